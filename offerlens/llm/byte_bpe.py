@@ -30,7 +30,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Entries of a worker's memos; beyond it they begin anew. About 100 bytes an entry.
 MEMO = 400_000
 #: White space by which a text can't be cut at single blanks.
-_OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
+_OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def read_ranks(path: str) -> list[bytes]:

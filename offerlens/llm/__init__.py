@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("byte_bpe", "exact_dedup", "near_dedup", "source_mix")
+MODULES = ("byte_bpe", "exact_dedup", "near_dedup", "source_mix", "substring_dedup")
 
 
 def _gather(name: str) -> dict:

@@ -23,7 +23,7 @@ MOST_PASSES = 3
 #: Words in a block. Blocks are only counted, never made, so a small block costs nothing and keeps small sources near their targets.
 BLOCK_WORDS = 4
 #: Documents in a shard, about.
-SHARD_DOCS = 50_000
+SHARD_DOCS = 8192
 #: Sources ranked by one task, about.
 RANK_ROWS = 100_000
 SEED = 20_240_601

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("byte_bpe", "exact_dedup", "fingerprints", "near_dedup", "source_mix", "substring_dedup")
+MODULES = ("byte_bpe", "exact_dedup", "fingerprints", "near_dedup", "quality", "source_mix", "substring_dedup")
 
 
 def _gather(name: str) -> dict:

@@ -1,15 +1,557 @@
-"""The engine's registered queries and the SQL that each is checked against."""
+"""The engine's registered queries and the SQL that each is checked against.
+
+The test tables stand in for the domain's: part and lineitem for products and offers, pages for feeds, embeddings for
+the vector store, conversations for messages, events for logs. Every query runs over its whole tables.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import html, money, text
+from .operators import evaluation, planner, scorers, similarity
+from .plans import hunt
+from .sources import feeds, sinks, splits, state
+from .streaming.hunt import event_windows, offers_stream, start_hunt
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_oracles: dict[str, str] = {}
+
+CATEGORIES = ["Appliances", "Automotive", "Cell_Phones_and_Accessories", "Electronics", "Musical_Instruments", "Office_Products", "Tools_and_Home_Improvement", "Toys_and_Games"]
+COLORS = ["red", "blue", "brown", "orange", "yellow", "green", "purple", "cyan"]
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _oracles[f.__name__] = sql
+        return f
 
+    return register
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_oracles)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that executors share: below spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = f"file://{tempfile.mkdtemp(prefix='offerlens-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/offerlens/{uuid.uuid4().hex}"
+
+
+# ---- offers and opportunities ----
+
+OFFER_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "price"]
+SQL_OFFERS = """
+offers AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, floor(l_extendedprice / l_quantity * (1 - l_discount) * 10000) / 10000.0::double AS price, p_name, p_brand
+           FROM lineitem JOIN part ON l_partkey = p_partkey),
+priced AS (SELECT o.*, e.estimate, round(e.estimate - o.price, 4) AS discount
+           FROM offers o JOIN (SELECT l_partkey, (sum(cast(round(price * 10000) AS bigint)) // count(*))::bigint / 10000.0::double AS estimate FROM offers GROUP BY l_partkey) e USING (l_partkey)),
+fresh AS (SELECT * FROM priced WHERE p_brand <> 'Brand#11')
+"""
+
+
+def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    price = (F.floor(F.col("l_extendedprice") / F.col("l_quantity") * (1 - F.col("l_discount")) * 10000) / F.lit(10000.0)).alias("price")
+    return items.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", price, "p_name", "p_brand")
+
+
+def fresh_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers of parts that were not surfaced (Brand#11 stands for the surfaced ones), estimated by their part's mean price, whole to the fourth digit."""
+    every = offers(spark, sf_dir)
+    means = every.groupBy("l_partkey").agg((F.expr("sum(cast(round(price * 10000) as bigint)) div count(*)") / F.lit(10000.0)).alias("mean"))
+    memory = table(spark, sf_dir, "part").where("p_brand = 'Brand#11'").select(F.col("p_partkey").alias("l_partkey"))
+    found = planner.opportunities(planner.unseen(every, memory, "l_partkey").join(means, "l_partkey"), F.col("mean"))
+    return found.withColumn("discount", F.round("discount", 4))
+
+
+RESULT = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "price", "estimate", "discount"]
+
+
+@query(f"WITH {SQL_OFFERS} SELECT {', '.join(RESULT)} FROM fresh WHERE discount > 50 ORDER BY discount DESC, {', '.join(OFFER_KEYS)} LIMIT 1")
+def best_deal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planner.best(fresh_opportunities(spark, sf_dir), *OFFER_KEYS).select(*RESULT)
+
+
+@query(f"WITH {SQL_OFFERS} SELECT {', '.join(RESULT)} FROM fresh WHERE discount > 50")
+def opportunities_above_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fresh_opportunities(spark, sf_dir).where(F.col("discount") > money.DISCOUNT_THRESHOLD).select(*RESULT)
+
+
+@query(f"WITH {SQL_OFFERS} SELECT {', '.join(RESULT)} FROM fresh ORDER BY discount DESC, {', '.join(OFFER_KEYS)} LIMIT 5")
+def ranked_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planner.ranked(fresh_opportunities(spark, sf_dir), *OFFER_KEYS).limit(5).select(*RESULT)
+
+
+@query(f"WITH {SQL_OFFERS} SELECT {', '.join(RESULT)} FROM fresh ORDER BY discount DESC, {', '.join(OFFER_KEYS)} LIMIT 1 OFFSET 2")
+def row_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third row of the ranking, as one picks it in a table."""
+    found = fresh_opportunities(spark, sf_dir).withColumn("rank", -F.col("discount"))
+    return planner.by_place(found, 2, "rank", *OFFER_KEYS).select(*RESULT)
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 0")
+def filter_positive_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").withColumnRenamed("c_acctbal", "price")
+    return planner.with_price(rows).select("c_custkey", "c_name", F.col("price").alias("c_acctbal"))
+
+
+@query("SELECT p_partkey, p_name, p_retailprice AS price FROM part WHERE p_retailprice > 0 ORDER BY length(p_name) DESC, p_partkey LIMIT 5")
+def quality_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("product_description"), F.col("p_retailprice").alias("price"), F.col("p_partkey").alias("seq"))
+    return planner.selected(rows).select("p_partkey", F.col("product_description").alias("p_name"), "price")
+
+
+@query("SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 5")
+def first_five(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planner.first_priced(table(spark, sf_dir, "part").withColumn("seq", F.col("p_partkey"))).select("p_partkey", "p_name")
+
+
+@query("SELECT page_id, url FROM pages p WHERE NOT EXISTS (SELECT 1 FROM pages m WHERE m.url = p.url AND contains(m.url, '.org/'))")
+def anti_join_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return planner.unseen(pages, pages.where(F.contains("url", F.lit(".org/")))).select("page_id", "url")
+
+
+@query("SELECT {'product_description': p_name, 'price': p_retailprice, 'url': 'part/' || p_partkey} AS deal, p_retailprice * 1.2 AS estimate, round(p_retailprice * 1.2 - p_retailprice, 6) AS discount FROM part")
+def opportunity_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return opportunity_rows(spark, sf_dir).withColumn("discount", F.round("discount", 6))
+
+
+def opportunity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    rows = part.select(F.col("p_name").alias("product_description"), F.col("p_retailprice").alias("price"), F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("url"))
+    return planner.as_opportunity(planner.opportunities(rows, F.col("price") * 1.2))
+
+
+@query("SELECT 'part/' || p_partkey AS url FROM part")
+def nested_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return opportunity_rows(spark, sf_dir).select(F.col("deal.url").alias("url"))
+
+
+# ---- feeds and pages ----
+
+SQL_FEED = "regexp_extract(url, '^https?://[^/]+/([^/?#]*)', 1)"
+
+
+def feed_of(url: str = "url") -> F.Column:
+    """The first part of a URL's path stands for the feed."""
+    return F.regexp_extract(url, "^https?://[^/]+/([^/?#]*)", 1)
+
+
+@query(f"SELECT feed, page_id, place FROM (SELECT {SQL_FEED} AS feed, page_id, row_number() OVER (PARTITION BY {SQL_FEED} ORDER BY page_id) AS place FROM pages) WHERE place <= 10")
+def feed_head10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.feed_head(table(spark, sf_dir, "pages").select(feed_of().alias("feed"), "page_id"), pos="page_id")
+
+
+@query(f"WITH e AS (SELECT url, page_id FROM (SELECT url, page_id, row_number() OVER (PARTITION BY {SQL_FEED} ORDER BY page_id) AS place FROM pages) WHERE place <= 10) SELECT e.page_id, e.url, length(p.html) AS n_chars FROM e JOIN pages p ON e.page_id = p.page_id")
+def page_fetch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    heads = feeds.feed_head(pages.select(feed_of().alias("feed"), "page_id", "url"), pos="page_id").select("page_id", "url")
+    return heads.join(pages.select("page_id", "html"), "page_id").select("page_id", "url", F.length("html").cast("long").alias("n_chars"))
+
+
+@query("SELECT page_id, replace(html, chr(10), ' ') AS summary FROM pages")
+def extract_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages have no summary element, so the whole snippet stays, on one line."""
+    return table(spark, sf_dir, "pages").select("page_id", html.snippet_text(F.col("html")).alias("summary"))
+
+
+@query()
+def article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", html.page_text(F.col("html"), "article", None).alias("content"))
+
+
+@query("SELECT doc_id, split_part(text, 'the', 1) AS details, CASE WHEN contains(text, 'the') THEN substr(text, instr(text, 'the') + 3) ELSE '' END AS features FROM documents")
+def split_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", text.before_marker(t, "the").alias("details"), text.behind_marker(t, "the").alias("features"))
+
+
+@query("SELECT doc_id, left(text, 100) AS title, left(text, 500) AS details FROM documents")
+def truncate_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.cut(F.col("text"), 100).alias("title"), text.cut(F.col("text"), 500).alias("details"))
+
+
+@query(r"""SELECT doc_id, 'Title: ' || source || chr(10) || 'Details: ' || regexp_replace(left(text, 500), '^\s+|\s+$', '', 'g') || chr(10) || 'Features: ' || regexp_replace(lang, '^\s+|\s+$', '', 'g') || chr(10) || 'URL: doc/' || doc_id AS description FROM documents""")
+def describe_deal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.describe(F.col("source"), text.cut(F.col("text"), 500), F.col("lang"), url).alias("description"))
+
+
+@query("SELECT page_id, contains(html, 'Features') AS has_features FROM pages")
+def substring_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.contains("html", F.lit("Features")).alias("has_features"))
+
+
+# ---- prices and texts ----
+
+
+@query(r"SELECT doc_id, coalesce(try_cast(nullif(regexp_extract(regexp_replace(text, '[$,]', '', 'g'), '[-+]?\d*\.\d+|\d+'), '') AS double), 0.0) AS price FROM documents")
+def parse_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", money.parse_price(F.col("text")).alias("price"))
+
+
+@query(r"SELECT p_partkey, try_cast(regexp_extract(replace('$' || format('{:,.2f}', p_retailprice * 13), ',', ''), '[-+]?\d*\.\d+|\d+') AS double) AS price FROM part")
+def parse_formatted_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", money.parse_price(F.concat(F.lit("$"), money.thousands(F.col("p_retailprice") * 13))).alias("price"))
+
+
+SQL_PROMPT = "'What does this cost to the nearest dollar?' || chr(10) || chr(10) || p_name || chr(10) || chr(10) || 'Price is $' || cast(cast(round_even(p_retailprice, 0) AS bigint) AS varchar) || '.00'"
+
+
+@query(f"SELECT p_partkey, {SQL_PROMPT} AS prompt FROM part")
+def training_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", text.training_prompt(F.col("p_name"), F.col("p_retailprice")).alias("prompt"))
+
+
+@query(f"SELECT p_partkey, split_part({SQL_PROMPT}, 'Price is $', 1) || 'Price is $' AS prompt FROM part")
+def test_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prompt = text.training_prompt(F.col("p_name"), F.col("p_retailprice"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.test_prompt(prompt).alias("prompt"))
+
+
+@query(f"SELECT p_partkey, split_part({SQL_PROMPT}, 'Price is $', 2) AS answer FROM part")
+def after_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prompt = text.training_prompt(F.col("p_name"), F.col("p_retailprice"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.after_prefix(prompt).alias("answer"))
+
+
+@query("SELECT p_partkey, printf('%.2f', p_retailprice * 1.115) AS plain, format('{:,.2f}', p_retailprice * 1.115) AS grouped, format('{:,.0f}', p_retailprice * 1.115) AS whole FROM part")
+def money_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("p_retailprice") * 1.115
+    return table(spark, sf_dir, "part").select("p_partkey", money.money(x).alias("plain"), money.thousands(x).alias("grouped"), money.thousands(x, 0).alias("whole"))
+
+
+@query("SELECT 'Deal Alert! Price=$' || printf('%.2f', p_retailprice) || ', Estimate=$' || printf('%.2f', p_retailprice * 1.2) || ', Discount=$' || printf('%.2f', p_retailprice * 1.2 - p_retailprice) || ' :' || left(p_name, 10) || '... part/' || p_partkey AS text FROM part")
+def alert_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.alerts(opportunity_rows(spark, sf_dir))
+
+
+@query("SELECT doc_id, left(text, 200) || '... doc/' || doc_id AS text FROM documents")
+def notify_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", money.notify_text(F.col("text"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))).alias("text"))
+
+
+@query("SELECT p_name AS description, '$' || printf('%.2f', p_retailprice) AS price, '$' || printf('%.2f', p_retailprice * 1.2) AS estimate, '$' || printf('%.2f', p_retailprice * 1.2 - p_retailprice) AS discount, 'part/' || p_partkey AS url FROM part")
+def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.display_rows(opportunity_rows(spark, sf_dir))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 40 THEN left(text, 40) || '...' ELSE text END AS title FROM documents")
+def ellipsis_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.ellipsis(F.col("text")).alias("title"))
+
+
+@query("SELECT p_partkey, '<' || p_name || ' = $' || printf('%.2f', p_retailprice) || '>' AS shown FROM part")
+def item_repr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("<"), "p_name", F.lit(" = $"), money.money(F.col("p_retailprice")), F.lit(">")).alias("shown"))
+
+
+@query("SELECT p_partkey, round(greatest(0.0, exp((p_size - 25) / 10.0 * 1.0328539609909058 + 4.434937953948975) - 1), 6) AS price FROM part")
+def inverse_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(money.from_target((F.col("p_size") - 25) / 10.0), 6).alias("price"))
+
+
+SQL_GROUPS = "g AS (SELECT p_brand, p_type, avg(p_retailprice) AS m FROM part GROUP BY 1, 2), b AS (SELECT p_brand, avg(p_retailprice) AS m FROM part GROUP BY 1)"
+
+
+@query(f"WITH {SQL_GROUPS} SELECT p_partkey, round(0.8 * g.m + 0.1 * b.m + 0.1 * p_retailprice, 6) AS estimate FROM part JOIN g USING (p_brand, p_type) JOIN b USING (p_brand)")
+def ensemble_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three scorers on the same row: means by brand and type, by brand, and the row's own price."""
+    known = table(spark, sf_dir, "part").withColumn("price", F.col("p_retailprice"))
+    own = lambda df: df.withColumn("network", F.col("p_retailprice"))
+    score = scorers.ensemble_scorer(scorers.group_mean(known, ["p_brand", "p_type"], "frontier"), scorers.group_mean(known, ["p_brand"], "specialist"), own)
+    return score(table(spark, sf_dir, "part")).select("p_partkey", F.round("estimate", 6).alias("estimate"))
+
+
+@query()
+def display_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("gpt_4__"), F.replace("p_name", F.lit(" "), F.lit("_")))
+    return table(spark, sf_dir, "part").select("p_partkey", text.display_title(name).alias("title"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'error' THEN '<span style=\"color: #dd0000\">[' ELSE '<span style=\"color: #00dd00\">[' END || event_type || '] ' || props || '</span>' AS line FROM events")
+def ansi_to_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    red, green = (text.agent_log(F.col("event_type"), F.col("props"), c) for c in ("\033[31m", "\033[32m"))
+    return table(spark, sf_dir, "events").select("event_id", text.ansi_to_html(F.when(F.col("event_type") == "error", red).otherwise(green)).alias("line"))
+
+
+@query("SELECT p_partkey, CASE WHEN contains(p_name, 'ring') THEN 'low' END AS effort, CASE WHEN contains(p_name, 'widget') THEN 'http://localhost:11434' END AS base_url FROM part")
+def model_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings by what a model's name contains."""
+    has = lambda w: F.contains("p_name", F.lit(w))
+    return table(spark, sf_dir, "part").select("p_partkey", F.when(has("ring"), "low").alias("effort"), F.when(has("widget"), "http://localhost:11434").alias("base_url"))
+
+
+@query(r"SELECT doc_id, len(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}'))) AS n_words FROM documents")
+def hashed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.array_distinct(words)).cast("long").alias("n_words"))
+
+
+# ---- similarity ----
+
+SQL_NEAR = """
+near AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(sqrt(list_sum(list_transform(list_zip(q.embedding::double[], c.embedding::double[]), lambda x: (x[1] - x[2]) * (x[1] - x[2])))), 9) AS distance
+         FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM near QUALIFY rank <= 5)
+"""
+
+
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are the rows whose id is divisible by 20; the corpus is all rows."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return similarity.nearest(vectors, vectors.where("id % 20 = 0"))
+
+
+@query(f"WITH {SQL_NEAR} SELECT query_id, id, round(distance, 6) AS distance, rank FROM top")
+def knn5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(spark, sf_dir).select("query_id", "id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
+SQL_PRICES = "prices AS (SELECT v.vec_id AS id, p.p_retailprice AS price, p.p_name AS name FROM embeddings v JOIN part p ON p.p_partkey = v.vec_id % 200)"
+
+
+def vector_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector is priced as one of the first 200 parts, which every scale has."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 200).alias("p_partkey"))
+    return vectors.join(table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("price"), F.col("p_name").alias("name")), "p_partkey").select("id", "price", "name")
+
+
+@query(f"WITH {SQL_NEAR}, {SQL_PRICES} SELECT query_id, round(sum(price / (distance + 0.001)) / sum(1 / (distance + 0.001)), 4) AS price FROM top JOIN prices USING (id) GROUP BY query_id")
+def rag_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    priced = similarity.nearest_price(neighbours(spark, sf_dir), vector_prices(spark, sf_dir))
+    return priced.select("query_id", F.round("price", 4).alias("price"))
+
+
+@query(f"""WITH {SQL_NEAR}, {SQL_PRICES} SELECT query_id, 'To provide some context, here are some other items that might be similar to the item you need to estimate.' || chr(10) || chr(10)
+    || string_agg('Potentially related product:' || chr(10) || name || chr(10) || 'Price is $' || printf('%.2f', price) || chr(10) || chr(10), '' ORDER BY rank) AS context FROM top JOIN prices USING (id) GROUP BY query_id""")
+def rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = neighbours(spark, sf_dir).join(vector_prices(spark, sf_dir), "id")
+    listed = near.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "name", "price"))).alias("near"))  # five rows a query
+    return listed.select("query_id", money.context(F.col("near.name"), F.col("near.price")).alias("context"))
+
+
+@query(f"SELECT vec_id, {CATEGORIES!r}[label % 8 + 1] AS category, {COLORS!r}[label % 8 + 1] AS color FROM embeddings")
+def category_color(spark: SparkSession, sf_dir: str) -> DataFrame:
+    category = F.element_at(F.array(*map(F.lit, CATEGORIES)), (F.col("label") % 8 + 1).cast("int"))
+    records = table(spark, sf_dir, "embeddings").select("vec_id", category.alias("category"))
+    return similarity.category_colors(records, CATEGORIES, COLORS)
+
+
+@query("SELECT vec_id, label FROM embeddings ORDER BY vec_id LIMIT 800")
+def vector_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A limited scan for a plot: the limit is the feature."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label").orderBy("vec_id").limit(800)
+
+
+@query()
+def pca3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors in three dimensions for a plot."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    flat = vector_to_array("xyz")
+    return PCA(k=3, inputCol="v", outputCol="xyz").fit(rows).transform(rows).select("vec_id", *(flat[i].alias(n) for i, n in enumerate("xyz")))
+
+
+# ---- evaluation ----
+
+SQL_ERRORS = """
+e AS (SELECT i, CASE WHEN length(p_name) > 40 THEN left(p_name, 40) || '...' ELSE p_name END AS title, guess, truth, abs(guess - truth) AS error
+      FROM (SELECT row_number() OVER (ORDER BY p_partkey) AS i, p_name, p_retailprice AS truth, p_retailprice + (p_size - 25) * 20.0 AS guess FROM part)),
+c AS (SELECT *, CASE WHEN error < 40 OR error / truth < 0.2 THEN 'green' WHEN error < 80 OR error / truth < 0.4 THEN 'orange' ELSE 'red' END AS color FROM e)
+"""
+
+
+def errors(spark: SparkSession, sf_dir: str, size: int | None = None) -> DataFrame:
+    """A model that errs with the part's size, so that all colours occur."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_retailprice").alias("price"), "p_size")
+    rows = evaluation.first_rows(part, size) if size else part.withColumn("i", F.col("id") + 1)
+    return evaluation.error_rows(rows, F.col("price") + (F.col("p_size") - 25) * 20.0)
+
+
+@query(f"WITH {SQL_ERRORS} SELECT i, title, round(guess, 6) AS guess, truth, round(error, 6) AS error, color FROM c")
+def error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return errors(spark, sf_dir).withColumns({"guess": F.round("guess", 6), "error": F.round("error", 6)})
+
+
+@query(f"WITH {SQL_ERRORS} SELECT color, count(*) AS n, round(avg(error), 6) AS mean_error FROM c GROUP BY color")
+def error_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.buckets(errors(spark, sf_dir)).withColumn("mean_error", F.round("mean_error", 6))
+
+
+@query(f"WITH {SQL_ERRORS} SELECT count(*) AS n, round(avg(error), 4) AS mean_error, round(avg((truth - guess) * (truth - guess)), 4) AS mse, round((1 - sum((truth - guess) * (truth - guess)) / (sum(truth * truth) - sum(truth) * sum(truth) / count(*))) * 100, 2) AS r2, greatest(max(truth), max(guess)) AS axis_max FROM e")
+def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.report(errors(spark, sf_dir)).withColumns({"mean_error": F.round("mean_error", 4), "mse": F.round("mse", 4), "r2": F.round("r2", 2)})
+
+
+SQL_RUNNING = f"""
+{SQL_ERRORS}, s AS (SELECT i, i AS n, avg(error) OVER w AS mean, CASE WHEN i = 1 THEN 0 ELSE 1.96 * stddev_pop(error) OVER w / sqrt(i) END AS ci
+    FROM e WHERE i <= 200 WINDOW w AS (ORDER BY i ROWS UNBOUNDED PRECEDING))
+"""
+
+
+@query(f"WITH {SQL_RUNNING} SELECT i, n, round(mean, 6) AS mean, round(ci, 6) AS ci, round(mean + ci, 6) AS upper, round(mean - ci, 6) AS lower FROM s")
+def running_error_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the 200 rows that an evaluation has: its size is the feature."""
+    curve = evaluation.running(errors(spark, sf_dir, evaluation.DEFAULT_SIZE))
+    return curve.select("i", "n", *(F.round(c, 6).alias(c) for c in ("mean", "ci", "upper", "lower")))
+
+
+@query(f"WITH {SQL_RUNNING} SELECT n, round(mean, 6) AS mean, round(ci, 6) AS ci FROM s ORDER BY i DESC LIMIT 1")
+def final_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = evaluation.final(evaluation.running(errors(spark, sf_dir, evaluation.DEFAULT_SIZE)))
+    return last.select("n", F.round("mean", 6).alias("mean"), F.round("ci", 6).alias("ci"))
+
+
+@query(f"WITH {SQL_RUNNING} SELECT n AS place, n AS x, round(mean + ci, 6) AS y FROM s UNION ALL SELECT -n, n, round(mean - ci, 6) FROM s")
+def confidence_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.band(evaluation.running(errors(spark, sf_dir, evaluation.DEFAULT_SIZE))).withColumn("y", F.round("y", 6))
+
+
+@query(f"WITH {SQL_ERRORS} SELECT i, color, title || chr(10) || 'Guess=$' || format('{{:,.2f}}', guess) || ' Actual=$' || format('{{:,.2f}}', truth) AS hover FROM c WHERE color = 'orange'")
+def color_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of one colour with their hover texts, as one trace of a plot."""
+    return evaluation.hover_text(errors(spark, sf_dir).where("color = 'orange'")).select("i", "color", "hover")
+
+
+# ---- messages, logs, tools ----
+
+
+@query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY turn, role, text) AS prompt FROM conversations GROUP BY conv_id")
+def listagg_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat("role", F.lit(": "), "text")
+    lines = F.array_sort(F.collect_list(F.struct("turn", "role", "text", line.alias("line"))))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n\n").alias("prompt"))
+
+
+@query("SELECT string_agg(event_type || ' ' || props, '<br>' ORDER BY event_id) AS html FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 18)")
+def log_tail18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "events").select("event_id", F.concat("event_type", F.lit(" "), "props").alias("line"))
+    return sinks.log_tail(lines, "event_id", "line")
+
+
+@query("SELECT sum(CASE WHEN role = 'assistant' THEN 0 ELSE length(text) END)::bigint AS input_tokens, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::bigint AS output_tokens, round(sum(length(text) * 0.000125::double), 6) AS cost, count(*) AS calls FROM conversations")
+def usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, answer = F.length("text"), F.col("role") == "assistant"
+    calls = table(spark, sf_dir, "conversations").select(F.when(answer, 0).otherwise(n).alias("input_tokens"), F.when(answer, n).otherwise(0).alias("output_tokens"), (n * 0.000125).alias("cost"))
+    return scorers.usage_totals(calls).withColumn("cost", F.round("cost", 6))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'scanned' WHEN 'purchase' THEN 'Notification sent ok' ELSE '' END AS content FROM events")
+def tool_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = spark.createDataFrame([("click", "scanned"), ("purchase", "Notification sent ok")], "name string, content string")
+    return hunt.dispatched(table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("name")), results).select("event_id", "content")
+
+
+@query("SELECT event_id, cast(json_extract(props, '$.k') AS bigint) AS k FROM events")
+def json_args(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+# ---- state ----
+
+
+def surfaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return opportunity_rows(spark, sf_dir).withColumn("seq", F.expr("cast(substr(deal.url, 6) as bigint)"))
+
+
+@query("SELECT p_name AS product_description, p_retailprice AS price, 'part/' || p_partkey AS url, 0 AS batch_id FROM part UNION ALL SELECT p_name, p_retailprice, 'part/' || p_partkey, 1 FROM part WHERE p_size > 40")
+def memory_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs' rows in the state table; the second run is repeated, which adds nothing."""
+    path, rows = scratch(spark), surfaced(spark, sf_dir)
+    big = table(spark, sf_dir, "part").where("p_size > 40").select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("url"))
+    more = rows.join(big, rows["deal.url"] == big.url, "left_semi")
+    for rows_of, batch in ((rows, 0), (more, 1), (more, 1)):
+        state.append_state(rows_of, path, batch)
+    return state.read_state(spark, path).select("deal.product_description", "deal.price", "deal.url", F.col("batch_id").cast("int").alias("batch_id"))
+
+
+@query("SELECT p_name AS product_description, p_retailprice AS price, 'part/' || p_partkey AS url FROM part ORDER BY p_partkey LIMIT 2")
+def memory_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs of one row each; a reset keeps the first two."""
+    path, rows = scratch(spark), surfaced(spark, sf_dir)
+    for batch in range(3):
+        state.append_state(rows.where(F.col("seq") == batch), path, batch)
+    state.reset_state(spark, path, f"{path}-reset")
+    return state.read_state(spark, f"{path}-reset").select("deal.product_description", "deal.price", "deal.url")
+
+
+@query("SELECT CASE WHEN p_size <= 40 THEN 'train' WHEN p_size <= 45 THEN 'validation' ELSE 'test' END AS split, count(*) AS n, round(sum(p_retailprice), 2) AS total FROM part GROUP BY 1")
+def split_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    items = part.select("p_size", F.col("p_name").alias("title"), F.col("p_type").alias("category"), F.col("p_retailprice").alias("price"), F.lit(None).cast("string").alias("full"), F.col("p_size").cast("double").alias("weight"), F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("prompt"), F.col("p_partkey").alias("id"))
+    path = scratch(spark)
+    splits.write_splits(path, items.where("p_size <= 40"), items.where("p_size > 40 and p_size <= 45"), items.where("p_size > 45"))
+    count = lambda d, s: d.agg(F.lit(s).alias("split"), F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("total"))
+    a, b, c = (count(d, s) for s, d in zip(splits.SPLITS, splits.read_splits(spark, path)))
+    return a.unionByName(b).unionByName(c)
+
+
+@query("SELECT * FROM (VALUES (178.0::double, 1::bigint), (30.0, 2), (446.0, 3), (650.0, 4)) v(price, seq)")
+def canned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.canned_offers(spark).select("price", "seq")
+
+
+# ---- streams ----
+
+
+@query("""WITH o AS (SELECT p_partkey AS seq, 'part/' || p_partkey AS url, p_name, p_retailprice AS price, p_retailprice + p_size * 4 AS estimate, p_size % 3 AS batch FROM part),
+    chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY length(p_name) DESC, seq) AS place FROM o WHERE price > 0) WHERE place <= 5)
+    SELECT url, round(estimate - price, 4) AS discount FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY estimate - price DESC, seq) AS won FROM chosen WHERE estimate - price > 50) WHERE won = 1""")
+def stream_hunt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three landed files as three micro-batches with state; each surfaces its best offer."""
+    path = scratch(spark)
+    part = table(spark, sf_dir, "part")
+    rows = part.select(F.col("p_name").alias("product_description"), F.col("p_retailprice").alias("price"), F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("url"), F.col("p_partkey").alias("seq"), "p_size")
+    for batch in range(3):
+        rows.where(F.col("p_size") % 3 == batch).coalesce(1).write.mode("append").parquet(f"{path}/landed")
+    estimator = lambda df: df.withColumn("estimate", F.col("price") + F.col("p_size") * 4)
+    stream = offers_stream(spark, f"{path}/landed", rows.schema)
+    start_hunt(stream, f"{path}/state", f"{path}/checkpoint", estimator, once=True).awaitTermination()
+    return state.read_state(spark, f"{path}/state").select("deal.url", F.round("discount", 4).alias("discount"))
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extension: event-time windows."""
+    out = event_windows(table(spark, sf_dir, "events"))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query()
+def text_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of parts by a linear model on hashed words of their names."""
+    known = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(" "), "p_brand", F.lit(" "), "p_type").alias("text"), F.col("p_retailprice").alias("price"))
+    return scorers.text_regression(known, "text", "estimate")(known).select("p_partkey", "estimate")
+
+
+@query()
+def network_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of parts by a seeded residual network on hashed words."""
+    known = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return scorers.network_scorer(scorers.ResidualNetwork.random(inputs=256, hidden=16), "p_name", "estimate")(known).select("p_partkey", "estimate")

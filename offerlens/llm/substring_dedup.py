@@ -7,7 +7,8 @@ windows share; windows whose anchor occurs in one document only are unique. The
 into groups by a prefix of PREFIX words. A task sorts its groups' suffixes, whose common prefix lengths give the
 subtree's nodes; the smallest doc_id below each deep node is the first in order. Where an anchor is so frequent that
 its group would not fit, the prefix is lengthened to the whole window: such a group is one deep node, whose smallest
-doc_id is aggregated before anything is shuffled. Deep nodes at neighbouring positions join to maximal repeats.
+doc_id is aggregated (partly before the shuffle). Deep nodes with HOT_SHARE of all suffixes or more, of which there can only be
+so many, are broadcast, and their suffixes never leave their task. Deep nodes at neighbouring positions join to maximal repeats.
 
 Defined cases: null texts have no words. Rows with a null doc_id neither lose words nor make others lose any. Rows that
 repeat a doc_id don't count as smaller to each other and each is judged by its own text. Texts shorter than a window keep
@@ -76,11 +77,16 @@ def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.select("doc_id", "rid", "text").mapInArrow(run, "gram long, doc_id long, rid long, pos int")
 
 
-def suffixes(docs: DataFrame, window: int, gram: int, prefix: int) -> DataFrame:
-    """(p, r, doc_id, rid, pos): the suffixes of docs(doc_id, rid, text, at) whose window's anchor is in `at`; p: of their prefix, r: of the window's rest."""
-    schema = pa.schema([("p", pa.int64()), ("r", pa.int64()), ("doc_id", pa.int64()), ("rid", pa.int64()), ("pos", pa.int32())])
+def suffixes(docs: DataFrame, window: int, gram: int, prefix: int, hot: dict[tuple[int, int], int]) -> DataFrame:
+    """(p, r, doc_id, rid, pos, sure): the suffixes of docs(doc_id, rid, text, at) whose window's anchor is in `at`; p: of their prefix, r: of the window's rest.
+
+    hot: the smallest doc_id of each hot node. Its suffixes are left out if they repeat nothing, or else are sure, with a p of their own.
+    """
+    schema = pa.schema([("p", pa.int64()), ("r", pa.int64()), ("doc_id", pa.int64()), ("rid", pa.int64()), ("pos", pa.int32()), ("sure", pa.bool_())])
+    sent = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes = np.array(sorted(k ^ ((v * 31) & 0xFFFF) for (k, v) in sent.value), np.int64)
         for batch in batches:
             for part in slices(batch):
                 _, _, doc, h = tokens(*text_buffer(part.column(2)), lower=False)
@@ -92,10 +98,19 @@ def suffixes(docs: DataFrame, window: int, gram: int, prefix: int) -> DataFrame:
                 at = whole[mark[anchor]]
                 n = max(0, len(h) - window + 1)
                 own = doc[at]
-                p, r = _grams(h, prefix, n, 2)[at], _grams(h, window - prefix, n, 3, prefix)[at]
-                yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(r.view(np.int64)), part.column(0).take(pa.array(own)), part.column(1).take(pa.array(own)), pa.array((at - begin[own]).astype(np.int32))], schema=schema)
+                p, r = _grams(h, prefix, n, 2)[at].view(np.int64), _grams(h, window - prefix, n, 3, prefix)[at].view(np.int64)
+                ids = part.column(0).to_numpy(zero_copy_only=False)[own]
+                sure, keep = np.zeros(len(at), bool), np.ones(len(at), bool)
+                for i in np.flatnonzero(np.isin(p ^ ((r * 31) & 0xFFFF), nodes)) if len(nodes) else ():
+                    least = sent.value.get((int(p[i]), int(r[i])))
+                    if least is not None:
+                        keep[i] = sure[i] = ids[i] > least
+                p = np.where(sure, mix64((ids + at).astype(np.uint64)).view(np.int64), p)
+                columns = [pa.array(p), pa.array(r), part.column(0).take(pa.array(own)), part.column(1).take(pa.array(own)), pa.array((at - begin[own]).astype(np.int32)), pa.array(sure)]
+                keep = pa.array(keep)
+                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], schema=schema)
 
-    return docs.select("doc_id", "rid", "text", "at").mapInArrow(run, "p long, r long, doc_id long, rid long, pos int")
+    return docs.select("doc_id", "rid", "text", "at").mapInArrow(run, "p long, r long, doc_id long, rid long, pos int, sure boolean")
 
 
 def subtree_repeats(groups: DataFrame) -> DataFrame:
@@ -115,7 +130,7 @@ def subtree_repeats(groups: DataFrame) -> DataFrame:
             if node == (p[0], r[0]):
                 smallest = np.where(first == 0, least, smallest)
             node, least = (p[-1], r[-1]), smallest[-1]
-            keep = pa.array(doc > smallest)
+            keep = pa.array((doc > smallest) | batch.column(5).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (2, 3, 4)], schema=schema)
 
     return groups.mapInArrow(run, "doc_id long, rid long, pos int")
@@ -127,17 +142,18 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, prefix: int
     found = anchors(docs, window, gram)
     shared = found.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
     shared = materialize(shared.where("lo < hi").select("gram", "n"), "anchors")
-    total = shared.agg(F.sum("n")).first()[0] or 0
+    least = max(1000, int((shared.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE))
     met = found.join(shared.hint("merge"), "gram")
-    hot = F.col("n") >= max(10_000, int(total * HOT_SHARE * 4))
-    at = materialize(met.groupBy("doc_id", "rid", hot.alias("hot")).agg(F.collect_list("pos").alias("at")), "positions")
-    some, few = at.agg(F.max("hot"), F.count("*")).first()
-    placed = lambda rows: suffixes(join_checked(docs, rows.drop("hot"), ["doc_id", "rid"], "inner", few, 50_000), window, gram, prefix)
-    cold = placed(at.where("not hot")).repartition("p").sortWithinPartitions("p", "r", "doc_id")
-    flagged = subtree_repeats(cold)
-    if some:
-        nodes = materialize(placed(at.where("hot")).groupBy("p", "r").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "deep-nodes")
-        flagged = flagged.unionByName(placed(at.where("hot")).join(nodes.hint("merge"), ["p", "r"]).where("doc_id > least").select("doc_id", "rid", "pos"))
+    at = met.groupBy("doc_id", "rid").agg(F.collect_list("pos").alias("at"), F.collect_list(F.when(F.col("n") >= least, F.col("pos"))).alias("hot"))
+    at = materialize(at, "positions")
+    placed = lambda rows, hot: suffixes(docs.join(rows.hint("merge"), ["doc_id", "rid"]), window, gram, prefix, hot)
+    hot = {}
+    often = at.where(F.size("hot") > 0)
+    if not often.isEmpty():
+        nodes = placed(often.select("doc_id", "rid", F.col("hot").alias("at")), {}).groupBy("p", "r").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
+        hot = {(r.p, r.r): r.least for r in nodes.where(F.col("n") >= least).collect()}  # at most all suffixes / least
+    groups = placed(at.select("doc_id", "rid", "at"), hot).repartition("p").sortWithinPartitions("p", "r", "doc_id")
+    flagged = subtree_repeats(groups)
     starts = flagged.groupBy("doc_id", "rid").agg(F.collect_list("pos").alias("at"))
     schema = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("spans", pa.binary())])
 

@@ -5,9 +5,15 @@ each are computed once; every pair of a group from the first and one from the se
 GROUPS * GROUPS tables of 2 * HALF minhashes need only 2 * GROUPS * HALF minhashes instead of GROUPS**2 * 2 * HALF. A link
 of exactly 0.8 meets in no table with a probability of 2 * (1 - 0.8**2)**8, 0.0006; closer ones far less often.
 
-Equal sets become one class first. In each bucket, every class is paired with one pivot, never with all. Pairs whose
-packed minhash bits speak against a link (5 standard deviations) go; the rest are confirmed on the full sets. Buckets
-that still hold several components get a second pivot, and at last the remaining pairs between different components.
+Equal sets become one class first. In each bucket, every class is paired with one pivot, never with all; those whose
+packed minhash bits speak against a link with it (5 standard deviations) get another pivot. Pairs are confirmed on the full sets.
+
+Two classes that met the same pivot may still be linked although one of them, x, is not linked with the pivot P. Let a
+class differ from P by r removed and a added shingles, and w = (1 - c) r + c a with c = t / (1 + t), t the least
+similarity. Then x and y are linked if and only if they share at least w_x + w_y - (1 - 2c)|P| of these differences,
+which is more than w_y, as x is not linked with P. So only classes that share one of the first differences (added ones first, which
+are rare; the prefix rule of set joins) are compared. Thus near copies that are all linked to a pivot, or too far from it, make no pairs
+among each other, and no link between classes that met a pivot is lost.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; texts with fewer words than a shingle
 have the sequence as one. Null doc_ids are linked with nothing (component_id null, kept). Rows that repeat a doc_id
@@ -139,8 +145,12 @@ def table_rows(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "signature").mapInArrow(run, "key long, rep long, bits long")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs(rep, pivot) whose full sets are alike enough. A pivot's text meets at most PIVOT_PAIRS or so others in a group."""
+def compared(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """pairs(rep, pivot) with linked, and the differences from the pivot's set by which others must be looked for.
+
+    short: the differences that a class must share one of to be linked to a class that is not linked with the pivot;
+    long: the further ones that count for a class that itself is not linked with the pivot. A pivot's text meets at most PIVOT_PAIRS or so others in a group.
+    """
     many = pairs.groupBy("pivot").agg((F.floor((F.count("*") - 1) / PIVOT_PAIRS) + 1).alias("parts"))
     dealt = materialize(pairs.join(many, "pivot").select("rep", "pivot", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part")), "dealt")
     wanted = dealt.select(F.col("rep").alias("doc_id")).unionByName(dealt.select(F.col("pivot").alias("doc_id"))).distinct()
@@ -149,14 +159,15 @@ def confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
     pivots = of("pivot", dealt.select("pivot", "part").distinct()).select("pivot", "part", F.lit(None).cast("long").alias("rep"), "text")
     both = pivots.unionByName(of("rep", dealt).select("pivot", "part", "rep", "text"))
     both = both.repartition("pivot", "part").sortWithinPartitions("pivot", "part", F.col("rep").asc_nulls_first())
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("rep", pa.int64()), ("pivot", pa.int64()), ("linked", pa.bool_()), ("short", pa.list_(pa.int64())), ("long", pa.list_(pa.int64()))])
+    c, none = percent / (100 + percent), np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, against = None, []
         for batch in batches:
             for part in slices(batch):
                 s, begin = shingle_sets(*text_buffer(part.column(3)), words)
-                a, b = [], []
+                out = []
                 for i, (pivot, salt, rep) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist())):
                     own = s[begin[i] : begin[i + 1]]
                     if (pivot, salt) != group:
@@ -164,15 +175,53 @@ def confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
                     if rep is None:
                         against.append(own.copy())
                         continue
-                    for other in against:
-                        met = len(np.intersect1d(own, other, assume_unique=True)) if min(len(own), len(other)) * 100 >= percent * max(len(own), len(other)) else 0
-                        if len(own) and 100 * met >= percent * (len(own) + len(other) - met):
-                            a.append(rep)
-                            b.append(pivot)
-                            break
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
-
-    return both.mapInArrow(run, "a long, b long").distinct()
+                    for other in against:  # several only if rows repeat a doc_id
+                        added, removed = np.setdiff1d(own, other, assume_unique=True), np.setdiff1d(other, own, assume_unique=True)
+                        met = len(own) - len(added)
+                        linked = met > 0 and 100 * met >= percent * (len(own) + len(removed))
+                        w = (1 - c) * len(removed) + c * len(added)
+                        all_of = np.concatenate([added, removed]).view(np.int64)
+                        n = len(all_of) - int(w + 1e-9)
+                        least = max(1, int(np.ceil(w - (1 - 2 * c) * len(other) - 1e-9)))
+                        out.append((rep, pivot, bool(linked), all_of[:n], none if linked else all_of[n : len(all_of) - least + 1]))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 5, schema.types)], schema=schema)
+
+    return both.mapInArrow(run, "rep long, pivot long, linked boolean, short array<long>, long array<long>")
+
+
+def bucket_pairs(met: DataFrame, rounds: int = 4) -> DataFrame:
+    """Pairs (rep, pivot) of met(key, rep, bits, p): in each bucket, all that are alike to its first class; then all alike to the first of those that were not; and so on."""
+    alike = lambda a, b: agreeing(F.col(a), F.col(b)) >= AGREE
+    found = met.where(F.col("rep") != F.col("p.rep")).where(alike("bits", "p.bits")).select("rep", F.col("p.rep").alias("pivot")).distinct()
+    rest = met.where(F.col("rep") != F.col("p.rep")).where(~alike("bits", "p.bits")).select("key", "rep", "bits")
+    for _ in range(rounds):
+        rest = materialize(rest, "apart")
+        if rest.isEmpty():
+            return found
+        tops = rest.groupBy("key").agg(F.min(F.struct("rep", "bits")).alias("q"))
+        near = met.join(tops.hint("merge"), "key").where(F.col("rep") != F.col("q.rep")).where(alike("bits", "q.bits"))
+        found = found.unionByName(near.select("rep", F.col("q.rep").alias("pivot")).distinct())
+        rest = rest.join(tops.hint("merge"), "key").where(F.col("rep") != F.col("q.rep")).where(~alike("bits", "q.bits")).select("key", "rep", "bits")
+    rest = materialize(rest, "apart")
+    if not rest.isEmpty():  # classes that are alike to none of their buckets' pivots, with those that are alike to them
+        x, y = rest.alias("x"), met.alias("y")
+        near = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.rep")) & alike("x.bits", "y.bits"))
+        found = found.unionByName(near.select(F.col("y.rep").alias("rep"), F.col("x.rep").alias("pivot")).distinct())
+    return found
+
+
+def around_pivots(tested: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs of classes that met the same pivot, of which one is not linked with it, that share differences from it; unless they are in one component already."""
+    apart = materialize(tested.where("not linked").select("pivot").distinct(), "pivots")
+    every = tested.join(apart, "pivot", "left_semi")
+    short = every.select("pivot", "rep", "linked", F.explode("short").alias("x"), F.lit(True).alias("first"))
+    more = every.where("not linked").select("pivot", "rep", "linked", F.explode("long").alias("x"), F.lit(False).alias("first"))
+    a, b = short.where("not linked").unionByName(more).alias("a"), short.alias("b")
+    same = (F.col("a.pivot") == F.col("b.pivot")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.rep") != F.col("b.rep"))
+    pairs = a.join(b, same & (F.col("b.linked") | (F.col("a.first") & (F.col("a.rep") > F.col("b.rep"))))).select(F.greatest("a.rep", "b.rep").alias("rep"), F.least("a.rep", "b.rep").alias("pivot")).distinct()
+    of = lambda who, name: parts.select(F.col("node").alias(who), F.col("component").alias(name))
+    placed = pairs.join(of("rep", "c"), "rep", "left").join(of("pivot", "d"), "pivot", "left")
+    return placed.where(~F.coalesce("c", "rep").eqNullSafe(F.coalesce("d", "pivot"))).select("rep", "pivot")
 
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -183,27 +232,13 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     keyed = table_rows(classes)
     busy = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("rep", "bits")).alias("p")).where("n > 1").select("key", "p"), "busy")
     met = materialize(table_rows(classes).join(busy.hint("merge"), "key").select("key", "rep", "bits", "p"), "met")
-    alike = lambda bits: agreeing(F.col("bits"), bits) >= AGREE
-    tried = materialize(met.where(F.col("rep") != F.col("p.rep")).where(alike(F.col("p.bits"))).select("rep", F.col("p.rep").alias("pivot")).distinct(), "pairs")
-    links = materialize(confirmed(docs, tried, words, percent), "links")
-    parts = materialize(components(links), "components")
-    for last in (False, True):
-        placed = met.select("key", "rep", "bits").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
-        mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep", "bits", "c")).alias("p")).where("lo != hi")
-        placed = materialize(placed.join(mixed.select("key", "p"), "key").select("key", "rep", "bits", "c", "p"), "mixed")
-        if last:  # what pivots have not joined: only pairs between components, and only if their bits allow a link
-            x, y = placed.select("key", "rep", "bits", "c").alias("x"), placed.select("key", "rep", "bits", "c").alias("y")
-            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") > F.col("y.c")) & (agreeing(F.col("x.bits"), F.col("y.bits")) >= AGREE))
-            pairs = pairs.select(F.greatest("x.rep", "y.rep").alias("rep"), F.least("x.rep", "y.rep").alias("pivot")).distinct()
-        else:
-            pairs = placed.where(F.col("c") != F.col("p.c")).where(alike(F.col("p.bits"))).select(F.greatest("rep", "p.rep").alias("rep"), F.least("rep", "p.rep").alias("pivot")).distinct()
-        pairs = materialize(pairs.join(tried, ["rep", "pivot"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            tried = tried.unionByName(pairs)
-            more = materialize(confirmed(docs, pairs, words, percent), "links")
-            if not more.isEmpty():
-                links = links.unionByName(more)
-                parts = materialize(components(links), "components")
+    pairs = materialize(bucket_pairs(met).distinct(), "pairs")
+    tested = materialize(compared(docs, pairs, words, percent), "tested")
+    linked = lambda t: t.where("linked").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+    parts = components(linked(tested))
+    further = materialize(around_pivots(tested, parts).join(pairs, ["rep", "pivot"], "left_anti"), "pairs")
+    if not further.isEmpty():
+        parts = components(linked(tested).unionByName(linked(compared(docs, further, words, percent))))
     named = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("set16", "n", F.coalesce("component", "rep").alias("component_id"), "rep")
     named = materialize(named.where("n > 1 or component_id != rep").drop("rep"), "named")
     out = join_hot(rows.select("doc_id", "n_shingles", "set16"), named, "set16", "n", rows.count())

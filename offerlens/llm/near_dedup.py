@@ -12,7 +12,8 @@ Two classes that met the same pivot may still be linked although one of them, x,
 class differ from P by r removed and a added shingles, and w = (1 - c) r + c a with c = t / (1 + t), t the least
 similarity. Then x and y are linked if and only if they share at least w_x + w_y - (1 - 2c)|P| of these differences,
 which is more than w_y, as x is not linked with P. So only classes that share one of the first differences (added ones first, which
-are rare; the prefix rule of set joins) are compared. Thus near copies that are all linked to a pivot, or too far from it, make no pairs
+are rare; the prefix rule of set joins) are compared, and by a removed one only if the smaller number of removed ones reaches that bound
+(with a common added one, they meet by that). Thus near copies that are all linked to a pivot, or too far from it, make no pairs
 among each other, and no link between classes that met a pivot is lost.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; texts with fewer words than a shingle
@@ -159,7 +160,7 @@ def compared(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
     pivots = of("pivot", dealt.select("pivot", "part").distinct()).select("pivot", "part", F.lit(None).cast("long").alias("rep"), "text")
     both = pivots.unionByName(of("rep", dealt).select("pivot", "part", "rep", "text"))
     both = both.repartition("pivot", "part").sortWithinPartitions("pivot", "part", F.col("rep").asc_nulls_first())
-    schema = pa.schema([("rep", pa.int64()), ("pivot", pa.int64()), ("linked", pa.bool_()), ("short", pa.list_(pa.int64())), ("long", pa.list_(pa.int64()))])
+    schema = pa.schema([("rep", pa.int64()), ("pivot", pa.int64()), ("linked", pa.bool_()), ("added", pa.int32()), ("removed", pa.int32()), ("w", pa.float64()), ("free", pa.float64()), ("short", pa.list_(pa.int64())), ("long", pa.list_(pa.int64()))])
     c, none = percent / (100 + percent), np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,11 +183,13 @@ def compared(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
                         w = (1 - c) * len(removed) + c * len(added)
                         all_of = np.concatenate([added, removed]).view(np.int64)
                         n = len(all_of) - int(w + 1e-9)
-                        least = max(1, int(np.ceil(w - (1 - 2 * c) * len(other) - 1e-9)))
-                        out.append((rep, pivot, bool(linked), all_of[:n], none if linked else all_of[n : len(all_of) - least + 1]))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 5, schema.types)], schema=schema)
+                        free = (1 - 2 * c) * len(other)
+                        least = max(1, int(np.ceil(w - free - 1e-9)))
+                        far = linked or w > free / c + 1e-6  # too far from the pivot for a link to any that is linked with it
+                        out.append((rep, pivot, bool(linked), len(added), len(removed), w, free, all_of[:n], none if far else all_of[n : len(all_of) - least + 1]))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * len(schema), schema.types)], schema=schema)
 
-    return both.mapInArrow(run, "rep long, pivot long, linked boolean, short array<long>, long array<long>")
+    return both.mapInArrow(run, "rep long, pivot long, linked boolean, added int, removed int, w double, free double, short array<long>, long array<long>")
 
 
 def bucket_pairs(met: DataFrame, rounds: int = 4) -> DataFrame:
@@ -214,11 +217,13 @@ def around_pivots(tested: DataFrame, parts: DataFrame) -> DataFrame:
     """Pairs of classes that met the same pivot, of which one is not linked with it, that share differences from it; unless they are in one component already."""
     apart = materialize(tested.where("not linked").select("pivot").distinct(), "pivots")
     every = tested.join(apart, "pivot", "left_semi")
-    short = every.select("pivot", "rep", "linked", F.explode("short").alias("x"), F.lit(True).alias("first"))
-    more = every.where("not linked").select("pivot", "rep", "linked", F.explode("long").alias("x"), F.lit(False).alias("first"))
+    columns = ["pivot", "rep", "linked", "added", "removed", "w", "free"]
+    short = every.select(*columns, F.posexplode("short").alias("at", "x")).withColumn("first", F.lit(True))
+    more = every.where("not linked").select(*columns, F.size("short").alias("n"), F.posexplode("long").alias("at", "x")).withColumn("at", F.col("at") + F.col("n")).drop("n").withColumn("first", F.lit(False))
     a, b = short.where("not linked").unionByName(more).alias("a"), short.alias("b")
     same = (F.col("a.pivot") == F.col("b.pivot")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.rep") != F.col("b.rep"))
-    pairs = a.join(b, same & (F.col("b.linked") | (F.col("a.first") & (F.col("a.rep") > F.col("b.rep"))))).select(F.greatest("a.rep", "b.rep").alias("rep"), F.least("a.rep", "b.rep").alias("pivot")).distinct()
+    can = (F.col("a.at") < F.col("a.added")) | (F.least("a.removed", "b.removed") >= F.col("a.w") + F.col("b.w") - F.col("a.free") - 1e-6)
+    pairs = a.join(b, same & can & (F.col("b.linked") | (F.col("a.first") & (F.col("a.rep") > F.col("b.rep"))))).select(F.greatest("a.rep", "b.rep").alias("rep"), F.least("a.rep", "b.rep").alias("pivot")).distinct()
     of = lambda who, name: parts.select(F.col("node").alias(who), F.col("component").alias(name))
     placed = pairs.join(of("rep", "c"), "rep", "left").join(of("pivot", "d"), "pivot", "left")
     return placed.where(~F.coalesce("c", "rep").eqNullSafe(F.coalesce("d", "pivot"))).select("rep", "pivot")

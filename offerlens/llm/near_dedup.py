@@ -147,20 +147,20 @@ def table_rows(classes: DataFrame) -> DataFrame:
 
 
 def compared(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """pairs(rep, pivot) with linked, and the differences from the pivot's set by which others must be looked for.
+    """pairs(rep, pivot, bits: of rep) with linked, and the differences from the pivot's set by which others must be looked for.
 
     short: the differences that a class must share one of to be linked to a class that is not linked with the pivot;
     long: the further ones that count for a class that itself is not linked with the pivot. A pivot's text meets at most PIVOT_PAIRS or so others in a group.
     """
     many = pairs.groupBy("pivot").agg((F.floor((F.count("*") - 1) / PIVOT_PAIRS) + 1).alias("parts"))
-    dealt = materialize(pairs.join(many, "pivot").select("rep", "pivot", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part")), "dealt")
+    dealt = materialize(pairs.join(many, "pivot").select("rep", "pivot", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), "bits"), "dealt")
     wanted = dealt.select(F.col("rep").alias("doc_id")).unionByName(dealt.select(F.col("pivot").alias("doc_id"))).distinct()
     texts = materialize(join_checked(docs.select("doc_id", "text"), wanted, ["doc_id"], "left_semi"), "texts")
     of = lambda who, rows: rows.join(texts.withColumnRenamed("doc_id", who), who)
-    pivots = of("pivot", dealt.select("pivot", "part").distinct()).select("pivot", "part", F.lit(None).cast("long").alias("rep"), "text")
-    both = pivots.unionByName(of("rep", dealt).select("pivot", "part", "rep", "text"))
+    pivots = of("pivot", dealt.select("pivot", "part").distinct()).select("pivot", "part", F.lit(None).cast("long").alias("rep"), "text", F.lit(0).cast("long").alias("bits"))
+    both = pivots.unionByName(of("rep", dealt).select("pivot", "part", "rep", "text", "bits"))
     both = both.repartition("pivot", "part").sortWithinPartitions("pivot", "part", F.col("rep").asc_nulls_first())
-    schema = pa.schema([("rep", pa.int64()), ("pivot", pa.int64()), ("linked", pa.bool_()), ("added", pa.int32()), ("removed", pa.int32()), ("w", pa.float64()), ("free", pa.float64()), ("short", pa.list_(pa.int64())), ("long", pa.list_(pa.int64()))])
+    schema = pa.schema([("rep", pa.int64()), ("pivot", pa.int64()), ("linked", pa.bool_()), ("bits", pa.int64()), ("added", pa.int32()), ("removed", pa.int32()), ("w", pa.float64()), ("free", pa.float64()), ("short", pa.list_(pa.int64())), ("long", pa.list_(pa.int64()))])
     c, none = percent / (100 + percent), np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +169,7 @@ def compared(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
             for part in slices(batch):
                 s, begin = shingle_sets(*text_buffer(part.column(3)), words)
                 out = []
-                for i, (pivot, salt, rep) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist())):
+                for i, (pivot, salt, rep, bits) in enumerate(zip(*(part.column(k).to_pylist() for k in (0, 1, 2, 4)))):
                     own = s[begin[i] : begin[i + 1]]
                     if (pivot, salt) != group:
                         group, against = (pivot, salt), []
@@ -186,16 +186,16 @@ def compared(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
                         free = (1 - 2 * c) * len(other)
                         least = max(1, int(np.ceil(w - free - 1e-9)))
                         far = linked or w > free / c + 1e-6  # too far from the pivot for a link to any that is linked with it
-                        out.append((rep, pivot, bool(linked), len(added), len(removed), w, free, all_of[:n], none if far else all_of[n : len(all_of) - least + 1]))
+                        out.append((rep, pivot, bool(linked), bits, len(added), len(removed), w, free, all_of[:n], none if far else all_of[n : len(all_of) - least + 1]))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * len(schema), schema.types)], schema=schema)
 
-    return both.mapInArrow(run, "rep long, pivot long, linked boolean, added int, removed int, w double, free double, short array<long>, long array<long>")
+    return both.mapInArrow(run, "rep long, pivot long, linked boolean, bits long, added int, removed int, w double, free double, short array<long>, long array<long>")
 
 
 def bucket_pairs(met: DataFrame, rounds: int = 4) -> DataFrame:
-    """Pairs (rep, pivot) of met(key, rep, bits, p): in each bucket, all that are alike to its first class; then all alike to the first of those that were not; and so on."""
+    """Pairs (rep, pivot, bits) of met(key, rep, bits, p): in each bucket, all that are alike to its first class; then all alike to the first of those that were not; and so on."""
     alike = lambda a, b: agreeing(F.col(a), F.col(b)) >= AGREE
-    found = met.where(F.col("rep") != F.col("p.rep")).where(alike("bits", "p.bits")).select("rep", F.col("p.rep").alias("pivot")).distinct()
+    found = met.where(F.col("rep") != F.col("p.rep")).where(alike("bits", "p.bits")).select("rep", F.col("p.rep").alias("pivot"), "bits").distinct()
     rest = met.where(F.col("rep") != F.col("p.rep")).where(~alike("bits", "p.bits")).select("key", "rep", "bits")
     for _ in range(rounds):
         rest = materialize(rest, "apart")
@@ -203,26 +203,31 @@ def bucket_pairs(met: DataFrame, rounds: int = 4) -> DataFrame:
             return found
         tops = rest.groupBy("key").agg(F.min(F.struct("rep", "bits")).alias("q"))
         near = met.join(tops.hint("merge"), "key").where(F.col("rep") != F.col("q.rep")).where(alike("bits", "q.bits"))
-        found = found.unionByName(near.select("rep", F.col("q.rep").alias("pivot")).distinct())
+        found = found.unionByName(near.select("rep", F.col("q.rep").alias("pivot"), "bits").distinct())
         rest = rest.join(tops.hint("merge"), "key").where(F.col("rep") != F.col("q.rep")).where(~alike("bits", "q.bits")).select("key", "rep", "bits")
     rest = materialize(rest, "apart")
     if not rest.isEmpty():  # classes that are alike to none of their buckets' pivots, with those that are alike to them
         x, y = rest.alias("x"), met.alias("y")
         near = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.rep")) & alike("x.bits", "y.bits"))
-        found = found.unionByName(near.select(F.col("y.rep").alias("rep"), F.col("x.rep").alias("pivot")).distinct())
+        found = found.unionByName(near.select(F.col("y.rep").alias("rep"), F.col("x.rep").alias("pivot"), F.col("y.bits").alias("bits")).distinct())
     return found
 
 
 def around_pivots(tested: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs of classes that met the same pivot, of which one is not linked with it, that share differences from it; unless they are in one component already."""
+    """Pairs of classes that met the same pivot (their main one, with most links, if that is the same), of which one is not linked with it, that share differences from it; unless they are in one component already."""
     apart = materialize(tested.where("not linked").select("pivot").distinct(), "pivots")
-    every = tested.join(apart, "pivot", "left_semi")
-    columns = ["pivot", "rep", "linked", "added", "removed", "w", "free"]
+    size = tested.groupBy("pivot").agg(F.sum(F.col("linked").cast("long")).alias("size"))
+    met = tested.select("rep", "pivot").unionByName(size.select(F.col("pivot").alias("rep"), "pivot"))
+    main = met.join(size, "pivot").groupBy("rep").agg(F.max(F.struct("size", "pivot")).alias("m")).select("rep", F.col("m.pivot").alias("main"))
+    every = materialize(tested.join(apart, "pivot", "left_semi").join(main, "rep"), "around")
+    columns = ["pivot", "rep", "main", "linked", "bits", "added", "removed", "w", "free"]
     short = every.select(*columns, F.posexplode("short").alias("at", "x")).withColumn("first", F.lit(True))
     more = every.where("not linked").select(*columns, F.size("short").alias("n"), F.posexplode("long").alias("at", "x")).withColumn("at", F.col("at") + F.col("n")).drop("n").withColumn("first", F.lit(False))
     a, b = short.where("not linked").unionByName(more).alias("a"), short.alias("b")
     same = (F.col("a.pivot") == F.col("b.pivot")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.rep") != F.col("b.rep"))
     can = (F.col("a.at") < F.col("a.added")) | (F.least("a.removed", "b.removed") >= F.col("a.w") + F.col("b.w") - F.col("a.free") - 1e-6)
+    can = can & ((F.col("a.main") != F.col("b.main")) | (F.col("a.main") == F.col("a.pivot")))  # two with the same main pivot meet there only
+    can = can & (agreeing(F.col("a.bits"), F.col("b.bits")) >= AGREE)
     pairs = a.join(b, same & can & (F.col("b.linked") | (F.col("a.first") & (F.col("a.rep") > F.col("b.rep"))))).select(F.greatest("a.rep", "b.rep").alias("rep"), F.least("a.rep", "b.rep").alias("pivot")).distinct()
     of = lambda who, name: parts.select(F.col("node").alias(who), F.col("component").alias(name))
     placed = pairs.join(of("rep", "c"), "rep", "left").join(of("pivot", "d"), "pivot", "left")
@@ -243,7 +248,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     parts = components(linked(tested))
     further = materialize(around_pivots(tested, parts).join(pairs, ["rep", "pivot"], "left_anti"), "pairs")
     if not further.isEmpty():
-        parts = components(linked(tested).unionByName(linked(compared(docs, further, words, percent))))
+        parts = components(linked(tested).unionByName(linked(compared(docs, further.withColumn("bits", F.lit(0).cast("long")), words, percent))))
     named = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("set16", "n", F.coalesce("component", "rep").alias("component_id"), "rep")
     named = materialize(named.where("n > 1 or component_id != rep").drop("rep"), "named")
     out = join_hot(rows.select("doc_id", "n_shingles", "set16"), named, "set16", "n", rows.count())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import ITEM
 
@@ -17,6 +18,6 @@ def write_splits(path: str, train: DataFrame, validation: DataFrame, test: DataF
 
 def read_splits(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Each reads its own partition only."""
-    rows = spark.read.schema(f"{ITEM.toDDL()}, split STRING").parquet(path)
+    rows = spark.read.schema(T.StructType([*ITEM.fields, T.StructField("split", T.StringType())])).parquet(path)
     train, validation, test = (rows.where(F.col("split") == s).drop("split") for s in SPLITS)
     return train, validation, test

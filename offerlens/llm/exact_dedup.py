@@ -186,9 +186,9 @@ def dedup_rows(docs: DataFrame) -> DataFrame:
     kept = materialize(flags.where("kept").groupBy("doc_id", "digest").agg(F.count("*").alias("n")), "kept")
     text = F.coalesce(F.col("text"), F.lit(""))
     marked = docs.withColumn("__digest", sha256(text)).alias("d")
-    k = kept.withColumnsRenamed({"doc_id": "__id", "digest": "__kept"})
+    k = kept.withColumnsRenamed({"doc_id": "__id", "digest": "__kept", "n": "__n"})
     found = marked.join(k, F.col("d.doc_id").eqNullSafe(F.col("__id")) & (F.col("d.__digest") == F.col("__kept")))
-    once, more = found.where("n = 1"), found.where("n > 1").dropDuplicates(["doc_id", "__digest"])
+    once, more = found.where("__n = 1"), found.where("__n > 1").dropDuplicates(["doc_id", "__digest"])
     return once.unionByName(more).select(*docs.columns)
 
 

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import HOT_SHARE, join_checked, materialize, mix64, read_table, slices, text_buffer, tokens
 
 WINDOW, GRAM, PREFIX = 13, 6, 8
+#: Suffixes of a node that is broadcast, at least.
+LEAST_HOT = 1000
 #: Bytes of spans that may be broadcast.
 SPAN_BYTES = 16 << 20
 _STEP = np.uint64(0x9FB21C651E98DF25)
@@ -142,7 +144,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, prefix: int
     found = anchors(docs, window, gram)
     shared = found.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
     shared = materialize(shared.where("lo < hi").select("gram", "n"), "anchors")
-    least = max(1000, int((shared.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE))
+    least = max(LEAST_HOT, int((shared.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE))
     met = found.join(shared.hint("merge"), "gram")
     at = met.groupBy("doc_id", "rid").agg(F.collect_list("pos").alias("at"), F.collect_list(F.when(F.col("n") >= least, F.col("pos"))).alias("hot"))
     at = materialize(at, "positions")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, join_checked, materialize, mix64, read_table, slices, text_buffer, tokens
+from .common import HOT_SHARE, free_shuffles, join_checked, materialize, mix64, read_table, slices, text_buffer, tokens
 
 WINDOW, GRAM, PREFIX = 13, 6, 8
 #: Suffixes of a node that is broadcast, at least.
@@ -80,11 +80,11 @@ def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def suffixes(docs: DataFrame, window: int, gram: int, prefix: int, hot: dict[tuple[int, int], int]) -> DataFrame:
-    """(p, r, doc_id, rid, pos, sure): the suffixes of docs(doc_id, rid, text, at) whose window's anchor is in `at`; p: of their prefix, r: of the window's rest.
+    """(p, r, doc_id, rid, pos): the suffixes of docs(doc_id, rid, text, at) whose window's anchor is in `at`; p: of their prefix, r: of the window's rest.
 
-    hot: the smallest doc_id of each hot node. Its suffixes are left out if they repeat nothing, or else are sure, with a p of their own.
+    hot: the smallest doc_id of each hot node. Its suffixes are left out if they repeat nothing; the others are sure, which -1 - pos tells, and have a p of their own.
     """
-    schema = pa.schema([("p", pa.int64()), ("r", pa.int64()), ("doc_id", pa.int64()), ("rid", pa.int64()), ("pos", pa.int32()), ("sure", pa.bool_())])
+    schema = pa.schema([("p", pa.int64()), ("r", pa.int32()), ("doc_id", pa.int64()), ("rid", pa.int64()), ("pos", pa.int32())])
     sent = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,19 +100,20 @@ def suffixes(docs: DataFrame, window: int, gram: int, prefix: int, hot: dict[tup
                 at = whole[mark[anchor]]
                 n = max(0, len(h) - window + 1)
                 own = doc[at]
-                p, r = _grams(h, prefix, n, 2)[at].view(np.int64), _grams(h, window - prefix, n, 3, prefix)[at].view(np.int64)
+                p, r = _grams(h, prefix, n, 2)[at].view(np.int64), (_grams(h, window - prefix, n, 3, prefix)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 ids = part.column(0).to_numpy(zero_copy_only=False)[own]
                 sure, keep = np.zeros(len(at), bool), np.ones(len(at), bool)
-                for i in np.flatnonzero(np.isin(p ^ ((r * 31) & 0xFFFF), nodes)) if len(nodes) else ():
+                for i in np.flatnonzero(np.isin(p ^ ((r.astype(np.int64) * 31) & 0xFFFF), nodes)) if len(nodes) else ():
                     least = sent.value.get((int(p[i]), int(r[i])))
                     if least is not None:
                         keep[i] = sure[i] = ids[i] > least
                 p = np.where(sure, mix64((ids + at).astype(np.uint64)).view(np.int64), p)
-                columns = [pa.array(p), pa.array(r), part.column(0).take(pa.array(own)), part.column(1).take(pa.array(own)), pa.array((at - begin[own]).astype(np.int32)), pa.array(sure)]
+                pos = at - begin[own]
+                columns = [pa.array(p), pa.array(r), part.column(0).take(pa.array(own)), part.column(1).take(pa.array(own)), pa.array(np.where(sure, -1 - pos, pos).astype(np.int32))]
                 keep = pa.array(keep)
                 yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], schema=schema)
 
-    return docs.select("doc_id", "rid", "text", "at").mapInArrow(run, "p long, r long, doc_id long, rid long, pos int, sure boolean")
+    return docs.select("doc_id", "rid", "text", "at").mapInArrow(run, "p long, r int, doc_id long, rid long, pos int")
 
 
 def subtree_repeats(groups: DataFrame) -> DataFrame:
@@ -132,8 +133,9 @@ def subtree_repeats(groups: DataFrame) -> DataFrame:
             if node == (p[0], r[0]):
                 smallest = np.where(first == 0, least, smallest)
             node, least = (p[-1], r[-1]), smallest[-1]
-            keep = pa.array((doc > smallest) | batch.column(5).to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (2, 3, 4)], schema=schema)
+            pos = batch.column(4).to_numpy(zero_copy_only=False)
+            keep = pa.array((doc > smallest) | (pos < 0))
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (batch.column(2), batch.column(3), pa.array(np.where(pos < 0, -1 - pos, pos).astype(np.int32)))], schema=schema)
 
     return groups.mapInArrow(run, "doc_id long, rid long, pos int")
 
@@ -144,16 +146,21 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, prefix: int
     found = anchors(docs, window, gram)
     shared = found.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
     shared = materialize(shared.where("lo < hi").select("gram", "n"), "anchors")
+    free_shuffles(docs.sparkSession)
     least = max(LEAST_HOT, int((shared.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE))
     met = found.join(shared.hint("merge"), "gram")
     at = met.groupBy("doc_id", "rid").agg(F.collect_list("pos").alias("at"), F.collect_list(F.when(F.col("n") >= least, F.col("pos"))).alias("hot"))
     at = materialize(at, "positions")
+    del met
+    free_shuffles(docs.sparkSession)
     placed = lambda rows, hot: suffixes(docs.join(rows.hint("merge"), ["doc_id", "rid"]), window, gram, prefix, hot)
     hot = {}
     often = at.where(F.size("hot") > 0)
     if not often.isEmpty():
         nodes = placed(often.select("doc_id", "rid", F.col("hot").alias("at")), {}).groupBy("p", "r").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
         hot = {(r.p, r.r): r.least for r in nodes.where(F.col("n") >= least).collect()}  # at most all suffixes / least
+        del nodes
+        free_shuffles(docs.sparkSession)
     groups = placed(at.select("doc_id", "rid", "at"), hot).repartition("p").sortWithinPartitions("p", "r", "doc_id")
     flagged = subtree_repeats(groups)
     starts = flagged.groupBy("doc_id", "rid").agg(F.collect_list("pos").alias("at"))

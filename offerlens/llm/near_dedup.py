@@ -152,8 +152,10 @@ def compared(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
     short: the differences that a class must share one of to be linked to a class that is not linked with the pivot;
     long: the further ones that count for a class that itself is not linked with the pivot. A pivot's text meets at most PIVOT_PAIRS or so others in a group.
     """
-    many = pairs.groupBy("pivot").agg((F.floor((F.count("*") - 1) / PIVOT_PAIRS) + 1).alias("parts"))
-    dealt = materialize(pairs.join(many, "pivot").select("rep", "pivot", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), "bits"), "dealt")
+    many = pairs.groupBy("pivot").agg((F.floor((F.count("*") - 1) / PIVOT_PAIRS) + 1).alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = join_checked(pairs, materialize(many, "large-pivots"), ["pivot"]).select("rep", "pivot", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"), "bits")
+    dealt = materialize(dealt, "dealt")
     wanted = dealt.select(F.col("rep").alias("doc_id")).unionByName(dealt.select(F.col("pivot").alias("doc_id"))).distinct()
     texts = materialize(join_checked(docs.select("doc_id", "text"), wanted, ["doc_id"], "left_semi"), "texts")
     of = lambda who, rows: rows.join(texts.withColumnRenamed("doc_id", who), who)
@@ -215,11 +217,12 @@ def bucket_pairs(met: DataFrame, rounds: int = 4) -> DataFrame:
 
 def around_pivots(tested: DataFrame, parts: DataFrame) -> DataFrame:
     """Pairs of classes that met the same pivot (their main one, with most links, if that is the same), of which one is not linked with it, that share differences from it; unless they are in one component already."""
-    apart = materialize(tested.where("not linked").select("pivot").distinct(), "pivots")
-    size = tested.groupBy("pivot").agg(F.sum(F.col("linked").cast("long")).alias("size"))
-    met = tested.select("rep", "pivot").unionByName(size.select(F.col("pivot").alias("rep"), "pivot"))
-    main = met.join(size, "pivot").groupBy("rep").agg(F.max(F.struct("size", "pivot")).alias("m")).select("rep", F.col("m.pivot").alias("main"))
-    every = materialize(tested.join(apart, "pivot", "left_semi").join(main, "rep"), "around")
+    size = tested.groupBy("pivot").agg(F.sum(F.col("linked").cast("long")).alias("size"), F.count("*").alias("n")).where("size < n").drop("n")
+    size = materialize(size, "pivots")  # of those with classes that are not linked with them
+    around = materialize(tested.join(size, "pivot"), "around")
+    met = around.select("rep", "pivot", "size").unionByName(size.select(F.col("pivot").alias("rep"), "pivot", "size"))
+    main = met.groupBy("rep").agg(F.max(F.struct("size", "pivot")).alias("m")).select("rep", F.col("m.pivot").alias("main"))
+    every = materialize(around.join(main, "rep"), "around")
     columns = ["pivot", "rep", "main", "linked", "bits", "added", "removed", "w", "free"]
     short = every.select(*columns, F.posexplode("short").alias("at", "x")).withColumn("first", F.lit(True))
     more = every.where("not linked").select(*columns, F.size("short").alias("n"), F.posexplode("long").alias("at", "x")).withColumn("at", F.col("at") + F.col("n")).drop("n").withColumn("first", F.lit(False))

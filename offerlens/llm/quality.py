@@ -1,7 +1,8 @@
 """Operator 2, quality classifier by compression.
 
 Two zstandard dictionaries are trained, on good and on bad labelled texts. A text's compressed size under the bad
-dictionary minus that under the good one, over its length, is its evidence; a logistic curve fitted on labelled texts
+dictionary minus that under the good one, over its length, is its evidence. Texts are compressed in independent pieces of
+PIECE bytes, each with the fresh dictionary, so that a long text's own history doesn't take the dictionaries' place; a logistic curve fitted on labelled texts
 that no dictionary has seen turns it into a probability, weighted so that classes count as often as they are labelled.
 
 The fit uses a bounded sample: per class the SAMPLE_DOCS labelled documents with the smallest hash of their doc_id, as
@@ -29,7 +30,7 @@ from .common import crc_mod, read_table, slices
 SAMPLE_DOCS = 4000
 SAMPLE_BYTES = 8 << 20
 DICTIONARY_BYTES = 96 << 10
-#: Pieces in which sample texts are given to the dictionary trainer.
+#: Bytes of the pieces in which texts are compressed and given to the dictionary trainer.
 PIECE = 2048
 LEVEL = 3
 SEED = 71
@@ -60,7 +61,8 @@ class Scorer:
         """The normalised difference of compressed sizes; above 0: more like good texts."""
         if not text or not (self.good and self.bad):
             return 0.0
-        return (len(self.bad.compress(text)) - len(self.good.compress(text))) / len(text)
+        pieces = [text[i : i + PIECE] for i in range(0, len(text), PIECE)]
+        return sum(len(self.bad.compress(x)) - len(self.good.compress(x)) for x in pieces) / len(text)
 
     def score(self, text: bytes) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.model.slope * self.evidence(text) + self.model.base, -500, 500))))

@@ -102,6 +102,17 @@ def test_quality_learns_labels_and_scores_all(spark, docs, rows, no_docs):
     assert quality.scored(no_docs, model).count() == 0
 
 
+def test_quality_of_a_long_text_is_that_of_its_parts():
+    rng = random.Random(6)
+    stems = ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(4000)]
+    text = lambda k: " ".join(rng.choices(stems[2000 * k : 2000 * k + 2000], k=200)).encode()
+    scorer = quality.Scorer(quality.fit([text(0) for _ in range(300)], [text(1) for _ in range(100)], (3.0, 0.5)))
+    parts = [text(1) for _ in range(1000)]
+    mean, whole = sum(map(scorer.evidence, parts)) / len(parts), scorer.evidence(b" ".join(parts))
+    assert mean < 0 and abs(whole - mean) < 0.1 * abs(mean)
+    assert scorer.score(b" ".join(parts)) < 0.05
+
+
 def test_quality_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in quality.scored(docs, quality.train(docs, none)).collect()} == {0.5}

@@ -5,8 +5,9 @@ dictionary minus that under the good one, over its length, is its evidence. Text
 PIECE bytes, each with the fresh dictionary, so that a long text's own history doesn't take the dictionaries' place; a logistic curve fitted on labelled texts
 that no dictionary has seen turns it into a probability, weighted so that classes count as often as they are labelled.
 
-The fit uses a bounded sample: per class the SAMPLE_DOCS labelled documents with the smallest hash of their doc_id, as
-far as whole texts of SAMPLE_BYTES together go. Every document is scored, from its whole text alone.
+The fit uses a bounded sample: per class the SAMPLE_DOCS labelled documents with the smallest hash of their doc_id. If
+their texts together exceed SAMPLE_BYTES, each text above a bound that makes them fit is represented by pieces of PIECE bytes,
+spread evenly over it; no text is left out for the length of another. Every document is scored, from its whole text alone.
 
 Defined cases: a null text counts as empty; an empty text has no evidence (0), so it gets the curve's value there.
 Labels that are null or neither 0 nor 1, or without a document, are not used. Without labels of both classes the score is the share of
@@ -105,16 +106,49 @@ def fit(good: list[bytes], bad: list[bytes], weights: tuple[float, float] = (1.0
     return Model(*dictionaries, *logistic(x, y, np.where(y == 1, *weights)))
 
 
+def text_bound(sizes: dict[int, int], most: int) -> int:
+    """The largest bound, at least PIECE, for which texts cut off at it have `most` bytes together. sizes: texts by length."""
+    left, texts = most, sum(sizes.values())
+    for size in sorted(sizes):
+        if size * texts > left:
+            return max(PIECE, left // texts)
+        left -= size * sizes[size]
+        texts -= sizes[size]
+    return max(PIECE, *sizes) if sizes else PIECE
+
+
+def spread(text: bytes, bound: int) -> bytes:
+    """The text, or pieces of it at even distances with about `bound` bytes together."""
+    if len(text) <= bound:
+        return text
+    n = max(1, bound // PIECE)
+    return b"".join(text[i * len(text) // n :][:PIECE] for i in range(n)) if n * PIECE < len(text) else text
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Fits on labels(doc_id, quality) of docs(doc_id, text). At most 2 * sample_bytes of text come to the driver."""
+    """Fits on labels(doc_id, quality) of docs(doc_id, text). At most 2 * max(sample_bytes, PIECE * sample_docs) bytes of text come to the driver."""
     place = F.xxhash64(F.lit(SEED), "doc_id")
     labels = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     totals = {r.quality: r["n"] for r in labels.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     picked = [labels.where(F.col("quality") == q).withColumn("place", place).orderBy("place", "doc_id").limit(sample_docs) for q in (0, 1)]
     sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
-    order = Window.partitionBy("quality").orderBy("place", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
-    rows = sample.withColumn("sum", F.sum(F.octet_length("text")).over(order)).where(F.col("sum") <= sample_bytes).orderBy("place", "doc_id", "text").select("quality", "text").collect()
-    texts = {q: [r.text.encode() for r in rows if r.quality == q] for q in (1, 0)}
+    order = Window.partitionBy("quality").orderBy("place", "doc_id", "text")  # rows that repeat a doc_id count as documents of their own
+    sample = sample.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs).drop("rank")
+    sizes: dict[int, dict[int, int]] = {0: {}, 1: {}}
+    for r in sample.groupBy("quality", F.octet_length("text").alias("size")).agg(F.count("*").alias("n")).collect():
+        sizes[r.quality][r["size"]] = r["n"]
+    bounds = [text_bound(sizes[q], sample_bytes) for q in (0, 1)]
+    schema = pa.schema([("place", pa.int64()), ("doc_id", pa.int64()), ("quality", pa.int32()), ("part", pa.binary())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                parts = [spread(t.encode(), bounds[q]) for q, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(parts, pa.binary())], schema=schema)
+
+    cuts = sample.select("place", F.col("doc_id").cast("long").alias("doc_id"), "quality", "text").mapInArrow(cut, "place long, doc_id long, quality int, part binary")
+    rows = cuts.orderBy("place", "doc_id", "part").collect()
+    texts = {q: [bytes(r.part) for r in rows if r.quality == q] for q in (1, 0)}
     return fit(texts[1], texts[0], tuple(totals.get(q, 0) / max(1, len(texts[q])) for q in (1, 0)))
 
 

@@ -113,6 +113,27 @@ def test_quality_of_a_long_text_is_that_of_its_parts():
     assert scorer.score(b" ".join(parts)) < 0.05
 
 
+def test_quality_sample_keeps_texts_behind_very_long_ones(spark):
+    rng = random.Random(8)
+    text = lambda k, n: " ".join(f"{rng.choice(('the', 'of', 'anth', 'isto'))}{'%$'[k]}{rng.randint(0, 99)}" for _ in range(n))
+    order = [r.id for r in spark.range(60).orderBy(F.xxhash64(F.lit(quality.SEED), "id")).collect()]
+    long_ones = {order[0], order[1]} | {next(i for i in order if i % 2 == q) for q in (0, 1)}
+    docs = spark.createDataFrame([(i, text(i % 2, 40_000 if i in long_ones else 60)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = quality.train(docs, labels, sample_bytes=100_000)
+    assert model.good and model.bad
+    got = {r.doc_id: r.score for r in quality.scored(docs, model).collect()}
+    assert all((got[i] >= 0.5) == (i % 2 == 1) for i in got)
+
+
+def test_quality_text_bound():
+    assert quality.text_bound({10: 3, 5000: 2}, 20_000) >= 5000
+    assert quality.text_bound({10: 3, 50_000: 2, 10**9: 1}, 30_030) == 10_000
+    assert quality.text_bound({50_000: 10}, 100) == quality.PIECE and quality.text_bound({}, 100) == quality.PIECE
+    text = bytes(rng % 251 for rng in range(100_000))
+    assert quality.spread(text, 100_000) == text and len(quality.spread(text, 10_240)) == 10_240
+
+
 def test_quality_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in quality.scored(docs, quality.train(docs, none)).collect()} == {0.5}

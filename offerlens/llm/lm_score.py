@@ -1,13 +1,20 @@
 """Operator 1, LM scoring by a hashed maximum-entropy model with class-factored softmax.
 
-P(word | context) = P(class | context) * P(word | class, context). The HEAD most frequent words (the end is one) make
-CLASSES classes of equal size, by rank; each other word belongs to one of TAILS classes by its first two bytes, and is
+P(word | context) = P(class | context) * P(word | class, context). The most frequent words, the head (the end is one), make
+classes of equal size, by rank; each other word belongs to one of TAILS classes by its first two bytes, and is
 distributed in it by its count. Both softmaxes are linear in hashed features of the context: the previous word,
 the one before it (skip) and both together, where words outside the head count as their tail class.
 
 Training reads every training document: exact counts of all words, then counts of all (word before, previous word,
 word) triples. Shards of the triples run weighted Adagrad steps from the same weights; what each has changed is averaged
-by row of weights, in ROUNDS rounds. Scoring takes each distinct triple of a batch once, with numpy.
+by row of weights, in ROUNDS rounds.
+
+What is learnt grows with the corpus. Words that occur at least sqrt(training tokens) / FREQUENT times set a size m: the head
+has HEAD * m**2 words in CLASSES * m classes of PER_CLASS * m, and ROWS * m rows of hashed weights. Of tokens with a power law
+of words that is a head by the square root of the tokens. Only the packing of triples ends it, at MOST_SIZE (2 million words).
+A shard's triples grow with the rows, so that what shards send stays in proportion to the triples.
+
+Scoring takes each distinct triple of a batch once, with numpy.
 
 Counts of words in the training documents: those with at least 1/WARM of all tokens are broadcast, so at most WARM; the
 others are joined by hash, and none of them can be frequent. Words are counted by a 64-bit hash, five bits of it their tail class.
@@ -32,15 +39,17 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, materialize, mix64, read_table, slices, text_buffer, tokens
 
+#: Sizes of the smallest model; TAILS is that of all.
 CLASSES, PER_CLASS, TAILS = 8, 32, 32
 HEAD = CLASSES * PER_CLASS
 START = HEAD + TAILS
 #: Rows of hashed weights, for classes and for words.
 ROWS = 1 << 13
+FREQUENT, MOST_SIZE = 8, 90
 WARM = 400_000
 ROUNDS, LOCAL_EPOCHS, BATCH, RATE = 2, 1, 4096, 0.4
-#: Triples in a training shard, about, and the most shards; there are at most (START + 1)**2 * START triples, whatever the input.
-SHARD_TRIPLES, MOST_SHARDS = 250_000, 512
+#: Triples in a training shard: as many for each row of weights, and at least.
+ROW_TRIPLES, SHARD_TRIPLES = 64, 250_000
 END = np.uint64(0x5AFE0E2D << 5)
 _LOG10 = math.log10(math.e)
 
@@ -73,10 +82,20 @@ class Vocabulary:
     total: int
     distinct: int
 
+    @property
+    def words(self) -> int:
+        """Size of the head, with places that no word has."""
+        return len(self.head_count)
+
+    @property
+    def bits(self) -> int:
+        """Of an id in a packed triple."""
+        return packed_bits(self.words)
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """Ids: of head words their own, of others their tail class's."""
         at = np.minimum(np.searchsorted(self.head, h), len(self.head) - 1)
-        return np.where(self.head[at] == h, self.ids[at], HEAD + (h & np.uint64(31)).astype(np.int64))
+        return np.where(self.head[at] == h, self.ids[at], self.words + (h & np.uint64(31)).astype(np.int64))
 
     def counts(self, h: np.ndarray) -> np.ndarray:
         """Counts of warm words, -1 for others."""
@@ -86,47 +105,55 @@ class Vocabulary:
         return np.where(self.warm[at] == h, self.warm_count[at], -1)
 
 
-def triples(doc: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """(word before, previous word, word) of each token, packed 11 bits each."""
-    one, two = np.full(len(ids), START, np.int64), np.full(len(ids), START, np.int64)
+def packed_bits(head: int) -> int:
+    return max(11, (head + TAILS).bit_length())
+
+
+def triples(doc: np.ndarray, ids: np.ndarray, head: int = HEAD) -> np.ndarray:
+    """(word before, previous word, word) of each token, packed packed_bits(head) bits each."""
+    bits, start = packed_bits(head), head + TAILS
+    one, two = np.full(len(ids), start, np.int64), np.full(len(ids), start, np.int64)
     same = doc[1:] == doc[:-1]
     one[1:][same] = ids[:-1][same]
     same = doc[2:] == doc[:-2]
     two[2:][same] = ids[:-2][same]
-    return (two << 22) | (one << 11) | ids
+    return (two << 2 * bits) | (one << bits) | ids
 
 
-def _hashed(x: np.ndarray, salt: int) -> np.ndarray:
+def _hashed(x: np.ndarray, salt: int, rows: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return (mix64(x.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + np.uint64(salt)) % np.uint64(ROWS)).astype(np.int64)
+        return (mix64(x.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + np.uint64(salt)) % np.uint64(rows)).astype(np.int64)
 
 
 class MaxEnt:
-    """Weights: class_w [ROWS, CLASSES + TAILS] and word_w [ROWS, PER_CLASS], with biases that make the start the words' own frequencies."""
+    """Weights: class_w [rows, classes + TAILS] and word_w [rows, per_class], with biases that make the start the words' own frequencies."""
 
     def __init__(self, class_bias: np.ndarray, word_bias: np.ndarray):
         self.class_bias, self.word_bias = class_bias.astype(np.float32), word_bias.astype(np.float32)
-        self.class_w = np.zeros((ROWS, CLASSES + TAILS), np.float32)
-        self.word_w = np.zeros((ROWS, PER_CLASS), np.float32)
+        self.classes, self.per_class = word_bias.shape
+        self.head, self.rows = word_bias.size, ROWS * (self.classes // CLASSES)
+        self.bits = packed_bits(self.head)
+        self.class_w = np.zeros((self.rows, self.classes + TAILS), np.float32)
+        self.word_w = np.zeros((self.rows, self.per_class), np.float32)
 
     @classmethod
     def from_counts(cls, v: Vocabulary) -> MaxEnt:
-        word = v.head_count.reshape(CLASSES, PER_CLASS) + 0.01
-        classes = np.concatenate([v.head_count.reshape(CLASSES, PER_CLASS).sum(1), v.tail_tokens]) + 1.0
+        m = math.isqrt(v.words // HEAD)
+        count = v.head_count.reshape(CLASSES * m, PER_CLASS * m)
+        word = count + 0.01
+        classes = np.concatenate([count.sum(1), v.tail_tokens]) + 1.0
         return cls(np.log(classes / classes.sum()), np.log(word / word.sum(1, keepdims=True)))
 
-    @staticmethod
-    def parts(triple: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def parts(self, triple: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Packed context, class and place in the class of each triple."""
-        word = triple & 2047
-        head = word < HEAD
-        return triple >> 11, np.where(head, word // PER_CLASS, CLASSES + word - HEAD), np.where(head, word % PER_CLASS, -1)
+        word = triple & ((1 << self.bits) - 1)
+        head = word < self.head
+        return triple >> self.bits, np.where(head, word // self.per_class, self.classes + word - self.head), np.where(head, word % self.per_class, -1)
 
-    @staticmethod
-    def features(context: np.ndarray, salt: int | np.ndarray = 0) -> list[np.ndarray]:
+    def features(self, context: np.ndarray, salt: int | np.ndarray = 0) -> list[np.ndarray]:
         """Rows of the three features of each context: previous word, skip, both. salt: the class, for the words' softmax."""
-        by = np.asarray(salt, np.int64) << 24
-        return [_hashed((context & 2047) | by, 1), _hashed((context >> 11) | by, 2), _hashed(context | by, 3)]
+        by = np.asarray(salt, np.int64) << (2 * self.bits + 2)
+        return [_hashed(x | by, k, self.rows) for k, x in enumerate((context & ((1 << self.bits) - 1), context >> self.bits, context), 1)]
 
     def class_log(self, rows: list[np.ndarray]) -> np.ndarray:
         x = self.class_w[rows[0]] + self.class_w[rows[1]] + self.class_w[rows[2]] + self.class_bias
@@ -216,13 +243,15 @@ def _summed(docs: DataFrame, key, schema: str) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, warm: int = WARM) -> Vocabulary:
-    """Of counts(key, n) of all training tokens. At most HEAD + warm rows come to the driver."""
+    """Of counts(key, n) of all training tokens. At most the head and warm rows come to the driver."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     end = int(END.view(np.int64))
-    rows = counts.where(F.col("key") != end).orderBy(F.col("n").desc(), "key").limit(HEAD - 1).collect()
+    frequent = counts.where((F.col("n") >= math.sqrt(total) / FREQUENT) & (F.col("key") != end)).count() + 1
+    size = HEAD * min(MOST_SIZE, max(1, math.isqrt(frequent // HEAD))) ** 2
+    rows = counts.where(F.col("key") != end).orderBy(F.col("n").desc(), "key").limit(size - 1).collect()
     rows += counts.where(F.col("key") == end).collect() or [(end, 0)]
     rows.sort(key=lambda r: (-r[1], r[0]))
-    head, head_count = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.zeros(HEAD)
+    head, head_count = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.zeros(size)
     head_count[: len(rows)] = [r[1] for r in rows]
     order = np.argsort(head)
     heads = counts.sparkSession.createDataFrame([(int(r[0]),) for r in rows], "key long")
@@ -243,10 +272,10 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> MaxEnt:
     """Distributed gradient updates over the counted triples of docs(text)."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(v)
-    counted = materialize(_summed(docs, lambda doc, h: triples(doc, _ids(sent.value, h)), "key long, n long"), "triples")
-    shards = min(MOST_SHARDS, max(1, round(counted.count() / SHARD_TRIPLES)))
+    counted = materialize(_summed(docs, lambda doc, h: triples(doc, _ids(sent.value, h), sent.value.words), "key long, n long"), "triples")
     model = MaxEnt.from_counts(v)
-    width = CLASSES + TAILS + PER_CLASS
+    shards = max(1, round(counted.count() / max(SHARD_TRIPLES, ROW_TRIPLES * model.rows)))
+    width = model.classes + TAILS + model.per_class
     fields = pa.schema([("row", pa.int32()), ("change", pa.binary()), ("n", pa.int64())])
     for turn in range(rounds):
         now = spark.sparkContext.broadcast(model)
@@ -260,9 +289,10 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> MaxEnt:
             own.class_w, own.word_w = begun.class_w.copy(), begun.word_w.copy()
             order = np.argsort(key)  # not the order in which rows came
             own.learn(key[order], n[order], seed=turn)
-            change = np.concatenate([own.class_w - begun.class_w, own.word_w - begun.word_w], axis=1)
-            rows = np.flatnonzero(np.abs(change).max(axis=1) > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array([x.tobytes() for x in change[rows]], pa.binary()), pa.array(np.ones(len(rows), np.int64))], schema=fields)
+            for i in range(0, own.rows, ROWS):
+                change = np.concatenate([own.class_w[i : i + ROWS] - begun.class_w[i : i + ROWS], own.word_w[i : i + ROWS] - begun.word_w[i : i + ROWS]], axis=1)
+                rows = np.flatnonzero(np.abs(change).max(axis=1) > 0)
+                yield pa.RecordBatch.from_arrays([pa.array((rows + i).astype(np.int32)), pa.array([x.tobytes() for x in change[rows]], pa.binary()), pa.array(np.ones(len(rows), np.int64))], schema=fields)
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, list] = {}
@@ -276,13 +306,12 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> MaxEnt:
                         sums[row] = [x.astype(np.float64), 1]
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(s / n).astype(np.float32).tobytes() for s, n in sums.values()], pa.binary()), pa.array([n for _, n in sums.values()], pa.int64())], schema=fields)
 
-        # a shard takes a bounded part of the bounded number of different triples
         parts = counted.repartition(shards, "key").mapInArrow(run, "row int, change binary, n long")
-        changes = parts.repartition("row").mapInArrow(add, "row int, change binary, n long").collect()  # at most ROWS rows
+        changes = parts.repartition("row").mapInArrow(add, "row int, change binary, n long").collect()  # at most model.rows rows
         for row, change, _ in changes:
             x = np.frombuffer(bytes(change), np.float32)
-            model.class_w[row] += x[: width - PER_CLASS]
-            model.word_w[row] += x[width - PER_CLASS :]
+            model.class_w[row] += x[: width - model.per_class]
+            model.word_w[row] += x[width - model.per_class :]
     return model
 
 
@@ -307,9 +336,9 @@ def scored(docs: DataFrame, counts: DataFrame, v: Vocabulary, model: MaxEnt) ->
                 own, at = np.unique(h, return_inverse=True)
                 ids, count = v.find(own), v.counts(own)
                 log_count = np.where(count >= 0, np.log10(np.maximum(count, 0) + 1), 0.0)
-                in_tail = ids >= HEAD
-                tail_part = np.where(in_tail, np.where(count >= 0, log_count, 0.0) - tail_log[np.maximum(ids - HEAD, 0)], 0.0)
-                triple, where = np.unique(triples(doc, ids[at]), return_inverse=True)
+                in_tail = ids >= v.words
+                tail_part = np.where(in_tail, np.where(count >= 0, log_count, 0.0) - tail_log[np.maximum(ids - v.words, 0)], 0.0)
+                triple, where = np.unique(triples(doc, ids[at], v.words), return_inverse=True)
                 score = np.bincount(doc, model.log10(triple)[where] + tail_part[at], docs)
                 cold = np.flatnonzero((count < 0)[at])
                 pair, times = np.unique(doc[cold] * np.int64(len(own)) + at[cold], return_counts=True)

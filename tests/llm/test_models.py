@@ -66,6 +66,20 @@ def test_lm_learns_what_follows_what():
     assert (model.log10(t) > before + 0.5).all()
 
 
+def test_lm_grows_with_the_counts(spark):
+    made = lambda words: lm_score.vocabulary(spark.range(1, words + 1).selectExpr("xxhash64(id) as key", "1000 + id as n"))
+    small, large = (lm_score.MaxEnt.from_counts(made(n)) for n in (300, 9000))
+    assert (small.head, small.rows) == (lm_score.HEAD, lm_score.ROWS) and large.head == 25 * lm_score.HEAD and large.rows == 5 * lm_score.ROWS
+    assert large.word_w.shape[1] * large.classes == large.head
+    ids = np.array([4000, 5000, 6000, 4000, 5000, 6000])
+    t = lm_score.triples(np.array([0, 0, 0, 1, 1, 1]), ids, large.head)
+    before = large.log10(np.unique(t))
+    large.learn(*np.unique(t, return_counts=True), 1, epochs=20)
+    assert (large.log10(np.unique(t)) > before + 0.5).all()
+    every = (t[2] >> large.bits << large.bits) | np.arange(large.head + lm_score.TAILS)
+    assert math.isclose((10 ** large.log10(every)).sum(), 1, rel_tol=1e-4)
+
+
 def test_lm_beats_the_base_on_held_out_text(spark):
     rng = random.Random(2)
     tongues = [["%s%d" % (c, i) for i in range(40)] for c in "abcd"]

@@ -6,6 +6,9 @@ places is kept, and the gaps between them are aligned in the same way; gaps with
 beginnings and ends. Coverage is the share of the template's words that are aligned; a license is found
 if it is at least LEAST and the matched part is not padded to more than STRETCH times its words.
 
+Names and numbers of a template tell licenses apart: each must be aligned, and other names or numbers that are left over in
+the document beside them (GNU *Lesser* General, BY-*ND*, 2.*1*) are a conflict, whatever the coverage.
+
 Screen, without loss: a template with a coverage of LEAST or more has, of any floor((1 - LEAST) * n) + 1 of its words,
 at least one in the document; only documents with one of its longest words are aligned.
 
@@ -31,6 +34,8 @@ LEAST = 0.8
 STRETCH = 1.6
 #: Words of a template with more others between them belong to different regions.
 GAP = 12
+#: Words that name licenses; of a template, these and its numbers distinguish it.
+NAMES = frozenset("mit apache gnu general public lesser library affero bsd isc mozilla eclipse eupl boost cc by nc nd sa attribution noncommercial sharealike noderivatives noderivs unencumbered".split())
 _WORD = re.compile(r"[a-z0-9]+")
 
 #: Notices and texts of public licenses.
@@ -60,6 +65,22 @@ TEMPLATES = {
 }
 
 
+def distinguishing(template: list[str]) -> set[str]:
+    return {w for w in template if w.isdigit() or (w in NAMES and (w != "by" or "cc" in template))}
+
+
+def agrees(words: list[str], template: list[str], pairs: list[tuple[int, int]]) -> bool:
+    """Whether all distinguishing words are aligned and no others stand beside them."""
+    own = distinguishing(template)
+    if not own <= {template[j] for _, j in pairs}:
+        return False
+    for (i, j), (k, m) in zip(pairs, pairs[1:]):
+        if template[j] in own or template[m] in own:
+            if any((w.isdigit() and w != "0") or (w in NAMES and w not in ("by", "public", "general")) for w in words[i + 1 : k]):
+                return False
+    return True
+
+
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
@@ -154,8 +175,9 @@ class Scanner:
         for s in range(first, behind):
             if s < at or words[s] not in head:
                 continue
-            pairs = align(words[s : min(behind, s + width)], template)
-            if len(pairs) >= self.least * n and pairs[-1][0] - pairs[0][0] + 1 <= STRETCH * len(pairs):
+            part = words[s : min(behind, s + width)]
+            pairs = align(part, template)
+            if len(pairs) >= self.least * n and pairs[-1][0] - pairs[0][0] + 1 <= STRETCH * len(pairs) and agrees(part, template, pairs):
                 at = s + pairs[-1][0] + 1
                 out.append(Match(name, len(pairs) / n, s + pairs[0][0], at, n))
         return out

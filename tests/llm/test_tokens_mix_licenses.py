@@ -152,6 +152,14 @@ def test_licenses():
     assert {m.name for m in both} == {"Apache-2.0", "MIT"}
 
 
+@pytest.mark.parametrize("text", [
+    "Released under the BSD License.", "Licensed under the Apache License", "Licensed under the EUPL License", "Licensed under CC BY-ND 4.0.",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+])
+def test_a_license_is_not_taken_for_another(text):
+    assert not licenses.Scanner().find(text)
+
+
 def test_license_rows(docs, rows, no_docs):
     got = licenses.scanned(docs).collect()
     assert len(got) == len(rows)

@@ -5,20 +5,27 @@ each are computed once; every pair of a group from the first and one from the se
 GROUPS * GROUPS tables of 2 * HALF minhashes need only 2 * GROUPS * HALF minhashes instead of GROUPS**2 * 2 * HALF. A link
 of exactly 0.8 meets in no table with a probability of 2 * (1 - 0.8**2)**8, 0.0006; closer ones far less often.
 
-Equal sets become one class first. In each bucket, every class is paired with one pivot, never with all; those whose
-packed minhash bits speak against a link with it (5 standard deviations) get another pivot. Pairs are confirmed on the full sets.
-
-Two classes that met the same pivot may still be linked although one of them, x, is not linked with the pivot P. Let a
-class differ from P by r removed and a added shingles, and w = (1 - c) r + c a with c = t / (1 + t), t the least
-similarity. Then x and y are linked if and only if they share at least w_x + w_y - (1 - 2c)|P| of these differences,
-which is more than w_y, as x is not linked with P. So only classes that share one of the first differences (added ones first, which
-are rare; the prefix rule of set joins) are compared, and by a removed one only if the smaller number of removed ones reaches that bound
-(with a common added one, they meet by that). Thus near copies that are all linked to a pivot, or too far from it, make no pairs
-among each other, and no link between classes that met a pivot is lost.
+Equal sets become one class first, told apart by a 64-bit hash of the set. Classes that share a bucket are candidates.
+They are never paired with each other: each meets its buckets' pivots, the classes that share most buckets with others.
+
+1. Each class is compared on full sets with the pivot that it shares most buckets with; then with those of its other
+   pivots that are not in its component yet. All these candidates are decided now.
+2. Two classes may be linked though they met only a pivot in common. A group is a component that holds a pivot and all
+   classes that met it. Only groups with classes of several components are looked at further. Each class of a group is compared with the
+   group's centre, which gives the shingles it adds to the centre and those it lacks. What more than half of the group
+   adds or lacks is corrected in the centre: a consensus set C, with each class as C without r removed and with a added
+   shingles. With t the least similarity, c = t / (1 + t) and w = (1 - c) r + c a, the classes x and y are linked if and only if they have
+   at least w_x + w_y - (1 - 2c)|C| of these differences in common. The class with the least w is compared with all of
+   its group by this. For all others the bound is above 0, so those that are linked share a difference, and by the prefix rule of
+   set joins one among the first of each (rare ones first, added before removed). Classes of different components that share such a difference
+   and can reach the bound by their numbers of differences are compared exactly; if they share no added one, the removed ones must reach it.
+
+So no link between classes that share a bucket is lost, and copies that are in one component, or too far apart, make no pairs.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; texts with fewer words than a shingle
-have the sequence as one. Null doc_ids are linked with nothing (component_id null, kept). Rows that repeat a doc_id
-are one node. Equal sets are linked. An empty table gives an empty result. Extra columns are never read.
+have the sequence as one. Very long texts are compared whole, in numpy. Null doc_ids are linked with nothing (component_id null, kept).
+Rows that repeat a doc_id count by their own texts; equal sets are linked. An empty table gives an empty result.
+Extra columns are never read.
 """
 
 from __future__ import annotations
@@ -27,18 +34,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import join_checked, join_hot, materialize, mix64, read_table, slices, text_buffer, tokens
+from .common import BROADCAST_ROWS, discard, join_checked, join_hot, materialize, mix64, read_table, slices, text_buffer, tokens
 from .graph import components
 
 GROUPS, HALF = 8, 2
 HASHES = 2 * GROUPS * HALF
-#: Of the 32 minhashes' two low bits, at least so many must agree: 27.2 +- 2.0 do at a similarity of 0.8.
-AGREE = 17
 #: Pairs with one pivot that one task's group confirms.
 PIVOT_PAIRS = 256
+#: Numbers that a broadcast lookup of groups may hold.
+GROUP_NUMBERS = 2_000_000
 _ODD = mix64(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 _ADD = mix64(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
 
@@ -96,174 +103,260 @@ def table_keys(signature: np.ndarray) -> np.ndarray:
     return keys.reshape(len(signature), -1).view(np.int64)
 
 
-def packed(signature: np.ndarray) -> np.ndarray:
-    """The two low bits of each of 32 minhashes, as int64."""
-    out = np.zeros(len(signature), np.uint64)
-    for j in range(32):
-        out |= (signature[:, j].astype(np.uint64) & np.uint64(3)) << np.uint64(2 * j)
-    return out.view(np.int64)
-
-
-def agreeing(a: Column, b: Column) -> Column:
-    x = a.bitwiseXOR(b)
-    return F.lit(32) - F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-
-
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, set16: a 128-bit digest of the set, signature) of each row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set16", pa.binary()), ("signature", pa.binary())])
+    """(doc_id, rid: a hash of the text, n_shingles, node: a hash of the set, signature) of each row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("signature", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                s, begin = shingle_sets(*text_buffer(part.column(1)), words)
+                s, begin = shingle_sets(*text_buffer(part.column(2)), words)
                 n = np.diff(begin)
-                sums = np.zeros((len(n), 2), np.uint64)
+                sums = np.zeros(len(n), np.uint64)
                 full = np.flatnonzero(n > 0)
                 if len(full):
                     with np.errstate(over="ignore"):
-                        for k in (0, 1):
-                            sums[full, k] = np.add.reduceat(mix64(s + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15)), begin[full])
+                        sums[full] = mix64(np.add.reduceat(mix64(s + np.uint64(0x9E3779B97F4A7C15)), begin[full]) + n[full].astype(np.uint64))
                 signature = minhashes(s, begin)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in sums], pa.binary()), pa.array([x.tobytes() for x in signature], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(sums.view(np.int64)), pa.array([x.tobytes() for x in signature], pa.binary())], schema=schema)
+
+    return with_rid(docs).mapInArrow(run, "doc_id long, rid long, n_shingles long, node long, signature binary")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set16 binary, signature binary")
+
+def with_rid(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text").alias("rid"), "text")
 
 
 def table_rows(classes: DataFrame) -> DataFrame:
-    """classes(rep, signature) as (key, rep, bits), a row for each table."""
-    schema = pa.schema([("key", pa.int64()), ("rep", pa.int64()), ("bits", pa.int64())])
+    """classes(node, signature) as (key, node), a row for each table."""
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 signature = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(part.num_rows, HASHES)
-                keys, tables = table_keys(signature), GROUPS * GROUPS
-                rep = part.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(rep, tables)), pa.array(np.repeat(packed(signature), tables))], schema=schema)
+                node = part.column(0).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(table_keys(signature).ravel()), pa.array(np.repeat(node, GROUPS * GROUPS))], schema=schema)
+
+    return classes.select("node", "signature").mapInArrow(run, "key long, node long")
 
-    return classes.select("rep", "signature").mapInArrow(run, "key long, rep long, bits long")
 
+def met_pivots(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, pivot, shared: buckets), and (node, weight) of the classes in buckets with others. A bucket's pivot is its class with most weight: classes met in all its buckets."""
+    busy = table_rows(classes).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(table_rows(classes).join(busy.hint("merge"), "key"), "buckets")
+    weights = materialize(members.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
+    tops = members.join(weights.hint("merge"), "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
+    met = members.join(tops.hint("merge"), "key").where("node != pivot").groupBy("node", "pivot").agg(F.count("*").alias("shared"))
+    met = materialize(met, "met")
+    discard(members)
+    return met, weights
 
-def compared(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """pairs(rep, pivot, bits: of rep) with linked, and the differences from the pivot's set by which others must be looked for.
 
-    short: the differences that a class must share one of to be linked to a class that is not linked with the pivot;
-    long: the further ones that count for a class that itself is not linked with the pivot. A pivot's text meets at most PIVOT_PAIRS or so others in a group.
+def compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int, differences: bool = False) -> DataFrame:
+    """pairs(node, pivot) with linked, by the full sets, and, if wanted, the pivot's size and the shingles added to the pivot's and removed from them.
+
+    A pivot's text meets at most PIVOT_PAIRS or so others in a group; a task holds one pivot's set at a time.
     """
     many = pairs.groupBy("pivot").agg((F.floor((F.count("*") - 1) / PIVOT_PAIRS) + 1).alias("parts")).where("parts > 1")
-    parts = F.coalesce("parts", F.lit(1))
-    dealt = join_checked(pairs, materialize(many, "large-pivots"), ["pivot"]).select("rep", "pivot", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"), "bits")
-    dealt = materialize(dealt, "dealt")
-    wanted = dealt.select(F.col("rep").alias("doc_id")).unionByName(dealt.select(F.col("pivot").alias("doc_id"))).distinct()
-    texts = materialize(join_checked(docs.select("doc_id", "text"), wanted, ["doc_id"], "left_semi"), "texts")
-    of = lambda who, rows: rows.join(texts.withColumnRenamed("doc_id", who), who)
-    pivots = of("pivot", dealt.select("pivot", "part").distinct()).select("pivot", "part", F.lit(None).cast("long").alias("rep"), "text", F.lit(0).cast("long").alias("bits"))
-    both = pivots.unionByName(of("rep", dealt).select("pivot", "part", "rep", "text", "bits"))
-    both = both.repartition("pivot", "part").sortWithinPartitions("pivot", "part", F.col("rep").asc_nulls_first())
-    schema = pa.schema([("rep", pa.int64()), ("pivot", pa.int64()), ("linked", pa.bool_()), ("bits", pa.int64()), ("added", pa.int32()), ("removed", pa.int32()), ("w", pa.float64()), ("free", pa.float64()), ("short", pa.list_(pa.int64())), ("long", pa.list_(pa.int64()))])
-    c, none = percent / (100 + percent), np.zeros(0, np.int64)
+    dealt = join_checked(pairs.select("node", "pivot"), materialize(many, "large-pivots"), ["pivot"])
+    dealt = materialize(dealt.select("node", "pivot", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")), "dealt")
+    wanted = dealt.select("node").unionByName(dealt.select(F.col("pivot").alias("node"))).distinct()
+    rows = materialize(classes.join(wanted, "node").select("node", F.col("rep").alias("doc_id"), "rid"), "wanted")
+    count = rows.count()
+    texts = materialize(join_checked(with_rid(docs), rows, ["doc_id", "rid"], "inner", count).select("node", "text"), "texts")
+    if texts.count() > count:  # rows that repeat
+        texts = texts.dropDuplicates(["node"])
+    pivots = dealt.select(F.col("pivot").alias("node"), "part").distinct().join(texts, "node").select(F.col("node").alias("pivot"), "part", F.lit(None).cast("long").alias("node"), "text")
+    both = pivots.unionByName(dealt.join(texts, "node").select("pivot", "part", "node", "text"))
+    both = both.repartition("pivot", "part").sortWithinPartitions("pivot", "part", F.col("node").asc_nulls_first())
+    fields = [("node", pa.int64()), ("pivot", pa.int64()), ("linked", pa.bool_())] + [("size", pa.int64()), ("added", pa.list_(pa.int64())), ("removed", pa.list_(pa.int64()))] * differences
+    schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, against = None, []
+        other = np.zeros(0, np.uint64)
         for batch in batches:
             for part in slices(batch):
                 s, begin = shingle_sets(*text_buffer(part.column(3)), words)
                 out = []
-                for i, (pivot, salt, rep, bits) in enumerate(zip(*(part.column(k).to_pylist() for k in (0, 1, 2, 4)))):
+                for i, (pivot, node) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist())):
                     own = s[begin[i] : begin[i + 1]]
-                    if (pivot, salt) != group:
-                        group, against = (pivot, salt), []
-                    if rep is None:
-                        against.append(own.copy())
+                    if node is None:
+                        other = own.copy()
                         continue
-                    for other in against:  # several only if rows repeat a doc_id
-                        added, removed = np.setdiff1d(own, other, assume_unique=True), np.setdiff1d(other, own, assume_unique=True)
-                        met = len(own) - len(added)
-                        linked = met > 0 and 100 * met >= percent * (len(own) + len(removed))
-                        w = (1 - c) * len(removed) + c * len(added)
-                        all_of = np.concatenate([added, removed]).view(np.int64)
-                        n = len(all_of) - int(w + 1e-9)
-                        free = (1 - 2 * c) * len(other)
-                        least = max(1, int(np.ceil(w - free - 1e-9)))
-                        far = linked or w > free / c + 1e-6  # too far from the pivot for a link to any that is linked with it
-                        out.append((rep, pivot, bool(linked), bits, len(added), len(removed), w, free, all_of[:n], none if far else all_of[n : len(all_of) - least + 1]))
+                    met = len(np.intersect1d(own, other, assume_unique=True))
+                    linked = met > 0 and 100 * met >= percent * (len(own) + len(other) - met)
+                    out.append((node, pivot, linked))
+                    if differences:
+                        out[-1] += (len(other), np.setdiff1d(own, other, assume_unique=True).view(np.int64), np.setdiff1d(other, own, assume_unique=True).view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * len(schema), schema.types)], schema=schema)
 
-    return both.mapInArrow(run, "rep long, pivot long, linked boolean, bits long, added int, removed int, w double, free double, short array<long>, long array<long>")
-
-
-def bucket_pairs(met: DataFrame, rounds: int = 4) -> DataFrame:
-    """Pairs (rep, pivot, bits) of met(key, rep, bits, p): in each bucket, all that are alike to its first class; then all alike to the first of those that were not; and so on."""
-    alike = lambda a, b: agreeing(F.col(a), F.col(b)) >= AGREE
-    found = met.where(F.col("rep") != F.col("p.rep")).where(alike("bits", "p.bits")).select("rep", F.col("p.rep").alias("pivot"), "bits").distinct()
-    rest = met.where(F.col("rep") != F.col("p.rep")).where(~alike("bits", "p.bits")).select("key", "rep", "bits")
-    for _ in range(rounds):
-        rest = materialize(rest, "apart")
-        if rest.isEmpty():
-            return found
-        tops = rest.groupBy("key").agg(F.min(F.struct("rep", "bits")).alias("q"))
-        near = met.join(tops.hint("merge"), "key").where(F.col("rep") != F.col("q.rep")).where(alike("bits", "q.bits"))
-        found = found.unionByName(near.select("rep", F.col("q.rep").alias("pivot"), "bits").distinct())
-        rest = rest.join(tops.hint("merge"), "key").where(F.col("rep") != F.col("q.rep")).where(~alike("bits", "q.bits")).select("key", "rep", "bits")
-    rest = materialize(rest, "apart")
-    if not rest.isEmpty():  # classes that are alike to none of their buckets' pivots, with those that are alike to them
-        x, y = rest.alias("x"), met.alias("y")
-        near = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.rep")) & alike("x.bits", "y.bits"))
-        found = found.unionByName(near.select(F.col("y.rep").alias("rep"), F.col("x.rep").alias("pivot"), F.col("y.bits").alias("bits")).distinct())
+    found = materialize(both.mapInArrow(run, "node long, pivot long, linked boolean" + ", size long, added array<long>, removed array<long>" * differences), "compared")
+    discard(dealt, texts, rows)
     return found
 
 
-def around_pivots(tested: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs of classes that met the same pivot (their main one, with most links, if that is the same), of which one is not linked with it, that share differences from it; unless they are in one component already."""
-    apart = materialize(tested.where("not linked").select("pivot").distinct(), "pivots")
-    size = tested.groupBy("pivot").agg(F.sum(F.col("linked").cast("long")).alias("size"))
-    met = tested.select("rep", "pivot").unionByName(size.select(F.col("pivot").alias("rep"), "pivot"))
-    main = met.join(size, "pivot").groupBy("rep").agg(F.max(F.struct("size", "pivot")).alias("m")).select("rep", F.col("m.pivot").alias("main"))
-    every = materialize(tested.join(apart, "pivot", "left_semi").join(main, "rep"), "around")
-    columns = ["pivot", "rep", "main", "linked", "bits", "added", "removed", "w", "free"]
-    short = every.select(*columns, F.posexplode("short").alias("at", "x")).withColumn("first", F.lit(True))
-    more = every.where("not linked").select(*columns, F.size("short").alias("n"), F.posexplode("long").alias("at", "x")).withColumn("at", F.col("at") + F.col("n")).drop("n").withColumn("first", F.lit(False))
-    a, b = short.where("not linked").unionByName(more).alias("a"), short.alias("b")
-    same = (F.col("a.pivot") == F.col("b.pivot")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.rep") != F.col("b.rep"))
-    can = (F.col("a.at") < F.col("a.added")) | (F.least("a.removed", "b.removed") >= F.col("a.w") + F.col("b.w") - F.col("a.free") - 1e-6)
-    can = can & ((F.col("a.main") != F.col("b.main")) | (F.col("a.main") == F.col("a.pivot")))  # two with the same main pivot meet there only
-    can = can & (agreeing(F.col("a.bits"), F.col("b.bits")) >= AGREE)
-    pairs = a.join(b, same & can & (F.col("b.linked") | (F.col("a.first") & (F.col("a.rep") > F.col("b.rep"))))).select(F.greatest("a.rep", "b.rep").alias("rep"), F.least("a.rep", "b.rep").alias("pivot")).distinct()
+def links(found: DataFrame) -> DataFrame:
+    return found.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+
+
+def apart(pairs: DataFrame, parts: DataFrame, a: str, b: str) -> DataFrame:
+    """pairs whose ends are in different components, with these as ca and cb."""
     of = lambda who, name: parts.select(F.col("node").alias(who), F.col("component").alias(name))
-    placed = pairs.join(of("rep", "c"), "rep", "left").join(of("pivot", "d"), "pivot", "left")
-    return placed.where(~F.coalesce("c", "rep").eqNullSafe(F.coalesce("d", "pivot"))).select("rep", "pivot")
+    placed = pairs.join(of(a, "ca"), a, "left").join(of(b, "cb"), b, "left")
+    return placed.withColumns({"ca": F.coalesce("ca", a), "cb": F.coalesce("cb", b)}).where("ca != cb")
+
+
+def groups(pairs: DataFrame, parts: DataFrame, weights: DataFrame) -> DataFrame:
+    """(node, pivot: the centre) of the groups to be searched; pairs(node, pivot): those that are not linked."""
+    outside = materialize(apart(pairs, parts, "node", "pivot").select("node", "ca", F.col("cb").alias("g")).distinct(), "outside")
+    heads = materialize(outside.groupBy("g").agg(F.min("ca").alias("lo"), F.max("ca").alias("hi")), "heads")
+    named = join_checked(weights.join(parts, "node", "left").select("node", "weight", F.coalesce("component", "node").alias("g")), heads, ["g"], "inner")
+    sized = named.groupBy("g").agg(F.count("*").alias("members"), F.max(F.struct("weight", "node")).alias("top"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    sized = materialize(sized.where("members > 1 or lo != hi").select("g", F.col("top.node").alias("pivot")), "centres")  # else all pairs of the group were compared
+    rows = sized.count()
+    of = lambda t: join_checked(t, sized, ["g"], "inner", rows).select("node", "pivot")
+    return materialize(of(named.select("g", "node")).unionByName(of(outside.select("g", "node"))).where("node != pivot").distinct(), "groups")
+
+
+def _size_sum(x: str, y: str) -> Column:
+    return F.size(F.array_intersect(x, y)).cast("long")
+
+
+def _by_group(rows: DataFrame, values: DataFrame) -> DataFrame:
+    """rows with one row of values for each group; broadcast if these are few and small."""
+    sizes = sum((F.size(c).cast("long") for c, t in values.dtypes if t.startswith("array")), F.lit(8))
+    n, numbers = values.agg(F.count("*"), F.sum(sizes)).first()
+    return join_checked(rows, values, ["g"], "inner", 0 if n <= BROADCAST_ROWS and (numbers or 0) <= GROUP_NUMBERS else 1, 0)
+
+
+def around_consensus(found: DataFrame, percent: int) -> DataFrame:
+    """found(node, pivot, size, added, removed), of whole groups, as (g, node, a, r, na, nr, size: of the consensus, w, free): by differences from their consensus."""
+    centre = found.groupBy("pivot").agg(F.first("size").alias("size"))
+    none = F.array().cast("array<long>")
+    rows = found.select(F.col("pivot").alias("g"), "node", "size", "added", "removed").unionByName(centre.select(F.col("pivot").alias("g"), F.col("pivot").alias("node"), "size", none.alias("added"), none.alias("removed")))
+    sizes = materialize(rows.groupBy("g").agg(F.count("*").alias("n")), "group-sizes")
+    each = rows.select("g", F.explode(F.concat(F.transform("added", lambda x: F.struct(x.alias("x"), F.lit(True).alias("new"))), F.transform("removed", lambda x: F.struct(x.alias("x"), F.lit(False).alias("new"))))).alias("d"))
+    often = each.groupBy("g", "d.x", "d.new").agg(F.count("*").alias("k")).where("k > 1")
+    often = _by_group(often, sizes).where("2 * k > n")
+    flips = often.groupBy("g").agg(F.collect_list(F.when(F.col("new"), F.col("x"))).alias("fa"), F.collect_list(F.when(~F.col("new"), F.col("x"))).alias("fr"))  # at most twice a set's size
+    flips = materialize(sizes.select("g").join(flips, "g", "left").select("g", F.coalesce("fa", none).alias("fa"), F.coalesce("fr", none).alias("fr")), "flips")
+    with_flips = _by_group(rows, flips)
+    a = F.concat(F.array_except("added", "fa"), F.array_except("fr", "removed"))
+    r = F.concat(F.array_except("removed", "fr"), F.array_except("fa", "added"))
+    c = percent / (100 + percent)
+    out = with_flips.select("g", "node", a.alias("a"), r.alias("r"), (F.col("size") + F.size("fa") - F.size("fr")).alias("size"))
+    out = out.withColumns({"na": F.size("a"), "nr": F.size("r")}).withColumns({"w": (1 - c) * F.col("nr") + c * F.col("na"), "free": (1 - 2 * c) * F.col("size")})
+    return materialize(out, "around")
+
+
+def _linked(x: str, y: str, percent: int) -> Column:
+    """Whether the classes of two rows (struct columns) of one group are linked, by whole numbers."""
+    both = F.col(f"{x}.size") - F.col(f"{x}.nr") - F.col(f"{y}.nr") + _size_sum(f"{x}.r", f"{y}.r") + _size_sum(f"{x}.a", f"{y}.a")
+    sizes = sum((F.col(f"{t}.size") - F.col(f"{t}.nr") + F.col(f"{t}.na") for t in (x, y)), F.lit(0))
+    return (both > 0) & (100 * both >= percent * (sizes - both))
+
+
+def middle_links(around: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of each class with the one nearest to its group's consensus."""
+    nearest = around.groupBy("g").agg(F.min(F.struct("w", "node")).alias("y")).select("g", F.col("y.node").alias("node"))
+    nearest = materialize(around.join(nearest, ["g", "node"]).select("g", F.col("node").alias("other"), F.col("a").alias("ya"), F.col("r").alias("yr")), "middles")
+    own = _by_group(around, nearest).where("node != other")
+    x = F.struct(*(F.col(c) for c in ("a", "r", "na", "nr", "size"))).alias("x")
+    y = F.struct(F.col("ya").alias("a"), F.col("yr").alias("r"), F.size("ya").alias("na"), F.size("yr").alias("nr"), "size").alias("y")
+    return materialize(own.select("node", "other", x, y).where(_linked("x", "y", percent)).select(F.col("node").alias("a"), F.col("other").alias("b")), "middle-links")
+
+
+def far_links(around: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links within a group between classes of different components, of which at least one isn't in the component of the class nearest to the consensus."""
+    rows = around.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    heads = rows.groupBy("g").agg(F.min(F.struct("w", "node", "part")).alias("y"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi")
+    heads = materialize(heads.select("g", F.col("y.part").alias("main"), F.col("y.w").alias("w_near")), "heads")
+    rows = materialize(_by_group(rows, heads).withColumn("out", F.col("part") != F.col("main")), "rows")
+    least = rows.groupBy("g").agg(F.min(F.when(F.col("out"), F.col("w"))).alias("w_out"))
+    rows = materialize(_by_group(rows.drop("main"), least), "rows-bounds")
+    tokens = rows.select("g", "node", "part", "out", F.explode(F.concat(F.transform("a", lambda x: F.struct(x.alias("x"), F.lit(0).alias("kind"))), F.transform("r", lambda x: F.struct(x.alias("x"), F.lit(1).alias("kind"))))).alias("d"))
+    tokens = tokens.select("g", "node", "part", "out", "d.x", "d.kind")
+    shared = tokens.groupBy("g", "x").agg(F.count("*").alias("n"), F.max("out").alias("o"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("n > 1 and o and lo != hi").select("g", "x", "n")
+    shared = materialize(shared, "shared")
+    met = tokens.join(shared.hint("merge"), ["g", "x"]).select("g", "node", "x", "kind", "n")
+    kept = F.count("*").over(Window.partitionBy("g", "node", "kind"))
+    place = F.row_number().over(Window.partitionBy("g", "node", "kind").orderBy("n", "x"))
+    met = met.withColumns({"kept": kept, "place": place})
+    slim = rows.select("g", "node", "part", "out", "na", "nr", "w", "free", "w_out", "w_near")
+    met = met.join(slim, ["g", "node"])
+    # of a kind, those that nobody shares come first
+    at = F.col("place") + F.when(F.col("kind") == 0, F.col("na") - F.col("kept")).otherwise(F.col("na") + F.col("nr") - F.col("kept"))
+    prefix = lambda other: F.col("na") + F.col("nr") - F.greatest(F.lit(1), F.ceil(F.col("w") + F.col(other) - F.col("free") - 1e-6)) + 1
+    met = met.withColumns({"with_out": at <= prefix("w_out"), "with_near": F.col("out") & (at <= prefix("w_near"))}).where("with_out or with_near")
+    met = materialize(met.drop("place", "kept", "n", "w_out", "w_near"), "prefixes")
+    p, q = met.where("out").alias("p"), met.alias("q")
+    need = F.col("p.w") + F.col("q.w") - F.col("p.free") - 1e-6
+    fits = F.least("p.nr", "q.nr") + F.when(F.col("p.kind") == 0, F.least("p.na", "q.na")).otherwise(0) >= need
+    on = (F.col("p.g") == F.col("q.g")) & (F.col("p.x") == F.col("q.x")) & (F.col("p.part") != F.col("q.part")) & fits
+    order = F.when(F.col("q.out"), F.col("p.with_out") & F.col("q.with_out") & (F.col("p.node") > F.col("q.node"))).otherwise(F.col("p.with_near") & F.col("q.with_out"))
+    pairs = p.join(q, on & order).select(F.col("p.g").alias("g"), F.col("p.node").alias("node"), F.col("q.node").alias("other")).distinct()
+    pairs = materialize(pairs, "far-pairs")
+    sets = lambda who, name: around.select("g", F.col("node").alias(who), F.struct("a", "r", "na", "nr", "size").alias(name))
+    tested = pairs.join(sets("node", "x"), ["g", "node"]).join(sets("other", "y"), ["g", "other"])
+    return materialize(tested.where(_linked("x", "y", percent)).select(F.col("node").alias("a"), F.col("other").alias("b")), "far-links")
 
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of docs(doc_id, text): links where 100 * intersection >= percent * union."""
+    return flagged(docs, words, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def flagged(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """near_dedup() with the text's hash (rid) and the component (part) of each row."""
+    docs = docs.select("doc_id", "text")
     rows = materialize(sketches(docs, words), "sketches")
     full = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = materialize(full.groupBy("set16").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.min("signature").alias("signature")), "classes")
-    keyed = table_rows(classes)
-    busy = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("rep", "bits")).alias("p")).where("n > 1").select("key", "p"), "busy")
-    met = materialize(table_rows(classes).join(busy.hint("merge"), "key").select("key", "rep", "bits", "p"), "met")
-    pairs = materialize(bucket_pairs(met).distinct(), "pairs")
-    tested = materialize(compared(docs, pairs, words, percent), "tested")
-    linked = lambda t: t.where("linked").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    parts = components(linked(tested))
-    further = materialize(around_pivots(tested, parts).join(pairs, ["rep", "pivot"], "left_anti"), "pairs")
-    if not further.isEmpty():
-        parts = components(linked(tested).unionByName(linked(compared(docs, further.withColumn("bits", F.lit(0).cast("long")), words, percent))))
-    named = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("set16", "n", F.coalesce("component", "rep").alias("component_id"), "rep")
-    named = materialize(named.where("n > 1 or component_id != rep").drop("rep"), "named")
-    out = join_hot(rows.select("doc_id", "n_shingles", "set16"), named, "set16", "n", rows.count())
+    classes = full.groupBy("node").agg(F.min(F.struct("doc_id", "rid", "signature")).alias("m"), F.count("*").alias("n"))
+    classes = materialize(classes.select("node", F.col("m.doc_id").alias("rep"), F.col("m.rid").alias("rid"), F.col("m.signature").alias("signature"), "n"), "classes")
+    met, weights = met_pivots(classes)
+    best = met.groupBy("node").agg(F.max(F.struct("shared", "pivot")).alias("b")).select("node", F.col("b.pivot").alias("pivot"))
+    first = compared(docs, classes, materialize(best, "best"), words, percent)
+    found = links(first)
+    parts = components(found)
+    again = apart(met.join(first, ["node", "pivot"], "left_anti"), parts, "node", "pivot").select("node", "pivot")
+    second = compared(docs, classes, materialize(again, "again"), words, percent)
+    found = found.unionByName(links(second))
+    parts = components(found)
+    group = groups(met, parts, weights)
+    if not group.isEmpty():
+        third = compared(docs, classes, group, words, percent, differences=True)
+        around = around_consensus(third, percent)
+        found = found.unionByName(links(third)).unionByName(middle_links(around, percent))
+        parts = components(found)
+        far = far_links(around, parts, percent)
+        if not far.isEmpty():
+            parts = components(found.unionByName(far))
+    named = classes.join(parts, "node", "left").select("node", "n", "rep", F.coalesce("component", "node").alias("part"))
+    least = named.groupBy("part").agg(F.min("rep").alias("component_id"), F.count("*").alias("k"), F.sum("n").alias("n")).where("k > 1 or n > 1").drop("k", "n")
+    named = named.join(least, "part").select("node", "n", "component_id", "part")
+    named = materialize(named, "named")
+    out = join_hot(rows.select("doc_id", "rid", "n_shingles", "node"), named, "node", "n", rows.count())
     linked = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", linked.alias("component_id"), F.col("doc_id").eqNullSafe(linked).alias("kept"))
+    return out.select("doc_id", "n_shingles", linked.alias("component_id"), F.col("doc_id").eqNullSafe(linked).alias("kept"), "rid", F.coalesce("part", "node").alias("part"))
 
 
 def near_dedup_rows(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group of near duplicates, that with the smallest doc_id; of rows that repeat its doc_id, one."""
-    kept = materialize(near_dedup(docs, words, percent).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")), "kept")
-    found = join_checked(docs, kept, ["doc_id"], "inner")
-    once = found.where("__n = 1").unionByName(found.where("__n > 1").dropDuplicates(["doc_id"]))
-    return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """docs with one document of each group of near duplicates, that with the smallest doc_id.
+
+    Of rows that repeat its doc_id within the group, the one with the smallest hash of its text stays. Rows that are linked with nothing stay all.
+    """
+    flags = flagged(docs, words, percent).where("doc_id is not null and n_shingles > 0")
+    texts = materialize(flags.groupBy("doc_id", F.col("rid").alias("__rid")).agg(F.max("kept").alias("kept"), F.min("part").alias("part"), F.count("*").alias("n")), "texts")
+    stays = texts.where("kept").groupBy("doc_id", "part").agg(F.min("__rid").alias("__rid")).select("doc_id", "__rid")
+    goes = materialize(texts.join(stays, ["doc_id", "__rid"], "left_anti").select("doc_id", "__rid"), "goes")
+    out = join_checked(docs.withColumn("__rid", F.xxhash64("text")), goes, ["doc_id", "__rid"], "left_anti")
+    repeated = materialize(texts.where("n > 1").join(stays, ["doc_id", "__rid"], "left_semi").select("doc_id", "__rid"), "repeated")
+    if not repeated.isEmpty():
+        once = join_checked(out, repeated, ["doc_id", "__rid"], "left_semi").dropDuplicates(["doc_id", "__rid"])
+        out = join_checked(out, repeated, ["doc_id", "__rid"], "left_anti").unionByName(once)
+    return out.select(*docs.columns)
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

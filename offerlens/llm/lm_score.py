@@ -5,14 +5,14 @@ classes of equal size, by rank; each other word belongs to one of TAILS classes
 distributed in it by its count. Both softmaxes are linear in hashed features of the context: the previous word,
 the one before it (skip) and both together, where words outside the head count as their tail class.
 
-Training reads every training document: exact counts of all words, then counts of all (word before, previous word,
-word) triples. Shards of the triples run weighted Adagrad steps from the same weights; what each has changed is averaged
-by row of weights, in ROUNDS rounds.
+Training reads every training document twice: for exact counts of all words, and for the gradient. Tasks read shards of the documents,
+count the (word before, previous word, word) triples of some CHUNK_TOKENS tokens at a time, and run weighted Adagrad steps on
+batches of contexts from the same weights; what each has changed is averaged by row of weights, in ROUNDS rounds. No triple is shuffled.
 
 What is learnt grows with the corpus. Words that occur at least sqrt(training tokens) / FREQUENT times set a size m: the head
-has HEAD * m**2 words in CLASSES * m classes of PER_CLASS * m, and ROWS * m rows of hashed weights. Of tokens with a power law
-of words that is a head by the square root of the tokens. Only the packing of triples ends it, at MOST_SIZE (2 million words).
-A shard's triples grow with the rows, so that what shards send stays in proportion to the triples.
+has HEAD * m**2 words in SIDE * m classes of SIDE * m, and ROWS * m rows of hashed weights. Of tokens with a power law
+of words that is a head by the square root of the tokens. Memory of the weights ends it at MOST_SIZE (a head of 102,400 words, 800 MB of weights); all
+other words keep their exact counts in their tail class. A shard's tokens grow with the rows, so that what shards send stays in proportion to the tokens.
 
 Scoring takes each distinct triple of a batch once, with numpy.
 
@@ -34,22 +34,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize, mix64, read_table, slices, text_buffer, tokens
+from .common import crc_mod, join_checked, join_hot, materialize, mix64, read_table, slices, text_buffer, tokens
 
-#: Sizes of the smallest model; TAILS is that of all.
-CLASSES, PER_CLASS, TAILS = 8, 32, 32
-HEAD = CLASSES * PER_CLASS
+#: Classes, and words of a class, of the smallest model; TAILS is that of all.
+SIDE, TAILS = 16, 32
+HEAD = SIDE * SIDE
 START = HEAD + TAILS
 #: Rows of hashed weights, for classes and for words.
 ROWS = 1 << 13
-FREQUENT, MOST_SIZE = 8, 90
+FREQUENT, MOST_SIZE = 8, 20
 WARM = 400_000
-ROUNDS, LOCAL_EPOCHS, BATCH, RATE = 2, 1, 4096, 0.4
-#: Triples in a training shard: as many for each row of weights, and at least.
-ROW_TRIPLES, SHARD_TRIPLES = 64, 250_000
+ROUNDS, BATCH, RATE = 1, 8192, 0.4
+#: Tokens in a training shard: as many for each row of weights, and at least.
+ROW_TOKENS, SHARD_TOKENS = 256, 1_000_000
+#: Tokens whose triples a task counts before it learns from them.
+CHUNK_TOKENS = 6_000_000
 END = np.uint64(0x5AFE0E2D << 5)
 _LOG10 = math.log10(math.e)
 
@@ -131,7 +133,7 @@ class MaxEnt:
     def __init__(self, class_bias: np.ndarray, word_bias: np.ndarray):
         self.class_bias, self.word_bias = class_bias.astype(np.float32), word_bias.astype(np.float32)
         self.classes, self.per_class = word_bias.shape
-        self.head, self.rows = word_bias.size, ROWS * (self.classes // CLASSES)
+        self.head, self.rows = word_bias.size, ROWS * (self.classes // SIDE)
         self.bits = packed_bits(self.head)
         self.class_w = np.zeros((self.rows, self.classes + TAILS), np.float32)
         self.word_w = np.zeros((self.rows, self.per_class), np.float32)
@@ -139,7 +141,7 @@ class MaxEnt:
     @classmethod
     def from_counts(cls, v: Vocabulary) -> MaxEnt:
         m = math.isqrt(v.words // HEAD)
-        count = v.head_count.reshape(CLASSES * m, PER_CLASS * m)
+        count = v.head_count.reshape(SIDE * m, SIDE * m)
         word = count + 0.01
         classes = np.concatenate([count.sum(1), v.tail_tokens]) + 1.0
         return cls(np.log(classes / classes.sum()), np.log(word / word.sum(1, keepdims=True)))
@@ -181,33 +183,45 @@ class MaxEnt:
                 out[i + head] += self.word_log(self.features(context[new], group[new] + 1), group[new])[at, place]
         return out * _LOG10
 
-    def learn(self, triple: np.ndarray, n: np.ndarray, seed: int, epochs: int = LOCAL_EPOCHS) -> None:
-        """Weighted Adagrad steps over batches of triples."""
-        rng = np.random.default_rng(seed)
-        squares = [np.full(w.shape, 1e-8, np.float32) for w in (self.class_w, self.word_w)]
-        for _ in range(epochs):
-            order = rng.permutation(len(triple))
+    def learn(self, triple: np.ndarray, n: np.ndarray, seed: int, squares: list[np.ndarray] | None = None, epochs: int = 1) -> None:
+        """Weighted Adagrad steps over batches of distinct triples and their counts. squares: of gradients so far."""
+        squares = squares or self.fresh_squares()
+        for turn in range(epochs):
+            order = np.argsort(_hashed(triple >> self.bits, 1000 + seed + turn, 1 << 62), kind="stable")  # contexts in random order
             for i in range(0, len(order), BATCH):
                 pick = order[i : i + BATCH]
                 weight = (n[pick] / n[pick].sum()).astype(np.float32)
                 context, group, place = self.parts(triple[pick])
+                context, at = np.unique(context, return_inverse=True)
                 rows = self.features(context)
-                self._step(self.class_w, squares[0], rows, self.class_log(rows), group, weight)
-                head = place >= 0
-                if head.any():
-                    rows = self.features(context[head], group[head] + 1)
-                    self._step(self.word_w, squares[1], rows, self.word_log(rows, group[head]), place[head], weight[head])
+                self._step(self.class_w, squares[0], rows, self.class_log(rows), at, group, weight)
+                head = np.flatnonzero(place >= 0)
+                if len(head):
+                    pair, own = np.unique(at[head] * np.int64(self.classes) + group[head], return_inverse=True)
+                    context, group = context[pair // self.classes], pair % self.classes
+                    rows = self.features(context, group + 1)
+                    self._step(self.word_w, squares[1], rows, self.word_log(rows, group), own, place[head], weight[head])
+
+    def fresh_squares(self) -> list[np.ndarray]:
+        return [np.full(w.shape, 1e-8, np.float32) for w in (self.class_w, self.word_w)]
 
     @staticmethod
-    def _step(w: np.ndarray, squares: np.ndarray, rows: list[np.ndarray], log: np.ndarray, target: np.ndarray, weight: np.ndarray) -> None:
-        g = np.exp(log) * -weight[:, None]
-        g[np.arange(len(target)), target] += weight
+    def _step(w: np.ndarray, squares: np.ndarray, rows: list[np.ndarray], log: np.ndarray, at: np.ndarray, target: np.ndarray, weight: np.ndarray) -> None:
+        """One step; event i of context at[i] is target[i], with weight[i]."""
+        g = np.exp(log, out=log)
+        g *= -np.bincount(at, weight, len(g)).astype(np.float32)[:, None]
+        flat = at * np.int64(g.shape[1]) + target
+        g += np.bincount(flat, weight, g.size).astype(np.float32).reshape(g.shape)
         for r in rows:
             order = np.argsort(r, kind="stable")
             own, first = np.unique(r[order], return_index=True)
             d = np.add.reduceat(g[order], first, axis=0)
-            squares[own] += d * d
-            w[own] += RATE * d / np.sqrt(squares[own])
+            s = squares[own]
+            s += d * d
+            squares[own] = s
+            d *= RATE
+            d /= np.sqrt(s, out=s)
+            w[own] += d
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
@@ -225,8 +239,7 @@ def _summed(docs: DataFrame, key, schema: str) -> DataFrame:
         size = 0
 
         def merged() -> pa.RecordBatch:
-            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64))], schema=fields)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in _merged(held)], schema=fields)
 
         for batch in batches:
             for part in slices(batch):
@@ -269,26 +282,36 @@ def vocabulary(counts: DataFrame, warm: int = WARM) -> Vocabulary:
 
 
 def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> MaxEnt:
-    """Distributed gradient updates over the counted triples of docs(text)."""
+    """Distributed gradient updates over the triples of docs(text)."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(v)
-    counted = materialize(_summed(docs, lambda doc, h: triples(doc, _ids(sent.value, h), sent.value.words), "key long, n long"), "triples")
     model = MaxEnt.from_counts(v)
-    shards = max(1, round(counted.count() / max(SHARD_TRIPLES, ROW_TRIPLES * model.rows)))
+    shards = max(1, round(v.total / max(SHARD_TOKENS, ROW_TOKENS * model.rows)))
     width = model.classes + TAILS + model.per_class
     fields = pa.schema([("row", pa.int32()), ("change", pa.binary()), ("n", pa.int64())])
     for turn in range(rounds):
         now = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], now=now, turn=turn) -> Iterator[pa.RecordBatch]:
-            held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-            if not held:
+            begun, own = now.value, None
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            size = 0
+            for batch in batches:
+                for part in slices(batch):
+                    if own is None:
+                        own = MaxEnt(begun.class_bias, begun.word_bias)
+                        own.class_w, own.word_w = begun.class_w.copy(), begun.word_w.copy()
+                        squares = own.fresh_squares()
+                    doc, h = sequences(*text_buffer(part.column(0)))
+                    held.append(np.unique(triples(doc, _ids(sent.value, h), sent.value.words), return_counts=True))
+                    size += len(h)
+                    if size >= CHUNK_TOKENS:
+                        own.learn(*_merged(held), turn, squares)
+                        held, size = [], 0
+            if held:
+                own.learn(*_merged(held), turn, squares)
+            if own is None:
                 return
-            key, n = np.concatenate([k for k, _ in held]), np.concatenate([x for _, x in held])
-            begun, own = now.value, MaxEnt(now.value.class_bias, now.value.word_bias)
-            own.class_w, own.word_w = begun.class_w.copy(), begun.word_w.copy()
-            order = np.argsort(key)  # not the order in which rows came
-            own.learn(key[order], n[order], seed=turn)
             for i in range(0, own.rows, ROWS):
                 change = np.concatenate([own.class_w[i : i + ROWS] - begun.class_w[i : i + ROWS], own.word_w[i : i + ROWS] - begun.word_w[i : i + ROWS]], axis=1)
                 rows = np.flatnonzero(np.abs(change).max(axis=1) > 0)
@@ -306,7 +329,7 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> MaxEnt:
                         sums[row] = [x.astype(np.float64), 1]
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(s / n).astype(np.float32).tobytes() for s, n in sums.values()], pa.binary()), pa.array([n for _, n in sums.values()], pa.int64())], schema=fields)
 
-        parts = counted.repartition(shards, "key").mapInArrow(run, "row int, change binary, n long")
+        parts = docs.select("text").coalesce(shards).mapInArrow(run, "row int, change binary, n long")
         changes = parts.repartition("row").mapInArrow(add, "row int, change binary, n long").collect()  # at most model.rows rows
         for row, change, _ in changes:
             x = np.frombuffer(bytes(change), np.float32)
@@ -315,6 +338,12 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> MaxEnt:
     return model
 
 
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and their summed counts."""
+    keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+
+
 def _ids(v: Vocabulary, h: np.ndarray) -> np.ndarray:
     own, at = np.unique(h, return_inverse=True)
     return v.find(own)[at]
@@ -354,11 +383,13 @@ def scored(docs: DataFrame, counts: DataFrame, v: Vocabulary, model: MaxEnt) ->
     rare = counts.where(F.col("n") < max(1, -(-v.total // WARM)))
     met = cold.join(rare.hint("merge"), "key")  # words that training lacks add log10(0 + 1)
     met = met.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum("times").alias("more_known"))
-    repeated = F.count("*").over(Window.partitionBy("row"))  # rows that repeat have been summed up
-    out = rows.drop("words", "times").withColumn("m", repeated).join(met, "row", "left")
-    more = F.coalesce(F.col("more") / F.col("m"), F.lit(0.0))
+    many = materialize(rows.groupBy("row").agg(F.count("*").alias("m")).where("m > 1"), "repeated-rows")  # their words have been summed up
+    met = join_checked(met, many, ["row"]).withColumn("m", F.coalesce("m", F.lit(1)))
+    met = met.select("row", (F.col("more") / F.col("m")).alias("more"), (F.col("more_known") / F.col("m")).cast("long").alias("more_known"), F.col("m").alias("weight"))
+    out = join_hot(rows.drop("words", "times"), materialize(met, "rare-words"), "row", "weight", rows.count())
+    more = F.coalesce("more", F.lit(0.0))
     return out.select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce((F.col("more_known") / F.col("m")).cast("long"), F.lit(0))).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"),
+        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"),
         (F.col("base") + more - F.col("n_tokens") * F.lit(math.log10(v.total + v.distinct + 1))).alias("base_score"), (F.col("score") + more).alias("score"),
     )
 

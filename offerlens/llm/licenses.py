@@ -1,10 +1,12 @@
 """Operator 10, license scans by patience alignment.
 
-A document's words are compared with license templates. Where words of a template lie close together, the region is
+A document's words are compared with license templates. A region is located by chaining the words that a template has
+once, in the template's order; what stands between two of them costs the logarithm of its length, so a foreign passage of any length
+may stand in a long template, but not between the words of a line. The region is
 aligned with the template: words that occur once in both are anchors, the longest increasing subsequence of their
 places is kept, and the gaps between them are aligned in the same way; gaps without anchors match their common
-beginnings and ends. Coverage is the share of the template's words that are aligned; a license is found
-if it is at least LEAST and the matched part is not padded to more than STRETCH times its words.
+beginnings and ends. Coverage is the share of the template's words that are aligned; a license is found if it is at
+least LEAST. What is left on both sides of a region is searched again.
 
 Names and numbers of a template tell licenses apart: each must be aligned, and other names or numbers that are left over in
 the document beside them (GNU *Lesser* General, BY-*ND*, 2.*1*) are a conflict, whatever the coverage.
@@ -12,13 +14,14 @@ the document beside them (GNU *Lesser* General, BY-*ND*, 2.*1*) are a conflict,
 Screen, without loss: a template with a coverage of LEAST or more has, of any floor((1 - LEAST) * n) + 1 of its words,
 at least one in the document; only documents with one of its longest words are aligned.
 
-Defined cases: null and empty texts have no license. Words are runs of ASCII letters and digits, in lower case. Of
-several licenses, the best is that with the highest coverage, then most words, then the first place, then the name. Rows that
+Defined cases: null and empty texts have no license. Words are runs of ASCII letters and digits, in lower case. Very long
+texts are scanned whole. Of several licenses, the best is that with the highest coverage, then most words, then the first place, then the name. Rows that
 repeat a doc_id are scanned each. An empty table gives an empty result. Extra columns are never read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -31,13 +34,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table, slices
 
 LEAST = 0.8
-STRETCH = 1.6
-#: Words of a template with more others between them belong to different regions.
-GAP = 12
 #: Words that name licenses; of a template, these and its numbers distinguish it.
 NAMES = frozenset("mit apache gnu general public lesser library affero bsd isc mozilla eclipse eupl boost cc by nc nd sa attribution noncommercial sharealike noderivatives noderivs unencumbered".split())
-_WORD = re.compile(r"[a-z0-9]+")
+_WORD = re.compile(r"[A-Za-z0-9]+")
 
+_GNU = """This program is free software{0} you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation{2} either version {3} of the License, or (at your option) any later version."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
 #: Notices and texts of public licenses.
 TEMPLATES = {
     "MIT": [
@@ -49,17 +51,20 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0.",
         """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
     ],
-    "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
-    ],
-    "GPL-2.0": ["""This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."""],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", _GNU.format(":", "General Public License", ",", 3)],
+    "GPL-2.0": [_GNU.format(";", "General Public License", ";", 2)],
+    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", _GNU.format(":", "Lesser General Public License", ",", 3)],
+    "LGPL-2.1": [_GNU.format(";", "Lesser General Public License", ";", "2.1")],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", _GNU.format(":", "Affero General Public License", ",", 3)],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "BSD-2-Clause": ["""Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "BSD-2-Clause": [_BSD],
+    "BSD-3-Clause": [_BSD + " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
     "ISC": ["""Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."""],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
@@ -82,7 +87,7 @@ def agrees(words: list[str], template: list[str], pairs: list[tuple[int, int]])
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [w.lower() for w in _WORD.findall(text)]
 
 
 def increasing(places: list[int]) -> list[int]:
@@ -105,6 +110,33 @@ def increasing(places: list[int]) -> list[int]:
     return out[::-1]
 
 
+def best_chain(at: list[tuple[int, int]]) -> list[int]:
+    """Of (place in the text, place in the template) pairs, by place in the text, the indices of a chain that rises in both and is worth most.
+
+    A pair is worth 1; words that stand between two pairs beyond what the template has there cost log2(1 + their number).
+    Of the chains that end at a place of the template, the one that is worth most by now is kept.
+    """
+    worth: dict[int, tuple[float, int]] = {}  # by place in the template: what its chain is worth, its last pair
+    before = [-1] * len(at)
+    best, last = 0.0, 0
+    for x, (i, j) in enumerate(at):
+        value, own = 1.0, -1
+        for m, (w, y) in worth.items():
+            if m < j and w + 1 > value:
+                w += 1 - math.log2(1 + max(0, i - at[y][0] - (j - m)))
+                if w > value:
+                    value, own = w, y
+        before[x] = own
+        if (old := worth.get(j)) is None or value >= old[0] - math.log2(1 + i - at[old[1]][0]):
+            worth[j] = (value, x)
+        if value > best:
+            best, last = value, x
+    out = [last]
+    while before[out[-1]] >= 0:
+        out.append(before[out[-1]])
+    return out[::-1]
+
+
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Pairs (i, j) of equal words, increasing in both, by patience alignment."""
     out: list[tuple[int, int]] = []
@@ -145,6 +177,7 @@ class Scanner:
         self.templates = [(name, w) for name, texts in (templates or TEMPLATES).items() for t in texts if (w := words_of(t))]
         self.sets = [set(w) for _, w in self.templates]
         self.counts = [Counter(w) for _, w in self.templates]
+        self.places = [{w: j for j, w in enumerate(t) if n[w] == 1} for (_, t), n in zip(self.templates, self.counts)]
         needed = [sorted(w, key=lambda x: (-len(x), x))[: int((1 - least) * len(w) + 1e-9) + 1] for _, w in self.templates]
         self.screen = sorted({x for n in needed for x in n}, key=lambda x: (-len(x), x))
         self.screen_sets = [set(n) for n in needed]
@@ -153,33 +186,41 @@ class Scanner:
         low = text.lower()
         if not any(w in low for w in self.screen):
             return []
-        words = _WORD.findall(low)
+        words = words_of(text)
         count = Counter(words)
         out = []
-        for (name, template), own, have, needed in zip(self.templates, self.sets, self.counts, self.screen_sets):
+        for (name, template), have, places, needed in zip(self.templates, self.counts, self.places, self.screen_sets):
             if needed.isdisjoint(count) or sum(min(n, count[w]) for w, n in have.items()) < self.least * len(template):
                 continue
-            at = [i for i, w in enumerate(words) if w in own]
-            cut = [0, *(k for k in range(1, len(at)) if at[k] - at[k - 1] > GAP), len(at)]
-            for lo, hi in zip(cut, cut[1:]):
-                if hi - lo >= self.least * len(template):
-                    out += self._in_region(name, template, words, at[lo], at[hi - 1] + 1)
+            out += self._in_text(name, template, words, places)
         return self._best_apart(out)
 
-    def _in_region(self, name: str, template: list[str], words: list[str], first: int, behind: int) -> list[Match]:
-        """Matches in words[first:behind]: slices around each place where the template may begin, so that repeats don't hide each other's unique words."""
+    def _in_text(self, name: str, template: list[str], words: list[str], places: dict[str, int]) -> list[Match]:
+        """Matches of one template: around the best chain of its single words, then on both sides of it."""
         out, n = [], len(template)
-        width = int(n * STRETCH) + 1
-        head = set(template[: int((1 - self.least) * n + 1e-9) + 1])  # one of these begins any sufficient match
-        at = first
-        for s in range(first, behind):
-            if s < at or words[s] not in head:
+        least = max(1, len(places) - int((1 - self.least) * n + 1e-9))  # of the single words, so many are in any sufficient match
+        at = [(i, places[w]) for i, w in enumerate(words) if w in places]
+        todo = [(0, len(at), 0, len(words))]
+        while todo:
+            lo, hi, first, behind = todo.pop()
+            if hi - lo < least:
                 continue
-            part = words[s : min(behind, s + width)]
-            pairs = align(part, template)
-            if len(pairs) >= self.least * n and pairs[-1][0] - pairs[0][0] + 1 <= STRETCH * len(pairs) and agrees(part, template, pairs):
-                at = s + pairs[-1][0] + 1
-                out.append(Match(name, len(pairs) / n, s + pairs[0][0], at, n))
+            chain = best_chain(at[lo:hi])
+            (i, j), (k, m) = at[lo + chain[0]], at[lo + chain[-1]]
+            if len(chain) >= least:
+                slack = n // 4
+                i, k = max(first, i - j - slack), min(behind, k + n - m + slack)
+                part = words[i:k]
+                pairs = align(part, template)
+                if len(pairs) >= self.least * n and agrees(part, template, pairs):
+                    k, i = i + pairs[-1][0] + 1, i + pairs[0][0]
+                    out.append(Match(name, len(pairs) / n, i, k, n))
+                else:
+                    i, k = at[lo + chain[0]][0], at[lo + chain[-1]][0] + 1
+            else:
+                k += 1
+            todo.append((lo, bisect_left(at, (i, -1), lo, hi), first, i))
+            todo.append((bisect_left(at, (k, -1), lo, hi), hi, k, behind))
         return out
 
     @staticmethod

@@ -9,8 +9,9 @@ The pages are made by labelled_pages(): templates whose parts are known, since n
 Text: the content nodes' blocks in page order. Character references are decoded, white space in a block becomes one blank.
 
 Defined cases: a null or empty html, or one without content, gives the empty text. Unclosed tags close where HTML has
-it; a tag cut off at the end is dropped, text before it is kept. Plain text without any tag is one block. Rows that repeat are extracted each.
-An empty table gives an empty result. Extra columns are never read.
+it; a hidden element that isn't closed hides its own first text only (script and style: the rest of the page, as HTML has
+it); a tag cut off at the end is dropped, text before it is kept. Plain text without any tag is one block. Very long and deep pages take
+time in proportion to their length. Rows that repeat are extracted each. An empty table gives an empty result. Extra columns are never read.
 """
 
 from __future__ import annotations
@@ -24,13 +25,17 @@ from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table, slices
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-HIDDEN = frozenset("script style template noscript svg iframe object textarea select button title head".split())
+HIDDEN = frozenset("script style template noscript svg iframe textarea select button title head".split())
+#: What HTML reads as text up to the end tag, even if it is written as empty.
 RAW = frozenset("script style textarea title iframe noscript".split())
+#: Hidden elements that may hold others of their name.
+NESTED = frozenset("svg template".split())
 #: A start of one of these ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: A start of the first ends an open element of the second, up to the container.
@@ -54,7 +59,12 @@ SIGN_OF = {w: s for s, words in SIGNS.items() for w in words.split()}
 FEATURES = {f: i for i, f in enumerate(["bias", *(f"tag:{t}" for t in (*TAGS, "other")), *(f"sign:{s}" for s in SIGNS), "class:unknown", "text:none", "text:short", "text:middle", "text:long", "links:some", "links:most", "stops:none", "stops:many"])}
 #: Kinds of child for the potential between parent and child.
 KINDS = ("plain", "heading", "container", "opens", "leaves")
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[a-zA-Z][^<]*\Z", re.DOTALL)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>|<[a-zA-Z][^<]*\Z", re.DOTALL)
+_HIDDEN_TAG = re.compile(rf"<(/?)({'|'.join(sorted(HIDDEN))})(?=[\s/>])", re.IGNORECASE)
+_NEXT_TAG = re.compile(r"<[a-zA-Z/!?]")
+#: Of what begins behind the last ">", these take all the rest; else the last start tag is cut off.
+_CUT_OFF = re.compile(r"<[!?]|</[a-zA-Z]|<[a-zA-Z][^<]*\Z")
+_CHOICE = re.compile(r"</?opt(?:ion|group)\b[^>]*>", re.IGNORECASE)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _LABEL = re.compile(r'data-label="([01])"')
 _WORDS = re.compile(r"[a-z]+")
@@ -71,11 +81,35 @@ class Page:
         self.runs: list[tuple[int, int, str]] = []
 
 
+def hidden_ends(html: str) -> dict[int, int]:
+    """Where the end tag of a hidden element begins, by where its start tag begins; without those that aren't closed."""
+    out: dict[int, int] = {}
+    open_at: dict[str, list[int]] = {}
+    raw = ""
+    for m in _HIDDEN_TAG.finditer(html):
+        name = m[2].lower()
+        if raw and not (m[1] and name == raw):  # inside of raw text
+            continue
+        own = open_at.setdefault(name, [])
+        if not m[1]:
+            if name not in NESTED:
+                own.clear()  # one that another follows isn't closed
+            own.append(m.start())
+            raw = name if name in ("script", "style") else raw
+        else:
+            raw = ""
+            if own:
+                out[own.pop()] = m.start()
+    return out
+
+
 def parse(html: str) -> Page:
     page, at, block, size = Page(), 0, 0, len(html)
     stack: list[tuple[str, int]] = [("body", 0)]  # open elements and their nodes; an inline element has its block's node
+    where: dict[str, list[int]] = {}  # places of open elements in the stack, by name
+    blocks = [0]  # places of those that aren't inline
     links = 0
-    find = _TOKEN.search
+    find, ends, closed = _TOKEN.search, None, html.rfind(">")
 
     def text(upto: int) -> None:
         raw = html[at:upto]
@@ -89,15 +123,28 @@ def parse(html: str) -> Page:
         elif raw:
             page.runs.append((block, stack[-1][1], " "))
 
+    def push(name: str, node: int) -> None:
+        where.setdefault(name, []).append(len(stack))
+        if name not in INLINE:
+            blocks.append(len(stack))
+        stack.append((name, node))
+
     def close(i: int) -> None:
         nonlocal links
-        links -= sum(t == "a" for t, _ in stack[i:])
+        for name, _ in stack[i:]:
+            where[name].pop()
+            links -= name == "a"
         del stack[i:]
+        while blocks[-1] >= i:
+            blocks.pop()
+
+    def last(names: tuple[str, ...]) -> int:
+        return max((w[-1] for n in names if (w := where.get(n))), default=0)
 
     while at < size:
-        m = find(html, at)
-        if m is None:
-            text(size)
+        m = (find if at <= closed else _CUT_OFF.search)(html, at)
+        if m is None or at > closed:
+            text(m.start() if m else size)
             break
         text(m.start())
         at = m.end()
@@ -106,22 +153,30 @@ def parse(html: str) -> Page:
             if name == "br":
                 page.runs.append((block, stack[-1][1], " "))
                 continue
-            i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-            if i and not (name in INLINE and any(t not in INLINE for t, _ in stack[i:])):
+            i = last((name,))
+            if i and not (name in INLINE and i < blocks[-1]):
                 close(i)
             block += name not in INLINE
         elif name := m[2]:
             name, attrs = name.lower(), m[3]
             if name in HIDDEN:
                 if name in RAW or not attrs.endswith("/"):
-                    end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(html, at)
-                    at = end.end() if end else (size if name != "head" else at)
+                    ends = hidden_ends(html) if ends is None else ends
+                    end = ends.get(m.start())
+                    if end is not None:
+                        at = html.find(">", end) + 1 or size
+                    elif name in ("script", "style"):
+                        at = size
+                    elif name != "head":  # not closed: what it shows itself
+                        while (after := _NEXT_TAG.search(html, at)) and name == "select" and (choice := _CHOICE.match(html, after.start())):
+                            at = choice.end()
+                        at = after.start() if after else size
                 continue
             if name in INLINE:
                 if name in VOID:
                     page.runs.append((block, stack[-1][1], " " if name == "br" else ""))
                 elif not attrs.endswith("/"):
-                    stack.append((name, stack[-1][1]))
+                    push(name, stack[-1][1])
                     links += name == "a"
                 continue
             block += 1
@@ -129,17 +184,12 @@ def parse(html: str) -> Page:
                 page.attrs[0] += attrs
                 continue
             if name in ENDS_P:
-                i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p"), 0)
-                if i:
+                if i := last(("p",)):
                     close(i)
             elif name in CLOSES:
                 inner, outer = CLOSES[name]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in outer:
-                        break
-                    if stack[i][0] in inner:
-                        close(i)
-                        break
+                if (i := last(inner)) > last(outer):
+                    close(i)
             if name in VOID:
                 continue
             page.parent.append(stack[-1][1])
@@ -147,7 +197,7 @@ def parse(html: str) -> Page:
             page.attrs.append(attrs)
             for x in (page.chars, page.linked, page.stops):
                 x.append(0)
-            stack.append((name, len(page.tag) - 1))
+            push(name, len(page.tag) - 1)
     return page
 
 
@@ -318,6 +368,12 @@ def train(pages: list[str], epochs: int = 12, rate: float = 0.15, ridge: float =
     return model
 
 
+def train_on(pages: DataFrame, most: int = 2000) -> Model:
+    """Trains on a table of labelled pages: html whose block elements say in data-label whether they are content. A bounded sample: the `most` with the smallest hash."""
+    rows = pages.where("html is not null").orderBy(F.xxhash64("html"), "html").limit(most).select("html").collect()
+    return train([r.html for r in rows])
+
+
 def extract(html: str | None, model: Model, least: float = 0.5) -> str:
     if not html:
         return ""

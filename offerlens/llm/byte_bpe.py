@@ -3,11 +3,11 @@
 Tier one: a minimal perfect hash over the vocabulary resolves, for a batch of distinct pre-tokens at once, those that
 are a token as a whole. Tier two: a miss is merged with a heap of neighbouring pairs over doubly linked byte spans,
 always the lowest rank, then the leftmost. What a pre-token (or a blank-separated run of them) encodes to is kept in
-memos of bounded size, which change nothing but the time. Results equal those of the tiktoken library without special
+memos of bounded size, which change nothing but the time; long ones are not kept. Results equal those of the tiktoken library without special
 tokens; decoding joins the tokens' bytes and gives the text's bytes back.
 
-Defined cases: a null text counts as empty and has no ids. Any text encodes, as every byte is a token. Rows that repeat
-are encoded each. An empty table gives an empty result. Extra columns are never read.
+Defined cases: a null text counts as empty and has no ids. Any text encodes, as every byte is a token; very long texts,
+also without blanks, are encoded whole. Rows that repeat are encoded each. An empty table gives an empty result. Extra columns are never read.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import mix64, read_table, slices
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Entries of a worker's memos; beyond it they begin anew. About 100 bytes an entry.
-MEMO = 400_000
+#: Entries of each of a worker's memos, and characters of an entry; beyond the first they begin anew, beyond the second nothing is kept. So at most some 100 MB.
+MEMO, MEMO_CHARS = 400_000, 48
 #: White space by which a text can't be cut at single blanks.
 _OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -121,47 +121,60 @@ class Codec:
         self.rank_of = {t: r for r, t in enumerate(vocabulary)}
         self.hash = perfect or PerfectHash(vocabulary)
         self.findall = regex.compile(pattern).findall
+        self.by_blanks = self._splits_at_blanks()
         self.one: dict[str, bytes] = {}  # by pre-token
         self.run: dict[str, bytes] = {}  # by what stands between single blanks
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _splits_at_blanks(self) -> bool:
+        """Whether the pattern cuts before each single blank, whatever stands beside it; tried on all pairs of kinds of characters."""
+        kinds = ("a", "Z", "\u00e9", "\u4e2d", "7", "\u00b2", "!", "'s", "_", "\U0001f600", "\u0301", "a\n", "\n", "$", "<")
+        return all(self.findall(f"{x} {y}") == self.findall(x) + self.findall(f" {y}") for x in kinds for y in kinds if not x.endswith("\n") and not y.startswith("\n"))
+
+    def _codes(self, pieces: set[str]) -> dict[str, bytes]:
+        """A table with the ids of all pieces: the memo, or where pieces are long or many one of their own."""
         new = [p for p in pieces if p not in self.one]
         if not new:
-            return
-        if len(self.one) + len(new) > MEMO:
-            self.one.clear()
-            new = list(pieces)
+            return self.one
         raw = [p.encode() for p in new]
-        vocabulary, one, rank_of = self.vocabulary, self.one, self.rank_of
+        vocabulary, rank_of, found = self.vocabulary, self.rank_of, {}
         for p, b, r in zip(new, raw, self.hash.ranks(raw).tolist()):
             if r >= 0 and vocabulary[r] == b:
-                one[p] = r.to_bytes(4, "little")
+                found[p] = r.to_bytes(4, "little")
             else:
-                one[p] = np.array(merge(b, rank_of), "<u4").tobytes()
+                found[p] = np.array(merge(b, rank_of), "<u4").tobytes()
+        if len(self.one) + len(new) > MEMO or max(map(len, new)) > MEMO_CHARS:
+            table = {p: self.one[p] for p in pieces if p not in found} | found
+            if len(self.one) + len(new) > MEMO:
+                self.one.clear()
+            self.one.update((p, c) for p, c in found.items() if len(p) <= MEMO_CHARS)
+            return table
+        self.one.update(found)
+        return self.one
 
     def _whole(self, text: str) -> bytes:
         pieces = self.findall(text)
-        self._learn(set(pieces))
-        return b"".join(map(self.one.__getitem__, pieces))
+        return b"".join(map(self._codes(set(pieces)).__getitem__, pieces))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if "  " in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text):
+        if not self.by_blanks or "  " in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text):
             return self._whole(text)
         # No pre-token goes on over a single blank, and what precedes it doesn't matter to what follows.
         first, *rest = text.split(" ")
-        run = self.run
-        new = set(rest).difference(run)
+        table = self.run
+        new = set(rest).difference(table)
         if new:
-            if len(run) + len(new) > MEMO:
-                run.clear()
-                new = set(rest)
             split = {c: self.findall(" " + c) for c in new}
-            self._learn({p for ps in split.values() for p in ps})
-            one = self.one
-            for c, ps in split.items():
-                run[c] = one[ps[0]] if len(ps) == 1 else b"".join([one[p] for p in ps])
-        return self._whole(first) + b"".join(map(run.__getitem__, rest))
+            one = self._codes({p for ps in split.values() for p in ps})
+            found = {c: one[ps[0]] if len(ps) == 1 else b"".join([one[p] for p in ps]) for c, ps in split.items()}
+            if len(table) + len(new) > MEMO or max(map(len, new)) > MEMO_CHARS:
+                table = {c: table[c] for c in set(rest) if c not in found} | found
+                if len(self.run) + len(new) > MEMO:
+                    self.run.clear()
+                self.run.update((c, x) for c, x in found.items() if len(c) <= MEMO_CHARS)
+            else:
+                table.update(found)
+        return self._whole(first) + b"".join(map(table.__getitem__, rest))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -1,20 +1,23 @@
 """Operator 9, exact dedup: a static binary-fuse filter per immutable snapshot shard screens incoming digests.
 
-Documents are split into an immutable snapshot and an incoming batch. The snapshot's distinct digests are cut into
-shards by their leading bits; each shard gets a binary-fuse filter (3 segments, 16-bit fingerprints: about 18 bits a
-key, 1 in 65,536 false positives). Digests of the incoming batch are first grouped among themselves; each distinct
+A snapshot's distinct digests are cut into shards by their hash; each shard gets a binary-fuse filter (3 segments, 16-bit
+fingerprints: about 18 bits a key, 1 in 65,536 false positives). take_snapshot() stores both; they are never changed, and later batches
+are screened by them (open_snapshot(), known_texts()). Digests of the incoming batch are first grouped among themselves; each distinct
 one is screened by its shard's filter. A negative is surely new. A positive joins the exact bucket of its digest in
 the snapshot. Groups of more than one row are then checked byte for byte against the row that stays; rows whose bytes
 differ from it (a digest collision) are grouped again by their text.
 
+exact_dedup() takes one table: rows of one half of the doc_ids' hashes are its snapshot, the others the batch.
+
 Defined cases: a null text counts as empty; empty texts are equal to each other. The row with the largest doc_id of
 equal texts stays; null doc_ids are smaller than any other. Rows that repeat one doc_id and text all say kept in the
-flagged result; dedup_rows() keeps one of them. An empty table gives an empty result. Extra columns are never read.
+flagged result; dedup_rows() keeps one of them. Very long texts count whole. An empty table gives an empty result. Extra columns are never read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -102,22 +105,56 @@ def _key(digest: str = "digest") -> Column:
     return F.conv(F.hex(F.substring(F.col(digest), 1, 8)), 16, -10).cast("long")
 
 
-def snapshot_filters(snapshot: DataFrame, shards: int) -> DataFrame:
-    """(shard, seed, segment, segments, bits) of the distinct digests of a snapshot."""
+@dataclass
+class Snapshot:
+    """groups(digest, n, keep_id) of distinct texts and filters(shard, seed, segment, segments, bits) of their digests."""
+
+    groups: DataFrame
+    filters: DataFrame
+    shards: int
+
+
+def digests(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    return docs.select("doc_id", digest(F.coalesce(F.col("text"), F.lit(""))).alias("digest"))
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("digest").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"))
+
+
+def take_snapshot(rows: DataFrame, shard_keys: int = SHARD_KEYS, path: str | None = None) -> Snapshot:
+    """Of rows(doc_id, digest); stored below path, if given, for open_snapshot()."""
+    spark = rows.sparkSession
+    groups = _grouped(rows)
+    if path:
+        groups.write.parquet(f"{path}/groups")
+        groups = spark.read.parquet(f"{path}/groups")
+    else:
+        groups = materialize(groups, "snapshot")
+    shards = max(1, -(-groups.count() // shard_keys))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         f = BinaryFuse.build(pdf["key"].to_numpy(np.int64).view(np.uint64))
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "seed": [f.seed], "segment": [f.segment], "segments": [f.segments], "bits": [f.table.tobytes()]})
+        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "shards": [shards], "seed": [f.seed], "segment": [f.segment], "segments": [f.segments], "bits": [f.table.tobytes()]})
+
+    filters = groups.select(_shard(shards), _key().alias("key")).groupBy("shard").applyInPandas(build, "shard int, shards int, seed int, segment int, segments int, bits binary")
+    if path:
+        filters.write.parquet(f"{path}/filters")
+        return open_snapshot(spark, path)
+    return Snapshot(groups, materialize(filters, "filters"), shards)
 
-    return snapshot.select(_shard(shards), _key().alias("key")).groupBy("shard").applyInPandas(build, "shard int, seed int, segment int, segments int, bits binary")
+
+def open_snapshot(spark: SparkSession, path: str) -> Snapshot:
+    filters = spark.read.parquet(f"{path}/filters")
+    return Snapshot(spark.read.parquet(f"{path}/groups"), filters, filters.agg(F.max("shards")).first()[0] or 1)
 
 
 def _shard(shards: int) -> Column:
     return F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int").alias("shard")
 
 
-def screen(incoming: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """incoming (one row a digest) with `maybe`: false only if the snapshot surely lacks the digest."""
+def screen(incoming: DataFrame, snapshot: Snapshot) -> DataFrame:
+    """incoming(digest, n, keep_id; one row a digest) with `maybe`: false only if the snapshot surely lacks the digest."""
 
     def test(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(right):
@@ -126,26 +163,42 @@ def screen(incoming: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
             left["maybe"] = f.contains(left["key"].to_numpy(np.int64).view(np.uint64))
         else:
             left["maybe"] = False
-        return left[["digest", "maybe"]]
+        return left[["digest", "n", "keep_id", "maybe"]]
+
+    keyed = incoming.select("digest", "n", "keep_id", _shard(snapshot.shards), _key().alias("key"))
+    fields = "digest binary, n long, keep_id long, maybe boolean"
+    known = keyed.where("keep_id is not null").groupBy("shard").cogroup(snapshot.filters.groupBy("shard")).applyInPandas(test, fields)
+    unnamed = keyed.where("keep_id is null").select("digest", "n", "keep_id", F.lit(True).alias("maybe"))  # pandas has no whole null numbers; these few join anyway
+    return known.unionByName(unnamed)
+
 
-    keyed = incoming.select("digest", _shard(shards), _key().alias("key"))
-    tested = keyed.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(test, "digest binary, maybe boolean")
-    return incoming.join(tested, "digest")
+def known_texts(docs: DataFrame, snapshot: Snapshot, snapshot_docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, known_id) of each row of a batch docs(doc_id, text): the row of the snapshot with the same bytes, null if it has none."""
+    rows = materialize(digests(docs), "batch")
+    positives = materialize(screen(_grouped(rows), snapshot).where("maybe").select("digest", "n"), "positives")
+    met = materialize(join_checked(snapshot.groups.select("digest", "keep_id"), positives, ["digest"], "inner"), "met")
+    plain = lambda d: d.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    stays = join_checked(plain(snapshot_docs).withColumn("digest", sha256(F.col("text"))), met.select("digest", F.col("keep_id").alias("doc_id")), ["digest", "doc_id"], "left_semi")
+    stays = stays.groupBy("digest").agg(F.min("text").alias("stays"))
+    named = met.join(stays, "digest").select("digest", "n", "keep_id", "stays")
+    batch = plain(docs).withColumn("digest", sha256(F.col("text")))
+    found = join_hot(batch, materialize(named, "known"), "digest", "n", rows.count())
+    return found.select("doc_id", "digest", F.when(F.col("text") == F.col("stays"), F.col("keep_id")).alias("known_id"))
 
 
 def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """(doc_id, digest, keep_id, group_size, kept) of each row of docs(doc_id, text); digest: of the text, as binary, 8 bytes or more."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = materialize(docs.select("doc_id", digest(text).alias("digest"), (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).alias("old")), "digests")
+    rows = materialize(digests(docs, digest).withColumn("old", F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0), "digests")
     total = rows.count()
-    grouped = lambda d: d.groupBy("digest").agg(F.sum("n").alias("n"), F.max("keep_id").alias("keep_id"))
-    one = lambda d: d.groupBy("digest").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"))
-    shards = max(1, -(-total // shard_keys))
-    snapshot, incoming = materialize(one(rows.where("old")), "snapshot"), one(rows.where("not old"))
-    screened = materialize(screen(incoming, snapshot_filters(snapshot, shards), shards), "screened")
-    met = grouped(snapshot.unionByName(screened.where("maybe").drop("maybe")))
-    groups = materialize(met.unionByName(screened.where("not maybe").drop("maybe")), "groups")
-    many = groups.where("n > 1")
+    snapshot = take_snapshot(rows.where("old"), shard_keys)
+    screened = materialize(screen(_grouped(rows.where("not old")), snapshot), "screened")
+    positives = materialize(screened.where("maybe").select("digest", F.col("n").alias("m"), F.col("keep_id").alias("new_id")), "positives")
+    met = join_checked(snapshot.groups, positives, ["digest"], "left")
+    met = met.select("digest", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), F.greatest("keep_id", "new_id").alias("keep_id"))
+    true = materialize(join_checked(snapshot.groups.select("digest"), positives.select("digest"), ["digest"], "left_semi"), "true-positives")
+    false = join_checked(positives, true, ["digest"], "left_anti")
+    new = screened.where("not maybe").drop("maybe").unionByName(false.select("digest", F.col("m").alias("n"), F.col("new_id").alias("keep_id")))
+    many = materialize(met.unionByName(new).where("n > 1"), "groups")
     wrong = _collisions(docs, rows, many, total, digest)
     out = join_hot(rows.select("doc_id", "digest"), many.withColumn("w", F.col("n")), "digest", "w", total).drop("w")
     out = out.select("doc_id", "digest", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"))
@@ -163,7 +216,7 @@ def _collisions(docs: DataFrame, rows: DataFrame, many: DataFrame, total: int, d
     pick = many.select("digest", "keep_id", "n", (F.floor((F.col("n") - 1) / CHECK_ROWS) + 1).cast("int").alias("parts"))
     ids = join_hot(rows.select("doc_id", "digest"), pick, "digest", "n", total).where("parts is not null").select("doc_id", "digest", "keep_id", "parts")
     ids = materialize(ids, "members")
-    salt = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("salt")
+    salt = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.col("parts")).cast("int").alias("salt")  # any salt will do
     wanted = ids.select("doc_id").where("doc_id is not null").distinct()
     plain = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     found = join_checked(plain.where("doc_id is not null"), wanted, ["doc_id"], "left_semi").unionByName(plain.where("doc_id is null"))
@@ -181,15 +234,17 @@ def _collisions(docs: DataFrame, rows: DataFrame, many: DataFrame, total: int, d
 
 
 def dedup_rows(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_dedup() drops; of rows that repeat a doc_id and text, one stays."""
-    flags = exact_dedup(docs)
-    kept = materialize(flags.where("kept").groupBy("doc_id", "digest").agg(F.count("*").alias("n")), "kept")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.withColumn("__digest", sha256(text)).alias("d")
-    k = kept.withColumnsRenamed({"doc_id": "__id", "digest": "__kept", "n": "__n"})
-    found = marked.join(k, F.col("d.doc_id").eqNullSafe(F.col("__id")) & (F.col("d.__digest") == F.col("__kept")))
-    once, more = found.where("__n = 1"), found.where("__n > 1").dropDuplicates(["doc_id", "__digest"])
-    return once.unionByName(more).select(*docs.columns)
+    """docs without the rows that exact_dedup() drops; of rows that repeat a doc_id and text, one stays. Only dropped rows are looked up."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    flags = exact_dedup(docs).groupBy(name.alias("__id"), F.col("digest").alias("__digest")).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    flags = materialize(flags.where("not kept or n > 1"), "flags")
+    on = ["__id", "__digest"]
+    marked = docs.withColumns({"__id": name, "__digest": sha256(F.coalesce(F.col("text"), F.lit("")))})
+    out = join_checked(marked, flags.select(*on), on, "left_anti")
+    repeated = materialize(flags.where("kept").select(*on), "repeated")
+    if not repeated.isEmpty():
+        out = out.unionByName(join_checked(marked, repeated, on, "left_semi").dropDuplicates(on))
+    return out.select(*docs.columns)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

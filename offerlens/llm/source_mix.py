@@ -3,10 +3,10 @@
 Targets are filled like water: target = min(3 * size, level * weight), where the level makes the targets sum to all
 sizes. The total is cut into equal blocks; sources get whole blocks by the highest quotients target / (2k + 1). A
 source is dealt by a hash into shards of about SHARD_DOCS documents and its blocks are apportioned to the shards by the
-same rule, so every shard has an integer quota. A shard lays its documents out in a seeded order and takes its quota's
+same rule, down a tree of at most FAN children a node, so every shard has an integer quota. A shard lays its documents out in a seeded order and takes its quota's
 blocks from there: whole passes first, then a run of blocks. So no window ever holds more than one shard.
 
-Defined cases: a null text has size 0 and is never taken. Null sources are one source, last in order. Sources of size
+Defined cases: a null text has size 0 and is never taken; a very long one may be taken in part. Null sources are one source, last in order. Sources of size
 0 get target 0. Rows that repeat a doc_id count as documents of their own. An empty table gives an empty result. The
 seed and hashes make reruns agree. Extra columns are never read.
 """
@@ -24,6 +24,8 @@ MOST_PASSES = 3
 BLOCK_WORDS = 4
 #: Documents in a shard, about.
 SHARD_DOCS = 8192
+#: Children of a node in the tree by which a source's blocks are apportioned to its shards.
+FAN = 1024
 #: Sources ranked by one task, about.
 RANK_ROWS = 100_000
 SEED = 20_240_601
@@ -44,18 +46,36 @@ def ranked(sources: DataFrame, key: str) -> DataFrame:
     return spread.join(F.broadcast(offsets), "part").withColumn("rank", F.col("offset") + F.col("place")).drop("part", "place", "offset")
 
 
-def water_level(sources: DataFrame) -> float:
-    """The level at which min(MOST_PASSES * source_size, level * weight) sums to all sizes."""
-    total, weights = sources.agg(F.sum("source_size"), F.sum("weight")).first()
+def water_level(sources: DataFrame, few: int = 10_000) -> float:
+    """The level at which min(MOST_PASSES * source_size, level * weight) sums to all sizes.
+
+    A source is full at the ratio MOST_PASSES * source_size / weight. Ratios are narrowed by their quantiles until few of them are left,
+    which are gone through in order.
+    """
+    total = sources.agg(F.sum("source_size")).first()[0]
     if not total:
         return 0.0
-    level, room = total / weights, None
-    while True:  # the level only rises, and each turn caps at least one more source
-        full = F.col("source_size") * MOST_PASSES <= F.col("weight") * F.lit(level)
-        capped, free = sources.agg(F.sum(F.when(full, F.col("source_size") * MOST_PASSES).otherwise(0)), F.sum(F.when(full, 0).otherwise(F.col("weight")))).first()
-        if not free or capped == room:
-            return level
-        room, level = capped, max(level, (total - capped) / free)
+    room = F.col("source_size") * MOST_PASSES
+    ratios = sources.select((room / F.col("weight")).alias("ratio"), room.alias("room"), "weight").groupBy("ratio").agg(F.sum("room").alias("room"), F.sum("weight").alias("weight"))
+    ratios = materialize(ratios, "ratios")
+    below, above, left = 0, 0, ratios  # room of the full ones, weight of those that can't be full, what is undecided
+    while left.count() > few:
+        cuts = sorted(set(left.approxQuantile("ratio", [k / 64 for k in range(1, 64)], 0.002)))
+        part = sum((F.when(F.col("ratio") > c, 1).otherwise(0) for c in cuts), F.lit(0))
+        sums = {r.part: (r.room, r.weight) for r in left.groupBy(part.alias("part")).agg(F.sum("room").alias("room"), F.sum("weight").alias("weight")).collect()}
+        k, rest = 0, above + sum(w for _, w in sums.values())
+        while k < len(cuts) and below + sums.get(k, (0, 0))[0] + cuts[k] * (rest - sums.get(k, (0, 0))[1]) < total:  # all of part k are full
+            below, rest = below + sums.get(k, (0, 0))[0], rest - sums.get(k, (0, 0))[1]
+            k += 1
+        above = rest - sums.get(k, (0, 0))[1]
+        left = left.where((F.col("ratio") > cuts[k - 1] if k else F.lit(True)) & (F.col("ratio") <= cuts[k] if k < len(cuts) else F.lit(True)))
+    rows = sorted(left.collect())
+    rest, level = above + sum(r.weight for r in rows), 0.0
+    for r in rows:
+        if below + r.ratio * rest >= total:
+            break
+        below, rest, level = below + r.room, rest - r.weight, r.ratio
+    return (total - below) / rest if rest else level
 
 
 def _near(share: Column, missing: Column) -> Column:
@@ -90,9 +110,9 @@ def apportion_sources(sources: DataFrame, block: int) -> DataFrame:
 
 
 def apportion_shards(shards: DataFrame, block: int) -> DataFrame:
-    """shards(skey, shard, shard_size, source_size, blocks) with `quota`, whole blocks that sum to their source's."""
-    own = Window.partitionBy("skey")
-    share = F.col("shard_size") / F.greatest(F.col("source_size"), F.lit(1))
+    """shards(skey, above, shard, shard_size, above_size, blocks) with `quota`, whole blocks that sum to those of the node above."""
+    own = Window.partitionBy("skey", "above")
+    share = F.col("shard_size") / F.greatest(F.col("above_size"), F.lit(1))
     room = F.ceil(F.col("shard_size") * MOST_PASSES / block).cast("long")
     first = shards.withColumns({"room": room, "seats": F.least(F.floor(share * F.col("blocks") + 0.5), room).cast("long")})
     first = first.withColumn("missing", F.col("blocks") - F.sum("seats").over(own)).withColumn("near", _near(share, F.col("missing")))
@@ -102,6 +122,21 @@ def apportion_shards(shards: DataFrame, block: int) -> DataFrame:
     return first.join(decided, ["skey", "shard"], "left").select("skey", "shard", "shard_size", (F.col("seats") + F.signum("missing").cast("long") * F.coalesce("turned", F.lit(0))).alias("quota"))
 
 
+def shard_quotas(sized: DataFrame, block: int, fan: int) -> DataFrame:
+    """sized(skey, shard, shard_size, source_size, blocks) with `quota`. Shards are leaves of a tree in which no node has more than `fan` children, apportioned from the top, so no task gets a whole large source."""
+    depth, most = 1, (sized.agg(F.max("shard")).first()[0] or 0) + 1
+    while most > fan**depth:
+        depth += 1
+    quotas = None
+    for level in range(depth - 1, -1, -1):
+        node, above = F.floor(F.col("shard") / fan**level), F.floor(F.col("shard") / fan ** (level + 1))
+        nodes = sized.groupBy("skey", above.alias("above"), node.alias("shard")).agg(F.sum("shard_size").alias("shard_size"), F.first("source_size").alias("above_size"), F.first("blocks").alias("blocks"))
+        if quotas is not None:
+            nodes = nodes.drop("above_size", "blocks").join(quotas.select("skey", F.col("shard").alias("above"), F.col("shard_size").alias("above_size"), F.col("quota").alias("blocks")), ["skey", "above"])
+        quotas = materialize(apportion_shards(nodes, block), "shard-quotas")
+    return quotas
+
+
 def mix(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """(doc_id, skey, size, source_size, target, taken) of each row of docs(doc_id, source, text)."""
     skey = F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit("")))
@@ -116,7 +151,7 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFram
     dealt = join_hot(rows, sources, "skey", "n_docs", rows.count())
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "doc_id"), F.col("parts")))
     sized = dealt.groupBy("skey", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_size").alias("source_size"), F.first("blocks").alias("blocks"))
-    quotas = materialize(apportion_shards(sized, block), "shard-quotas")
+    quotas = shard_quotas(materialize(sized, "shard-sizes"), block, FAN)
     laid = Window.partitionBy("skey", "shard").orderBy("place", "doc_id", "size")
     laid = dealt.join(quotas, ["skey", "shard"]).withColumn("end", F.sum("size").over(laid.rowsBetween(Window.unboundedPreceding, 0)))
     words = F.least(F.col("quota") * block, F.col("shard_size") * MOST_PASSES)

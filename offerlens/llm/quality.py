@@ -23,10 +23,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, read_table, slices
+from .common import crc_mod, materialize, read_table, slices
 
 SAMPLE_DOCS = 4000
 SAMPLE_BYTES = 8 << 20
@@ -131,24 +131,35 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
     labels = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     totals = {r.quality: r["n"] for r in labels.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     picked = [labels.where(F.col("quality") == q).withColumn("place", place).orderBy("place", "doc_id").limit(sample_docs) for q in (0, 1)]
-    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
-    order = Window.partitionBy("quality").orderBy("place", "doc_id", "text")  # rows that repeat a doc_id count as documents of their own
-    sample = sample.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs).drop("rank")
+    picks = materialize(picked[0].unionByName(picked[1]), "picked")  # 2 * sample_docs rows, unless labels repeat
+    rows = docs.select("doc_id", F.xxhash64("text").alias("rid"), "text").where("text is not null")
+    # rows that repeat a doc_id count as documents of their own; of a class, the first sample_docs rows are taken, each distinct text once with how often
+    keys = rows.select("doc_id", "rid", F.octet_length("text").alias("size")).join(F.broadcast(picks), "doc_id").groupBy("quality", "place", "doc_id", "rid").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    keys = materialize(keys, "keys")
+    chosen = []
+    for q in (0, 1):
+        left = sample_docs
+        for r in keys.where(F.col("quality") == q).orderBy("place", "doc_id", "rid").limit(sample_docs).collect():
+            if left > 0:
+                chosen.append((q, r.place, r.doc_id, r.rid, min(left, r.n), r["size"]))
+                left -= r.n
     sizes: dict[int, dict[int, int]] = {0: {}, 1: {}}
-    for r in sample.groupBy("quality", F.octet_length("text").alias("size")).agg(F.count("*").alias("n")).collect():
-        sizes[r.quality][r["size"]] = r["n"]
+    for q, *_, n, size in chosen:
+        sizes[q][size] = sizes[q].get(size, 0) + n
     bounds = [text_bound(sizes[q], sample_bytes) for q in (0, 1)]
-    schema = pa.schema([("place", pa.int64()), ("doc_id", pa.int64()), ("quality", pa.int32()), ("part", pa.binary())])
+    table = docs.sparkSession.createDataFrame([c[:4] for c in chosen], "quality int, place long, doc_id long, rid long")
+    sample = rows.join(F.broadcast(table), ["doc_id", "rid"])
+    schema = pa.schema([("quality", pa.int32()), ("doc_id", pa.int64()), ("rid", pa.int64()), ("part", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                parts = [spread(t.encode(), bounds[q]) for q, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                parts = [spread(t.encode(), bounds[q]) for q, t in zip(part.column(0).to_pylist(), part.column(3).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(parts, pa.binary())], schema=schema)
 
-    cuts = sample.select("place", F.col("doc_id").cast("long").alias("doc_id"), "quality", "text").mapInArrow(cut, "place long, doc_id long, quality int, part binary")
-    rows = cuts.orderBy("place", "doc_id", "part").collect()
-    texts = {q: [bytes(r.part) for r in rows if r.quality == q] for q in (1, 0)}
+    cuts = sample.select("quality", F.col("doc_id").cast("long").alias("doc_id"), "rid", "text").mapInArrow(cut, "quality int, doc_id long, rid long, part binary")
+    found = {(r.quality, r.doc_id, r.rid): bytes(r.part) for r in cuts.groupBy("quality", "doc_id", "rid").agg(F.min("part").alias("part")).collect()}
+    texts = {q: [t for k, _, i, rid, n, _ in chosen if k == q for t in [found[q, i, rid]] * n] for q in (1, 0)}
     return fit(texts[1], texts[0], tuple(totals.get(q, 0) / max(1, len(texts[q])) for q in (1, 0)))
 
 

@@ -6,6 +6,7 @@ the vector store, conversations for messages, events for logs. Every query runs
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -50,9 +51,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that executors share: below spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """A new folder that executors share: below spark.checkpoint.dir, or a temporary one where it is unset and the master is local (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='offerlens-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/offerlens/{uuid.uuid4().hex}"
@@ -172,13 +175,21 @@ def page_fetch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads.join(pages.select("page_id", "html"), "page_id").select("page_id", "url", F.length("html").cast("long").alias("n_chars"))
 
 
+@query("SELECT p_partkey, p_name || ' &' || p_brand AS summary FROM part")
+def extract_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snippets with a summary element, escaped twice: its texts without white space between them, then unescaped and without tags."""
+    snippet = F.concat(F.lit('<p>from a feed</p><div class="snippet summary"><p>'), "p_name", F.lit(" &amp;amp;</p> <b>"), "p_brand", F.lit("</b>&lt;br/&gt;</div><i>more</i>"))
+    return table(spark, sf_dir, "part").select("p_partkey", html.snippet_text(snippet).alias("summary"))
+
+
 @query("SELECT page_id, replace(html, chr(10), ' ') AS summary FROM pages")
 def extract_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages have no summary element, so the whole snippet stays, on one line."""
     return table(spark, sf_dir, "pages").select("page_id", html.snippet_text(F.col("html")).alias("summary"))
 
 
-@query()
+@query("""SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '<article[^>]*>(.*?)</article>', 1, 's'), '<[^>]*>', '', 'g'),
+    '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '"'), '&amp;', '&'), chr(10) || 'more', ''), chr(10), ' ') AS content FROM pages""")
 def article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", html.page_text(F.col("html"), "article", None).alias("content"))
 
@@ -286,7 +297,7 @@ def ensemble_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "part")).select("p_partkey", F.round("estimate", 6).alias("estimate"))
 
 
-@query()
+@query("SELECT p_partkey, 'GPT 4.' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS title FROM part")
 def display_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("gpt_4__"), F.replace("p_name", F.lit(" "), F.lit("_")))
     return table(spark, sf_dir, "part").select("p_partkey", text.display_title(name).alias("title"))
@@ -305,6 +316,15 @@ def model_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.when(has("ring"), "low").alias("effort"), F.when(has("widget"), "http://localhost:11434").alias("base_url"))
 
 
+@query(r"""WITH w AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}'), lambda x: ('0x' || left(md5(x), 8))::BIGINT % 5000)) AS b FROM documents)
+    SELECT doc_id, len(b) AS n_buckets, coalesce(list_sum(b), 0)::BIGINT AS bucket_sum, round(CASE WHEN len(b) > 0 THEN 1 / sqrt(len(b)) ELSE 0 END, 9) AS weight FROM w""")
+def word_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as binary bags of 5,000 hashed words, scaled to length 1: how many buckets, which, and each one's weight. All words count here; stop words are a parameter."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", scorers.word_buckets(F.col("text"), stop=[]).alias("b"))
+    n = F.size("b")
+    return rows.select("doc_id", n.cast("long").alias("n_buckets"), F.aggregate("b", F.lit(0).cast("long"), lambda s, x: s + x).alias("bucket_sum"), F.round(F.when(n > 0, 1 / F.sqrt(n)).otherwise(0.0), 9).alias("weight"))
+
+
 @query(r"SELECT doc_id, len(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}'))) AS n_words FROM documents")
 def hashed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)
@@ -331,12 +351,13 @@ def knn5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(spark, sf_dir).select("query_id", "id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
-SQL_PRICES = "prices AS (SELECT v.vec_id AS id, p.p_retailprice AS price, p.p_name AS name FROM embeddings v JOIN part p ON p.p_partkey = v.vec_id % 200)"
+SQL_PRICES = "prices AS (SELECT v.vec_id AS id, p.p_retailprice AS price, p.p_name AS name FROM embeddings v JOIN part p ON p.p_partkey = v.vec_id % (SELECT count(*) FROM part))"
 
 
 def vector_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector is priced as one of the first 200 parts, which every scale has."""
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 200).alias("p_partkey"))
+    """Each vector is priced as a part, in turn over all parts."""
+    parts = table(spark, sf_dir, "part").count()
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % parts).alias("p_partkey"))
     return vectors.join(table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("price"), F.col("p_name").alias("name")), "p_partkey").select("id", "price", "name")
 
 
@@ -354,6 +375,18 @@ def rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("query_id", money.context(F.col("near.name"), F.col("near.price")).alias("context"))
 
 
+@query(f"""WITH {SQL_NEAR}, {SQL_PRICES}, c AS (SELECT query_id, string_agg('Potentially related product:' || chr(10) || name || chr(10) || 'Price is $' || printf('%.2f', price) || chr(10) || chr(10), '' ORDER BY rank) AS body FROM top JOIN prices USING (id) GROUP BY query_id)
+    SELECT query_id, 'Estimate the price of this product. Respond with the price, no explanation' || chr(10) || chr(10) || p.name || chr(10) || chr(10)
+    || 'To provide some context, here are some other items that might be similar to the item you need to estimate.' || chr(10) || chr(10) || body AS prompt FROM c JOIN prices p ON p.id = query_id""")
+def rag_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model is asked for each query: the product, then its five neighbours with their prices."""
+    priced = vector_prices(spark, sf_dir)
+    near = neighbours(spark, sf_dir).join(priced, "id")
+    listed = near.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "name", "price"))).alias("near"))  # five rows a query
+    own = priced.select(F.col("id").alias("query_id"), F.col("name").alias("own"))
+    return listed.join(own, "query_id").select("query_id", money.estimate_prompt(F.col("own"), F.col("near.name"), F.col("near.price")).alias("prompt"))
+
+
 @query(f"SELECT vec_id, {CATEGORIES!r}[label % 8 + 1] AS category, {COLORS!r}[label % 8 + 1] AS color FROM embeddings")
 def category_color(spark: SparkSession, sf_dir: str) -> DataFrame:
     category = F.element_at(F.array(*map(F.lit, CATEGORIES)), (F.col("label") % 8 + 1).cast("int"))
@@ -404,6 +437,17 @@ def error_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.buckets(errors(spark, sf_dir)).withColumn("mean_error", F.round("mean_error", 6))
 
 
+@query(f"WITH {SQL_ERRORS} SELECT list(color ORDER BY color) AS labels, list(mean_error ORDER BY color) AS values, max(mean_error) AS axis_max FROM (SELECT color, round(avg(error), 6) AS mean_error FROM c GROUP BY color)")
+def bar_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of a bar chart, taken apart from its rows."""
+    return evaluation.bar_data(evaluation.buckets(errors(spark, sf_dir)).withColumn("mean_error", F.round("mean_error", 6)), "color", "mean_error", "color")
+
+
+@query(f"WITH {SQL_ERRORS}, m AS (SELECT avg(error) AS a, avg((truth - guess) * (truth - guess)) AS b, (1 - sum((truth - guess) * (truth - guess)) / (sum(truth * truth) - sum(truth) * sum(truth) / count(*))) * 100 AS c FROM e) SELECT 'Model results<br><b>Error:</b> $' || format('{{:,.2f}}', a) || ' <b>MSE:</b> ' || format('{{:,.0f}}', b) || ' <b>r²:</b> ' || format('{{:,.1f}}', c) || '%' AS title FROM m")
+def report_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.report_title(evaluation.report(errors(spark, sf_dir)), "Model")
+
+
 @query(f"WITH {SQL_ERRORS} SELECT count(*) AS n, round(avg(error), 4) AS mean_error, round(avg((truth - guess) * (truth - guess)), 4) AS mse, round((1 - sum((truth - guess) * (truth - guess)) / (sum(truth * truth) - sum(truth) * sum(truth) / count(*))) * 100, 2) AS r2, greatest(max(truth), max(guess)) AS axis_max FROM e")
 def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.report(errors(spark, sf_dir)).withColumns({"mean_error": F.round("mean_error", 4), "mse": F.round("mse", 4), "r2": F.round("r2", 2)})
@@ -441,6 +485,56 @@ def color_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- messages, logs, tools ----
 
+SQL_HEAD, SQL_TAIL = (t.replace("'", "''") for t in (text.SCANNER_HEAD, text.SCANNER_TAIL))
+
+
+@query(f"SELECT n_regionkey, '{SQL_HEAD}' || string_agg('Title: ' || n_name || chr(10) || 'Details: ' || n_name || chr(10) || 'Features: ' || chr(10) || 'URL: n/' || n_nationkey, chr(10) || chr(10) ORDER BY n_nationkey) || '{SQL_TAIL}' AS prompt FROM nation GROUP BY n_regionkey")
+def scanner_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One prompt a group, with all its described rows between the fixed pieces."""
+    described = text.describe(F.col("n_name"), F.col("n_name"), F.lit(""), F.concat(F.lit("n/"), F.col("n_nationkey").cast("string")))
+    rows = table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", described.alias("d"))
+    listed = rows.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "d"))).alias("rows"))  # a prompt's rows
+    return listed.select("n_regionkey", text.scanner_prompt(F.col("rows.d")).alias("prompt"))
+
+
+@query("SELECT doc_id, '<' || left(text, 100) || '>' AS shown FROM documents")
+def deal_repr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.shown(text.cut(F.col("text"), text.LIMITS["title"])).alias("shown"))
+
+
+@query("SELECT p_partkey, p_name || ' is a ' || p_type || ' part ' || array_to_string(list_slice(string_split(p_name || ' is a ' || p_type || ' part', ' '), 1, 5), ' ') AS answer FROM part")
+def generated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text-to-text model on prompts: here the stand-in that repeats a prompt's first five words."""
+    prompt = F.concat("p_name", F.lit(" is a "), "p_type", F.lit(" part"))
+    return table(spark, sf_dir, "part").select("p_partkey", scorers.generated(prompt).alias("answer"))
+
+
+@query("SELECT p_partkey, left(p_name || ' ' || p_brand || ' ' || p_type, 500) AS summary FROM part")
+def rewritten_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in the place of their rewrite: white space made even."""
+    raw = F.concat(F.lit("\t "), "p_name", F.lit(" \n\u00a0 "), "p_brand", F.lit("  "), "p_type", F.lit(" \n"))
+    return table(spark, sf_dir, "part").select("p_partkey", scorers.rewritten(raw).alias("summary"))
+
+
+@query("SELECT p_partkey, 'Great deal: ' || p_name || ' Offered at $' || printf('%.2f', p_retailprice) || ', worth $' || printf('%.2f', p_retailprice * 1.2) || '.' AS message FROM part")
+def alert_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", scorers.message(F.col("p_name"), F.col("p_retailprice"), F.col("p_retailprice") * 1.2).alias("message"))
+
+
+@query("SELECT p_partkey, 'The estimated true value of ' || p_name || ' is ' || p_size AS content FROM part")
+def estimate_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", hunt.estimate_sentence(F.col("p_name"), F.col("p_size")).alias("content"))
+
+
+@query("SELECT event_id, event_type || '<br>' || props AS html FROM events")
+def log_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", text.log_html(F.array("event_type", "props")).alias("html"))
+
+
+@query("SELECT page_id, regexp_replace(replace(html, chr(10), ' '), '<[^<]+?>', '', 'g') AS plain FROM pages")
+def without_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text.without_tags(text.one_line(F.col("html"))).alias("plain"))
+
 
 @query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY turn, role, text) AS prompt FROM conversations GROUP BY conv_id")
 def listagg_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -491,6 +585,17 @@ def memory_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.read_state(spark, path).select("deal.product_description", "deal.price", "deal.url", F.col("batch_id").cast("int").alias("batch_id"))
 
 
+@query("SELECT p_name AS product_description, p_retailprice AS price, 'part/' || p_partkey AS url, round(p_retailprice * 1.2, 6) AS estimate, written FROM part, (VALUES ('array'), ('lines')) t(written)")
+def json_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON state, written and read back, as lines and as one indented array."""
+    path, rows = scratch(spark), opportunity_rows(spark, sf_dir)
+    back = []
+    for array, name in ((True, "array"), (False, "lines")):
+        state.write_json_state(rows, f"{path}/{name}", array=array)
+        back.append(state.read_json_state(spark, f"{path}/{name}").withColumn("written", F.lit(name)))
+    return back[0].unionByName(back[1]).select("deal.product_description", "deal.price", "deal.url", F.round("estimate", 6).alias("estimate"), "written")
+
+
 @query("SELECT p_name AS product_description, p_retailprice AS price, 'part/' || p_partkey AS url FROM part ORDER BY p_partkey LIMIT 2")
 def memory_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three runs of one row each; a reset keeps the first two."""
@@ -554,4 +659,5 @@ def text_price(spark: SparkSession, sf_dir: str) -> DataFrame:
 def network_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices of parts by a seeded residual network on hashed words."""
     known = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return scorers.network_scorer(scorers.ResidualNetwork.random(inputs=256, hidden=16), "p_name", "estimate")(known).select("p_partkey", "estimate")
+    network = scorers.ResidualNetwork.random(inputs=256, hidden=16)
+    return scorers.network_scorer(network, "p_name", "estimate")(known).select("p_partkey", "estimate")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import CONTEXT_HEAD, cut
+from .text import CONTEXT_HEAD, ESTIMATE_HEAD, cut
 
 # Pattern, scaling, weights and limits that results must have.
 PRICE_PATTERN = r"[-+]?\d*\.\d+|\d+"
@@ -73,3 +73,8 @@ def context(similars: Column, prices: Column) -> Column:
     pairs = F.arrays_zip(F.slice(similars, F.lit(1), n).alias("s"), F.slice(prices, F.lit(1), n).alias("p"))
     lines = F.transform(pairs, lambda x: F.concat(F.lit("Potentially related product:\n"), x["s"], F.lit("\nPrice is $"), money(x["p"]), F.lit("\n\n")))
     return F.concat(F.lit(CONTEXT_HEAD), F.array_join(lines, ""))
+
+
+def estimate_prompt(description: Column, similars: Column, prices: Column) -> Column:
+    """What a model is asked for an estimate: the product, then similar ones with their prices."""
+    return F.concat(F.lit(ESTIMATE_HEAD), description, F.lit("\n\n"), context(similars, prices))

@@ -11,6 +11,15 @@ QUESTION = "What does this cost to the nearest dollar?"
 PRICE_PREFIX = "Price is $"
 CONTEXT_HEAD = "To provide some context, here are some other items that might be similar to the item you need to estimate.\n\n"
 ESTIMATE_HEAD = "Estimate the price of this product. Respond with the price, no explanation\n\n"
+SCANNER_HEAD = """Respond with the most promising 5 deals from this list, selecting those which have the most detailed, high quality product description and a clear price that is greater than 0.
+    You should rephrase the description to be a summary of the product itself, not the terms of the deal.
+    Remember to respond with a short paragraph of text in the product_description field for each of the 5 items that you select.
+    Be careful with products that are described as "$XXX off" or "reduced by $XXX" - this isn't the actual price of the product. Only respond with products when you are highly confident about the price. 
+    
+    Deals:
+    
+    """
+SCANNER_TAIL = "\n\nInclude exactly 5 deals, no more."
 FEATURES_MARKER = "Features"
 LIMITS = {"title": 100, "details": 500, "features": 500}
 ANSI_RESET = "\033[0m"
@@ -80,6 +89,16 @@ def test_prompt(prompt: Column) -> Column:
     return F.concat(F.substring_index(prompt, PRICE_PREFIX, 1), F.lit(PRICE_PREFIX))
 
 
+def scanner_prompt(descriptions: Column) -> Column:
+    """Of an array of described offers."""
+    return F.concat(F.lit(SCANNER_HEAD), F.array_join(descriptions, "\n\n"), F.lit(SCANNER_TAIL))
+
+
+def shown(title: Column) -> Column:
+    """How an offer without a price is shown."""
+    return F.concat(F.lit("<"), title, F.lit(">"))
+
+
 def ansi_to_html(text: Column) -> Column:
     for code, color in ANSI_COLORS.items():
         text = F.replace(text, F.lit(code), F.lit(f'<span style="color: {color}">'))

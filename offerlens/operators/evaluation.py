@@ -64,3 +64,10 @@ def band(curve: DataFrame) -> DataFrame:
 
 def hover_text(errors: DataFrame) -> DataFrame:
     return errors.withColumn("hover", F.concat("title", F.lit("\nGuess=$"), thousands(F.col("guess")), F.lit(" Actual=$"), thousands(F.col("truth"))))
+
+
+def bar_data(rows: DataFrame, label: str, value: str, *order: str) -> DataFrame:
+    """The columns of a bar chart as arrays (labels, values), in an order, and the limit of its axis. For reports of a few rows."""
+    listed = F.array_sort(F.collect_list(F.struct(*order, F.col(label).alias("__label"), F.col(value).alias("__value"))))
+    out = rows.agg(listed.alias("rows"), F.max(value).alias("axis_max"))
+    return out.select(F.col("rows.__label").alias("labels"), F.col("rows.__value").alias("values"), "axis_max")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer, StopWordsRemover
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.money import ensemble, from_target, to_target
@@ -33,6 +34,18 @@ def text_features(text: str = "text") -> Pipeline:
     return Pipeline(stages=[words, StopWordsRemover(inputCol="__words", outputCol="__kept"), HashingTF(inputCol="__kept", outputCol="__counts", numFeatures=WORDS, binary=True), Normalizer(inputCol="__counts", outputCol="features", p=2.0)])
 
 
+def words_of(text: Column, stop: list[str] | None = None) -> Column:
+    """Distinct words of two characters or more, in lower case, without stop words (those of English unless given)."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), 1))
+    stop = StopWordsRemover.loadDefaultStopWords("english") if stop is None else stop
+    return F.array_except(words, F.array(*map(F.lit, stop))) if stop else words
+
+
+def word_buckets(text: Column, n: int = WORDS, stop: list[str] | None = None) -> Column:
+    """The buckets of a binary bag of words, ascending: the first 32 bits of each word's MD5, modulo n."""
+    return F.array_sort(F.array_distinct(F.transform(words_of(text, stop), lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % n)))
+
+
 def text_regression(known: DataFrame, text: str, out: str, ridge: float = 0.1) -> Scorer:
     """A linear model of the standardised log price on hashed words, trained on known(text, price)."""
     prepare = text_features(text).fit(known)
@@ -61,6 +74,23 @@ class ResidualNetwork:
         blocks = [(cls._layer(rng, hidden, hidden), cls._layer(rng, hidden, hidden)) for _ in range(layers - 2)]
         return cls(cls._layer(rng, inputs, hidden), blocks, cls._layer(rng, hidden, 1, norm=False))
 
+    def save(self, file) -> None:
+        """Writes the weights as an .npz file (a path or a binary file)."""
+        layers = {"first": self.first, "last": self.last} | {f"block{i}{side}": layer for i, pair in enumerate(self.blocks) for side, layer in zip("ab", pair)}
+        np.savez(file, **{f"{name}.{k}": v for name, layer in layers.items() for k, v in layer.items()})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> ResidualNetwork:
+        """Reads weights that save() wrote, from any file system that Spark knows."""
+        body = spark.read.format("binaryFile").load(path).select("content").first().content
+        arrays = np.load(io.BytesIO(bytes(body)), allow_pickle=False)
+        layers: dict[str, dict] = {}
+        for key in arrays.files:
+            name, k = key.rsplit(".", 1)
+            layers.setdefault(name, {})[k] = arrays[key]
+        many = sum(name.startswith("block") for name in layers) // 2
+        return cls(layers["first"], [(layers[f"block{i}a"], layers[f"block{i}b"]) for i in range(many)], layers["last"])
+
     @staticmethod
     def _apply(x: np.ndarray, layer: dict) -> np.ndarray:
         x = x @ layer["w"] + layer["b"]
@@ -92,8 +122,7 @@ def network_scorer(network: ResidualNetwork, text: str, out: str) -> Scorer:
 
         predict.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
         udf = F.pandas_udf(predict, "double")
-        words = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), 1), lambda w: F.pmod(F.hash(w), F.lit(len(network.first["w"])))))
-        return df.withColumn(out, from_target(udf(words)))
+        return df.withColumn(out, from_target(udf(word_buckets(F.col(text), len(network.first["w"])))))
 
     return score
 
@@ -131,6 +160,26 @@ def embedded(text: Column, width: int = 64) -> Column:
     return F.pandas_udf(of, "array<float>")(text)
 
 
+def generated(prompt: Column, load: Callable[[], Callable[[list[str]], list[str]]] = lambda: first_words) -> Column:
+    """A text-to-text model on a column of prompts. load gives its function from prompts to answers, once a worker task; the default is a stand-in."""
+
+    def answer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for prompts in batches:
+            given = prompts[prompts.notna()]
+            out = pd.Series([None] * len(prompts), index=prompts.index, dtype=object)
+            out[given.index] = model(given.tolist())
+            yield out
+
+    answer.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(answer, "string")(prompt)
+
+
+def first_words(prompts: list[str], n: int = 5) -> list[str]:
+    """In the place of a language model that goes on for n tokens: the prompt and its own first words."""
+    return [" ".join([p, *p.split()[:n]]) for p in prompts]
+
+
 def usage_totals(calls: DataFrame) -> DataFrame:
     """Sums of tokens and cost over calls. Sums, not accumulators: retried tasks would count twice there."""
     return calls.agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("cost").alias("cost"), F.count("*").alias("calls"))

@@ -15,7 +15,8 @@ from ..sources import sinks, state
 #: What an offer's estimate needs to be called with; remote models are swapped in here.
 Estimator = Callable[[DataFrame], DataFrame]
 TOOLS = ("scan_the_internet_for_bargains", "estimate_true_value", "notify_user_of_deal")
-MOST_TURNS = 32
+#: Rows of tool results that may be broadcast.
+MOST_RESULTS = 500_000
 
 
 def plan(offers: DataFrame, memory: DataFrame, estimator: Estimator, threshold: float = planner.DISCOUNT_THRESHOLD) -> DataFrame:
@@ -46,7 +47,8 @@ def tool_schemas() -> list[dict]:
 
 def dispatched(calls: DataFrame, results: DataFrame, name: str = "name") -> DataFrame:
     """calls with the content of their tool's result; an unknown tool's is empty."""
-    return calls.join(F.broadcast(results), name, "left").withColumn("content", F.coalesce("content", F.lit("")))
+    small = results.limit(MOST_RESULTS + 1).count() <= MOST_RESULTS
+    return calls.join(F.broadcast(results) if small else results, name, "left").withColumn("content", F.coalesce("content", F.lit("")))
 
 
 def estimate_sentence(description: Column, estimate: Column) -> Column:
@@ -80,12 +82,12 @@ class ToolLoop:
         return content
 
     def plan(self) -> dict | None:
-        """At most MOST_TURNS offers are estimated; the best discount is notified, the first of equal ones."""
+        """Every offer is estimated; the best discount is notified, the first of equal ones."""
         self.messages, self.opportunity = [{"role": "user", "content": "find the best offer"}], None
         found = self.call(TOOLS[0], {})
         deals = json.loads(found)["deals"] if found.startswith("{") else []
         priced = []
-        for d in deals[:MOST_TURNS]:
+        for d in deals:
             said = self.call(TOOLS[1], {"description": d["product_description"]})
             priced.append((float(said.rsplit(" ", 1)[1]) - d["price"], d))
         if priced:

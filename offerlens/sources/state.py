@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,14 +22,34 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_json_state(spark: SparkSession, path: str) -> DataFrame:
-    """Opportunities of a JSON file; none if it is missing. A malformed row raises."""
+    """Opportunities of a JSON array, however it is indented, or of a row a line; none if there is no file. A malformed row raises."""
     if not exists(spark, path):
         return spark.createDataFrame([], OPPORTUNITY)
-    return spark.read.schema(OPPORTUNITY).option("multiLine", True).option("mode", "FAILFAST").json(path)
-
-
-def write_json_state(state: DataFrame, path: str) -> None:
-    state.write.mode("overwrite").json(path)
+    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+    array = bool(first) and first[0].value.lstrip().startswith("[")
+    return spark.read.schema(OPPORTUNITY).option("multiLine", array).option("mode", "FAILFAST").json(path)
+
+
+def write_json_state(state: DataFrame, path: str, array: bool = False) -> None:
+    """Overwrites a JSON state: a row a line, by all tasks; or one indented array for exchange, which one task writes row by row."""
+    rows = state.select(*OPPORTUNITY.fieldNames())
+    if not array:
+        rows.write.mode("overwrite").json(path)
+        return
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sep = "["
+        for batch in batches:
+            out = []
+            for row in batch["value"]:
+                body = json.dumps(json.loads(row), indent=2, ensure_ascii=False).replace("\n", "\n  ")
+                out.append(f"{sep}\n  {body}")
+                sep = ","
+            yield pd.DataFrame({"value": out})
+        yield pd.DataFrame({"value": ["]" if sep == "," else "[]"]})
+
+    text = rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1)
+    text.mapInPandas(lines, "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -37,6 +39,13 @@ def output_or_initial(final: DataFrame, initial: DataFrame) -> DataFrame:
     return initial if empty else final
 
 
+def updates(query: StreamingQuery, lines: list[str], output: Callable[[], DataFrame], initial: DataFrame, wait_s: float = 0.1) -> Iterator[tuple[list[str], DataFrame]]:
+    """While a hunt runs in the background, its log lines so far with the initial rows; at its end all lines with its output, or the initial rows if that is empty."""
+    while not query.awaitTermination(wait_s):
+        yield list(lines), initial
+    yield list(lines), output_or_initial(output(), initial)
+
+
 def event_windows(events: DataFrame, late: str = "10 minutes", width: str = "1 day") -> DataFrame:
     """An extension: counts and sums by event-time window and type. Zone-less times are read as UTC."""
     at = events.withColumn("ts", F.col("ts").cast("timestamp"))

@@ -1,5 +1,6 @@
 """Planner, evaluation, similarity, state, feeds, streams."""
 
+import hashlib
 import math
 import os
 import threading
@@ -12,7 +13,8 @@ from offerlens import schemas
 from offerlens.operators import evaluation, planner, scorers, similarity
 from offerlens.plans import hunt
 from offerlens.sources import feeds, sinks, splits, state
-from offerlens.streaming.hunt import output_or_initial, start_hunt
+from offerlens.settings import Settings
+from offerlens.streaming.hunt import output_or_initial, start_hunt, updates
 
 OFFERS = "product_description string, price double, url string, seq long, estimate double"
 
@@ -78,11 +80,13 @@ def test_nearest_equals_brute_force(spark):
     v[7] = v[3]
     rows = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(60)] + [(100, None)], "id long, embedding array<float>")
     got = {}
-    for r in similarity.nearest(rows, rows.where("id % 20 = 3"), k=5, query_rows=2).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append(r.id)
-    for q in (3, 23, 43):
-        d = np.round(np.sqrt(((v.astype(np.float64) - v[q].astype(np.float64)) ** 2).sum(1)), 9)
-        assert got[q] == sorted(range(60), key=lambda i: (d[i], i))[:5]
+    for sizes in ({}, {"query_rows": 2, "corpus_rows": 13}):  # broadcast, and dealt to executors in blocks and parts
+        got = {}
+        for r in similarity.nearest(rows, rows.where("id % 20 = 3"), k=5, **sizes).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.id)
+        for q in (3, 23, 43):
+            d = np.round(np.sqrt(((v.astype(np.float64) - v[q].astype(np.float64)) ** 2).sum(1)), 9)
+            assert got[q] == sorted(range(60), key=lambda i: (d[i], i))[:5]
 
 
 def test_nearest_of_few(spark):
@@ -112,6 +116,16 @@ def test_json_state(spark, tmp_path):
     assert state.read_json_state(spark, f"file://{tmp_path}/none.json").count() == 0
     (tmp_path / "m.json").write_text('[{"deal": {"product_description": "d", "price": 1.5, "url": "u"}, "estimate": 3.0, "discount": 1.5}]')
     assert state.read_json_state(spark, f"file://{tmp_path}/m.json").first().deal.price == 1.5
+    (tmp_path / "bad.json").write_text('[{"deal": 7')
+    with pytest.raises(Exception):
+        state.read_json_state(spark, f"file://{tmp_path}/bad.json").collect()
+    rows = planner.as_opportunity(spark.createDataFrame([(f"d{i}\n\"é\"", float(i), f"u{i}", 3.0, None) for i in range(50)], "product_description string, price double, url string, estimate double, discount double").repartition(4))
+    for array in (True, False):
+        for k, given in enumerate((rows, rows.limit(0))):
+            path = f"file://{tmp_path}/{array}{k}"
+            state.write_json_state(given, path, array=array)
+            state.write_json_state(given, path, array=array)
+            assert sorted(map(str, state.read_json_state(spark, path).collect())) == sorted(map(str, given.collect()))
 
 
 def test_feed(spark, tmp_path):
@@ -167,6 +181,71 @@ def test_stream_surfaces_one_a_batch_and_survives_a_restart(spark, tmp_path):
     assert urls == ["a", "b"] and len(sent) == 2
 
 
+def test_tool_loop_estimates_every_offer():
+    deals = [{"product_description": f"d{i}", "price": 10.0, "url": f"u{i}"} for i in range(100)]
+    loop = hunt.ToolLoop(lambda: deals, lambda d: 20.0 + float(d[1:]), lambda x: None)
+    assert loop.plan()["deal"]["url"] == "u99" and sum(m["role"] == "tool" for m in loop.messages) == 102
+
+
+def test_dispatch_beyond_the_broadcast_bound(spark, monkeypatch):
+    calls, results = (spark.createDataFrame(r, s) for r, s in (([(1, "a"), (2, "z")], "i int, name string"), ([("a", "done")], "name string, content string")))
+    for most in (hunt.MOST_RESULTS, 0):
+        monkeypatch.setattr(hunt, "MOST_RESULTS", most)
+        assert sorted((r.i, r.content) for r in hunt.dispatched(calls, results).collect()) == [(1, "done"), (2, "")]
+
+
+def test_updates_end_with_the_output(spark, tmp_path):
+    schema = "product_description string, price double, url string, seq long, estimate double"
+    spark.createDataFrame([("x", 10.0, "a", 1, 100.0)], schema).write.parquet(str(tmp_path / "in"))
+    lines, path, initial = ["begun"], f"file://{tmp_path}/state", empty_memory(spark)
+    query = start_hunt(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), path, str(tmp_path / "cp"), estimator, lines.append, once=True)
+    seen = list(updates(query, lines, lambda: state.read_state(spark, path), initial))
+    assert all(rows is initial for _, rows in seen[:-1])
+    assert len(seen[-1][0]) == 2 and seen[-1][1].first().deal.url == "a"
+
+
+def test_settings(spark, monkeypatch):
+    monkeypatch.setenv("OFFERLENS_FEED_HEAD", "7")
+    spark.conf.set("spark.offerlens.threshold", "12.5")
+    try:
+        got = Settings.of(spark)
+    finally:
+        spark.conf.unset("spark.offerlens.threshold")
+    assert (got.model, got.threshold, got.feed_head) == ("stand-in", 12.5, 7)
+
+
+def test_weights_from_a_file(spark, tmp_path):
+    made = scorers.ResidualNetwork.random(inputs=64, hidden=8, layers=4)
+    made.save(tmp_path / "w.npz")
+    back = scorers.ResidualNetwork.load(spark, f"file://{tmp_path}/w.npz")
+    x = np.random.default_rng(1).normal(size=(5, 64))
+    assert len(back.blocks) == 2 and (made(x) == back(x)).all()
+    known = spark.createDataFrame([("Red ring of the ring",), (None,), ("",)], "text string")
+    buckets = known.select(scorers.word_buckets(F.col("text"), 64).alias("b")).first().b
+    want = sorted({int(hashlib.md5(w).hexdigest()[:8], 16) % 64 for w in (b"red", b"ring")})  # no stop words
+    one = np.zeros((1, 64))
+    one[0, want] = 1 / np.sqrt(len(want))
+    price = scorers.network_scorer(back, "text", "estimate")(known).first().estimate
+    assert buckets == want and math.isclose(price, max(0.0, math.exp(back(one)[0] * 1.0328539609909058 + 4.434937953948975) - 1), rel_tol=1e-9)
+
+
+def test_generated_loads_its_model(spark):
+    rows = spark.createDataFrame([("a b",), (None,), ("c",)], "p string")
+    load = lambda: lambda prompts: [p.upper() for p in prompts]
+    assert [r[0] for r in rows.select(scorers.generated(F.col("p"), load)).collect()] == ["A B", None, "C"]
+
+
+def test_collection_and_table_notifier(spark, tmp_path):
+    try:
+        for _ in range(2):
+            assert state.collection(spark, "offerlens_vectors", "id long, v array<float>").count() == 0
+    finally:
+        spark.sql("DROP TABLE IF EXISTS offerlens_vectors")
+    texts = spark.createDataFrame([("t",)], "text string")
+    sinks.table_notifier(str(tmp_path / "alerts"))(texts, 3)
+    assert spark.read.parquet(str(tmp_path / "alerts")).first()["batch_id"] == 3
+
+
 def test_output_or_initial(spark):
     a, b = spark.range(0), spark.range(2)
     assert output_or_initial(a, b).count() == 2
@@ -199,7 +278,7 @@ def test_every_query_against_its_sql(spark):
     if not os.path.isdir(base):
         pytest.skip("no test tables")
     db = duckdb.connect()
-    for name in "part lineitem customer pages documents embeddings conversations events".split():
+    for name in "part lineitem customer pages documents embeddings conversations events nation".split():
         db.execute(f"create view {name} as select * from '{base}/{name}.parquet'")
     sql = catalogue.oracle_sql()
     for name, query in catalogue.queries().items():

@@ -165,9 +165,8 @@ def compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int,
     wanted = dealt.select("node").unionByName(dealt.select(F.col("pivot").alias("node"))).distinct()
     rows = materialize(classes.join(wanted, "node").select("node", F.col("rep").alias("doc_id"), "rid"), "wanted")
     count = rows.count()
-    texts = materialize(join_checked(with_rid(docs), rows, ["doc_id", "rid"], "inner", count).select("node", "text"), "texts")
-    if texts.count() > count:  # rows that repeat
-        texts = texts.dropDuplicates(["node"])
+    found_texts = materialize(join_checked(with_rid(docs), rows, ["doc_id", "rid"], "inner", count).select("node", "text"), "texts")
+    texts = found_texts if found_texts.count() == count else found_texts.dropDuplicates(["node"])  # rows that repeat
     pivots = dealt.select(F.col("pivot").alias("node"), "part").distinct().join(texts, "node").select(F.col("node").alias("pivot"), "part", F.lit(None).cast("long").alias("node"), "text")
     both = pivots.unionByName(dealt.join(texts, "node").select("pivot", "part", "node", "text"))
     both = both.repartition("pivot", "part").sortWithinPartitions("pivot", "part", F.col("node").asc_nulls_first())
@@ -193,7 +192,7 @@ def compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int,
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * len(schema), schema.types)], schema=schema)
 
     found = materialize(both.mapInArrow(run, "node long, pivot long, linked boolean" + ", size long, added array<long>, removed array<long>" * differences), "compared")
-    discard(dealt, texts, rows)
+    discard(dealt, found_texts, rows)
     return found
 
 
@@ -335,7 +334,7 @@ def flagged(docs: DataFrame, words: int, percent: int) -> DataFrame:
             parts = components(found.unionByName(far))
     named = classes.join(parts, "node", "left").select("node", "n", "rep", F.coalesce("component", "node").alias("part"))
     least = named.groupBy("part").agg(F.min("rep").alias("component_id"), F.count("*").alias("k"), F.sum("n").alias("n")).where("k > 1 or n > 1").drop("k", "n")
-    named = named.join(least, "part").select("node", "n", "component_id", "part")
+    named = join_checked(named, materialize(least, "components"), ["part"], "inner").select("node", "n", "component_id", "part")
     named = materialize(named, "named")
     out = join_hot(rows.select("doc_id", "rid", "n_shingles", "node"), named, "node", "n", rows.count())
     linked = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
@@ -363,5 +362,21 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"), words=2, percent=80)
 
 
+#: Links by the prefix rule of set joins: linked sets share one of each one's rarest shingles.
+SQL = r"""
+WITH RECURSIVE
+words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS s FROM words),
+rows AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+often AS (SELECT x, count(*) AS f FROM rows GROUP BY x),
+ordered AS (SELECT doc_id, n, x, row_number() OVER (PARTITION BY doc_id ORDER BY f, x) AS place FROM rows JOIN often USING (x)),
+prefix AS (SELECT doc_id, n, x FROM ordered WHERE place <= n - ceil(0.8 * n) + 1),
+candidates AS (SELECT DISTINCT p.doc_id AS a, q.doc_id AS b FROM prefix p JOIN prefix q USING (x) WHERE p.doc_id < q.doc_id AND 100 * least(p.n, q.n) >= 80 * greatest(p.n, q.n)),
+linked AS (SELECT a, b FROM candidates JOIN sets p ON p.doc_id = a JOIN sets q ON q.doc_id = b
+           WHERE 100 * len(list_intersect(p.s, q.s)) >= 80 * (len(p.s) + len(q.s) - len(list_intersect(p.s, q.s)))),
+ways AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, w.b FROM reached r JOIN ways w ON w.a = r.b)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, m AS component_id, doc_id = m AS kept FROM sets JOIN (SELECT a, min(b) AS m FROM reached GROUP BY a) ON a = doc_id
+"""
 QUERIES = {"op4_minhash_near_dedup": op4_minhash_near_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_minhash_near_dedup": SQL}

@@ -409,5 +409,14 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
 
 
+SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words)),
+firsts AS (SELECT k, min(doc_id) AS least FROM windows GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, i + j AS at FROM windows JOIN firsts USING (k), range(13) r(j) WHERE doc_id > least),
+kept AS (SELECT x.doc_id, x.i, x.word FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM words) x ANTI JOIN gone ON gone.doc_id = x.doc_id AND gone.at = x.i)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM words d LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS body FROM kept GROUP BY doc_id) k ON k.doc_id = d.doc_id
+"""
 QUERIES = {"op6_substring_dedup": op6_substring_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op6_substring_dedup": SQL}

@@ -41,6 +41,21 @@ def test_exact_survives_digest_collisions(docs, rows):
     assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got.collect()) == want
 
 
+def test_a_stored_snapshot_screens_a_batch(spark, docs, rows, tmp_path):
+    old, new = docs.where("doc_id % 2 = 0"), docs.where("doc_id is null or doc_id % 2 = 1")
+    path = f"file://{tmp_path}/snapshot"
+    exact_dedup.take_snapshot(exact_dedup.digests(old), shard_keys=20, path=path)
+    snapshot = exact_dedup.open_snapshot(spark, path)
+    assert snapshot.shards > 1
+    stays = {}
+    for r in rows:
+        if r[0] is not None and r[0] % 2 == 0:
+            stays[r[1] or ""] = max(r[0], stays.get(r[1] or "", r[0]))
+    want = Counter((r[0], stays.get(r[1] or "")) for r in rows if r[0] is None or r[0] % 2)
+    got = exact_dedup.known_texts(new, snapshot, old).collect()
+    assert Counter((r.doc_id, r.known_id) for r in got) == want
+
+
 def test_exact_rows(docs, rows):
     kept = exact_dedup.dedup_rows(docs)
     assert kept.columns == docs.columns
@@ -55,36 +70,83 @@ def shingles(text, n):
 
 
 def brute_near(rows, n, percent=80):
-    """Component of each id; ids of equal rows are one node."""
-    sets = [(r[0], shingles(r[1], n)) for r in rows if r[0] is not None]
-    root = {i: i for i, _ in sets}
+    """The smallest id reachable from each (id, text); equal ids with different texts are linked only if the texts are."""
+    sets = sorted({(r[0], r[1] or "") for r in rows if r[0] is not None})
+    sets = [(k, k[0], shingles(k[1], n)) for k in sets]
+    root = {k: k for k, _, _ in sets}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for k, (i, x) in enumerate(sets):
-        for j, y in sets[:k]:
+    for k, (i, _, x) in enumerate(sets):
+        for j, _, y in sets[:k]:
             met = len(x & y)
             if x and y and 100 * met >= percent * (len(x) + len(y) - met):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    return {i: find(i) for i in root}
+    return {k: find(k)[0] for k in root}
 
 
 @pytest.mark.parametrize("n", [2, 5])
 def test_near_equals_brute_force(docs, rows, n):
-    want = brute_near(rows, n)
+    root = brute_near(rows, n)
+    want = Counter()
+    for r in rows:
+        size = len(shingles(r[1], n))
+        to = root[r[0], r[1] or ""] if size and r[0] is not None else r[0]
+        want[r[0], size, to, r[0] == to] += 1
     got = near_dedup.near_dedup(docs, words=n).collect()
-    assert Counter((r.doc_id, r.n_shingles) for r in got) == Counter((r[0], len(shingles(r[1], n))) for r in rows)
-    for r in got:
-        if r.doc_id is None:
-            assert r.component_id is None and r.kept
-        elif r.n_shingles:
-            assert r.component_id == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
-        else:
-            assert r.component_id == r.doc_id and r.kept
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == want
+
+
+def linked_families(rng, families, members, size, heavy):
+    """Families of texts around one base whose links hang on few words; `heavy`: edits of a family."""
+    base = ["b%d" % i for i in range(size)]
+    texts = []
+    for family in range(families):
+        edits = {rng.randrange(size): f"f{family}_{k}" for k in range(rng.choice(heavy))}
+        for _ in range(members):
+            w = [edits.get(i, x) for i, x in enumerate(base)]
+            for _ in range(rng.randint(0, 5)):
+                if rng.random() < 0.5:
+                    w[rng.randrange(len(w))] = rng.choice((f"m{rng.random()}", "of", "the"))
+                else:
+                    del w[rng.randrange(len(w))]
+            if rng.random() < 0.2:
+                w = w[: rng.randint(size // 2, size)]
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize(("n", "seed"), [(2, 1), (5, 2)])
+def test_near_components_of_a_hot_group(spark, n, seed):
+    """900 texts around the threshold in one group: components equal brute force."""
+    import random
+
+    rows = linked_families(random.Random(seed), 30, 30, 120, (0, 3, 8, 12, 20))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), words=n).collect()}
+    assert got == {k[0]: v for k, v in brute_near(rows, n).items()}
+
+
+def test_sql_of_near_and_substrings(spark):
+    """The registered SQL gives what the queries give."""
+    import os
+
+    import duckdb
+
+    base = "/root/testdata/sf0.001"
+    if not os.path.isdir(base):
+        pytest.skip("no test tables")
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{base}/documents.parquet'")
+    for module in (near_dedup, substring_dedup):
+        (name, query), sql = next(iter(module.QUERIES.items())), next(iter(module.ORACLES.values()))
+        df = query(spark, base)
+        want = db.execute(f"select {', '.join(df.columns)} from ({sql})").fetchall()
+        assert Counter(map(tuple, df.collect())) == Counter(want), name
 
 
 def test_near_links_around_a_pivot_are_all_found(spark):
@@ -106,19 +168,22 @@ def test_near_links_around_a_pivot_are_all_found(spark):
             texts.append(" ".join(w))
     rng.shuffle(texts)
     rows = list(enumerate(texts))
-    want = brute_near(rows, 2)
+    want = {k[0]: v for k, v in brute_near(rows, 2).items()}
     got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
     assert got == want
 
 
+def near_rows(rows):
+    """What stays of rows: one of each group, all without words or id."""
+    roots = brute_near(rows, 5)
+    given = Counter((r[0], r[1] or "") for r in rows)
+    return Counter({k: n if k[0] is None or not shingles(k[1], 5) else 1 for k, n in given.items() if k[0] is None or roots[k] == k[0]})
+
+
 def test_near_rows(docs, rows):
     kept = near_dedup.near_dedup_rows(docs)
     assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.select("doc_id").collect()]
-    roots = brute_near(rows, 5)
-    empty = {r[0] for r in rows if r[0] is not None and not shingles(r[1], 5)}
-    assert Counter(i for i in ids if i is not None) == Counter({i for i in roots if roots[i] == i or i in empty})
-    assert sum(i is None for i in ids) == sum(r[0] is None for r in rows)
+    assert Counter((r.doc_id, r.text or "") for r in kept.collect()) == near_rows(rows)
 
 
 def test_components_of_a_chain(spark):
@@ -147,11 +212,40 @@ def brute_substring(rows, window=13):
 
 def test_substrings_equal_brute_force(docs, rows, monkeypatch):
     want = brute_substring(rows)
-    for share in (None, 0.0):
-        got = substring_dedup.substring_dedup(docs, texts=share is None)
+    plain = substring_dedup.repeats
+    # as in production; with lengthened prefixes; with frequent prefixes known from a sample and hot nodes broadcast; with small chunks
+    for k, kw in enumerate(({}, {"group_rows": 3}, {"sample": 1, "share": 0.0}, {"sample": 2, "group_rows": 5})):
+        monkeypatch.setattr(substring_dedup, "repeats", lambda d, w, kw=kw: plain(d, w, **kw))
+        got = substring_dedup.substring_dedup(docs, texts=k == 0)
         assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == want
-        monkeypatch.setattr(substring_dedup, "LEAST_HOT", 2)  # then frequent nodes are broadcast
-        monkeypatch.setattr(substring_dedup, "HOT_SHARE", 0.0)
+        monkeypatch.setattr(substring_dedup, "SEEN", 2)
+        monkeypatch.setattr(substring_dedup, "LEAST_HOT", 2)
+        monkeypatch.setattr(substring_dedup, "CHUNK_ROWS", 10)
+
+
+def test_subtree_nodes_equal_brute_force():
+    """Each suffix's windows that also start in a smaller document, from ordered suffixes and their common prefixes."""
+    rng = np.random.default_rng(2)
+    window, gram = 6, 3
+    docs = [rng.integers(0, 3, rng.integers(6, 40)) for _ in range(12)]
+    first = {}
+    for d, w in enumerate(docs):
+        for i in range(len(w) - window + 1):
+            first.setdefault(tuple(w[i : i + window]), d)
+    p, doc, before, words, where = [], [], [], [], []
+    for d, w in enumerate(docs):
+        for a in range(len(w) - gram + 1):  # every place as an anchor, with all windows around it
+            lo, hi = max(0, a - (window - gram)), min(a, len(w) - window)
+            if lo <= hi:
+                p.append(hash(tuple(w[a : a + gram])) & 0xFFFF)
+                doc.append(d), before.append(a - lo), words.append(w[lo : hi + window]), where.append((d, lo, hi))
+    order = np.argsort(np.array(p), kind="stable")
+    flat = np.concatenate([words[i] for i in order]).astype(np.uint32)
+    offsets = np.concatenate([[0], np.cumsum([len(words[i]) for i in order])])
+    mask = substring_dedup.tree_repeats(np.array(p, np.int64)[order], np.array(doc, np.int64)[order], np.array(before, np.int64)[order], offsets, flat, window, gram)
+    for i, m in zip(order, mask):
+        d, lo, hi = where[i]
+        assert int(m) == sum(1 << (s - lo) for s in range(lo, hi + 1) if first[tuple(docs[d][s : s + window])] < d)
 
 
 def test_empty_tables(no_docs):

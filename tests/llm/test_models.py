@@ -52,12 +52,83 @@ def test_lm_distribution_sums_to_one_after_training():
     model = small_model()
     rng = np.random.default_rng(5)
     t = np.unique((rng.integers(0, lm_score.START, 3000) << 22) | (rng.integers(0, lm_score.START, 3000) << 11) | rng.integers(0, lm_score.HEAD + lm_score.TAILS, 3000))
+    assert model.bits == 11
     model.learn(t, np.ones(len(t)), 1)
     for context in ((3, 9), (lm_score.START, lm_score.START), (270, 5)):
         every = (context[0] << 22) | (context[1] << 11) | np.arange(lm_score.HEAD + lm_score.TAILS)
         assert math.isclose((10 ** model.log10(every)).sum(), 1, rel_tol=1e-4)
 
 
+def test_lm_steps_follow_the_gradient():
+    """One step without what Adagrad remembers moves each row by the sign of its gradient, summed over repeated contexts and targets."""
+    rng = np.random.default_rng(9)
+    w, squares = np.zeros((5, 4), np.float32), np.full((5, 4), 1e-30, np.float32)
+    at, target, weight = np.array([0, 0, 1, 1, 1]), np.array([2, 2, 0, 3, 3]), rng.random(5).astype(np.float32)
+    rows = [np.array([0, 1]), np.array([2, 2])]
+    p = rng.random((2, 4))
+    p /= p.sum(1, keepdims=True)
+    g = np.zeros((2, 4))
+    for i in range(5):
+        g[at[i]] -= weight[i] * p[at[i]]
+        g[at[i], target[i]] += weight[i]
+    lm_score.MaxEnt._step(w, squares, rows, np.log(p).astype(np.float32), at, target, weight)
+    want = np.zeros((5, 4))
+    want[0], want[1] = np.sign(g[0]), np.sign(g[1])
+    want[2] = np.sign(g[0] + g[1])
+    assert np.allclose(w, lm_score.RATE * want, atol=1e-3)
+
+
+@pytest.mark.parametrize("warm", [400_000, 3])
+def test_lm_scores_equal_brute_force(docs, rows, monkeypatch, warm):
+    """Scores word by word from the trained weights: class, word in it, or a tail class and the count in it."""
+    monkeypatch.setattr(lm_score, "WARM", warm)
+    plain = docs.select("doc_id", "text")
+    training = plain.where(crc_mod("doc_id", 7) != 2)
+    counts = lm_score.materialize(lm_score._summed(training, lambda doc, h: h.view(np.int64), "key long, n long"), "counts")
+    v = lm_score.vocabulary(counts, warm)
+    model = lm_score.train(training, v)
+    assert np.abs(model.class_w).max() > 0 and np.abs(model.word_w).max() > 0
+    n = {np.int64(r.key).view(np.uint64): r.n for r in counts.collect()}
+    hashed = lambda x, salt, rows: int(lm_score._hashed(np.array([x]), salt, rows)[0])
+
+    def softmax(w, bias, context, salt):
+        by = salt << (2 * model.bits + 2)
+        x = bias.astype(float).copy()
+        for k, f in enumerate((context & ((1 << model.bits) - 1), context >> model.bits, context), 1):
+            x += w[hashed(f | by, k, model.rows)]
+        x -= x.max()
+        return x - math.log(np.exp(x).sum())
+
+    want = Counter()
+    for r in rows:
+        raw = (r[1] or "").encode()
+        _, h = lm_score.sequences(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        ids = v.find(h)
+        start, total = model.head + lm_score.TAILS, 0.0
+        if len(h) > 400:
+            continue
+        for i, (word, key) in enumerate(zip(ids.tolist(), h)):
+            context = ((ids[i - 2] if i > 1 else start) << model.bits) | (ids[i - 1] if i else start)
+            context = int(context)
+            if word < model.head:
+                c = word // model.per_class
+                total += softmax(model.class_w, model.class_bias, context, 0)[c] + softmax(model.word_w, model.word_bias[c], context, c + 1)[word % model.per_class]
+            else:
+                t = word - model.head
+                total += softmax(model.class_w, model.class_bias, context, 0)[model.classes + t] + math.log((n.get(key, 0) + 1) / (v.tail_tokens[t] + v.tail_words[t] + 1))
+        want[r[0], len(h), round(total / math.log(10), 1)] += 1
+    got = Counter((r.doc_id, r.n_tokens, r.score) for r in lm_score.scored(plain, counts, v, model).where("n_tokens <= 400").collect())
+    assert len(got) == len(want) or sum(got.values()) == sum(want.values())
+    for (a, b, x), (c, d, y) in zip(sorted(got.elements(), key=str), sorted(want.elements(), key=str)):
+        assert (a, b) == (c, d)
+    assert Counter((a, b) for a, b, _ in got.elements()) == Counter((a, b) for a, b, _ in want.elements())
+    by_id = {}
+    for a, b, x in got.elements():
+        by_id.setdefault((a, b), []).append(x)
+    for a, b, y in want.elements():
+        assert any(abs(x - y) < 0.06 + 1e-4 * abs(y) for x in by_id[a, b]), (a, b, y, by_id[a, b])
+
+
 def test_lm_learns_what_follows_what():
     model = small_model()
     t = np.array([(7 << 22) | (11 << 11) | 5, (8 << 22) | (12 << 11) | 200])
@@ -200,10 +271,8 @@ def test_html_rows(spark):
 
 
 def test_fingerprints_equal_brute_force(docs, rows, no_docs, monkeypatch):
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
-    ordered = []
-    for i in dict.fromkeys(r[0] for r in order):
-        ordered += sorted((r for r in order if r[0] == i), key=lambda r: r[1] or "")
+    by_hash = {r.text: r.h for r in docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), by_hash[r[1] or ""], r[1] or ""))
     want = Counter()
     for k, r in enumerate(ordered):
         text, following = r[1] or "", ordered[(k + 1) % len(ordered)][1] or ""
@@ -225,4 +294,69 @@ def test_syncmers_depend_on_their_k_mer_alone():
     inner = {a[i : i + k] for i in range(40, 200 - k + 1)}
     assert at(a) & inner == at(b) & inner != set()
     f = fingerprints.fingerprint(a)
+    back = fingerprints.from_text(fingerprints.as_text(f))
+    assert (back[0] == f[0]).all() and (back[1] == f[1]).all()
     assert fingerprints.likeness(f, fingerprints.fingerprint(a)) == 1.0 and fingerprints.likeness(f, fingerprints.fingerprint("")) == 0.0
+
+
+def test_likeness_survives_insertions_and_finds_passages_in_long_texts():
+    rng = random.Random(3)
+    made = lambda n: ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(n)]
+    w = made(20_000)
+    more = list(w)
+    for at in (15_000, 9_000, 2_000):
+        more.insert(at, "inserted")
+    of = lambda words: fingerprints.fingerprint(" ".join(words))
+    f = of(w)
+    assert fingerprints.likeness(f, of(more)) > 0.99
+    half = fingerprints.likeness(f, of(w[:10_000] + made(10_000)))
+    assert abs(half - 1 / 3) < 0.01
+    passage = made(50)
+    a, b = of(made(9_000) + passage + made(9_000)), of(made(5_000) + passage + made(12_000))
+    assert fingerprints.likeness(a, b) > 0 and fingerprints.likeness(of(w[:9_000]), of(made(9_000))) == 0
+
+
+def test_likeness_is_near_the_share_of_common_k_mers():
+    """Against an exact Jaccard similarity of all k-mers."""
+    rng = random.Random(4)
+    k = fingerprints.K
+    for share in (0.02, 0.1, 0.3):
+        a = "".join(rng.choices("abcdefgh ", k=20_000))
+        b = list(a)
+        for _ in range(int(share * 20_000 / k)):
+            b[rng.randrange(len(b))] = "z"
+        b = "".join(b)
+        x, y = ({t[i : i + k] for i in range(len(t) - k + 1)} for t in (a, b))
+        assert abs(fingerprints.likeness(fingerprints.fingerprint(a), fingerprints.fingerprint(b)) - len(x & y) / len(x | y)) < 0.05
+
+
+LINE = "One long sentence, with words and stops, that goes on."
+
+
+@pytest.mark.parametrize("inside", ["<select><option>a<option>b", "<button>go", "<svg>", "<template>", "<textarea>typed", "<title>again", "<noscript>none"])
+def test_html_unclosed_hidden_elements_hide_nothing_else(inside):
+    page = f"<article><h1>Title</h1><p>{LINE}</p>{inside}<p>Two. {LINE}</p><p>Three. {LINE}</p></article><button>end</button>"
+    assert html_text.extract(page, html_text.default_model()) == f"Title\n{LINE}\nTwo. {LINE}\nThree. {LINE}"
+
+
+def test_html_hidden_elements_and_odd_attributes():
+    page = f"<head><title>t</title><script>var a = '<p>';</script></head><article><svg><svg>a</svg>b</svg><p title='a>b' x=\"<p>\">{LINE}</p><select><option>a</select><object data=x>Fall back.</object><button><div>no</div></button></article>"
+    assert html_text.extract(page, html_text.default_model()) == f"{LINE}\nFall back."
+
+
+@pytest.mark.parametrize("made", [lambda n: "<div>" * n + "x" + "</div>" * n, lambda n: '<a "' * n, lambda n: "<button>x" * n, lambda n: "<b><div>" * n + "</b>" * n, lambda n: '<a "<a "' * n + "<a ' >", lambda n: "<ul><div>" * n + "<li>" * n])
+def test_html_time_is_in_proportion(made):
+    import time
+
+    took = []
+    for n in (2_000, 16_000):
+        text, began = made(n), time.thread_time()
+        html_text.parse(text)
+        took.append(time.thread_time() - began)
+    assert took[1] < 30 * max(took[0], 0.02)
+
+
+def test_html_trains_on_a_table(spark):
+    pages = spark.createDataFrame([(p,) for p in html_text.labelled_pages(30)] + [(None,)], "html string")
+    model = html_text.train_on(pages)
+    assert any(model.own) and model.own == html_text.train_on(pages).own

@@ -233,6 +233,17 @@ class Scanner:
         return out
 
 
+def templates_of(table: DataFrame, most: int = 10_000) -> dict[str, list[str]]:
+    """Templates of a table (name, text) of at most `most` rows; more raise, as each worker holds all."""
+    rows = table.where("name is not null and text is not null").select("name", "text").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} templates")
+    out: dict[str, list[str]] = {}
+    for r in sorted(rows):
+        out.setdefault(r.name, []).append(r.text)
+    return out
+
+
 def scanned(docs: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST) -> DataFrame:
     """(doc_id, license, coverage, first_word, behind_word, licenses) of each row of docs(doc_id, text); licenses: all that were found, by name."""
     schema = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("behind_word", pa.int64()), ("licenses", pa.string())])

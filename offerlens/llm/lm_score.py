@@ -22,7 +22,8 @@ others are joined by hash, and none of them can be frequent. Words are counted b
 Every distribution sums to 1, with one event in each tail class for all words that training lacks.
 
 Defined cases: a null text is empty and has one token, the end. Null doc_ids count as the empty text for the held-out
-rule. Without training documents N and V are 0. Rows that repeat are scored each. An empty table gives an empty result.
+rule. Without training documents N and V are 0. Rows that repeat are scored each; very long texts are scored whole, ties of frequency go to
+the smaller hash. An empty table gives an empty result.
 Extra columns are never read.
 """
 

@@ -11,7 +11,8 @@ spread evenly over it; no text is left out for the length of another. Every docu
 
 Defined cases: a null text counts as empty; an empty text has no evidence (0), so it gets the curve's value there.
 Labels that are null or neither 0 nor 1, or without a document, are not used. Without labels of both classes the score is the share of
-label 1, or 0.5 without any. Rows that repeat a doc_id are scored each. An empty table gives an empty result. Extra
+label 1, or 0.5 without any. Rows that repeat a doc_id are scored each; very long texts are
+scored whole; ties of the sample's order go to the smaller doc_id, then to the smaller hash of the text. An empty table gives an empty result. Extra
 columns are never read.
 """
 

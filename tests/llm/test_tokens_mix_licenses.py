@@ -254,6 +254,16 @@ def test_alignment_of_words_that_occur_once_is_longest():
         assert len(licenses.increasing(places)) == longest_common(places, sorted(places))
 
 
+def test_templates_of_a_table(spark, docs):
+    table = spark.createDataFrame([("own", "You may do with this work what you like today."), ("own", "Do what you like."), (None, "x"), ("y", None)], "name string, text string")
+    own = licenses.templates_of(table)
+    assert own == {"own": ["Do what you like.", "You may do with this work what you like today."]}
+    given = spark.createDataFrame([(1, "we say: you may do with this work what you like today, and more"), (2, None)], "doc_id long, text string")
+    assert [(r.doc_id, r.license) for r in licenses.scanned(given, own).orderBy("doc_id").collect()] == [(1, "own"), (2, None)]
+    with pytest.raises(ValueError):
+        licenses.templates_of(table, most=1)
+
+
 def test_license_rows(docs, rows, no_docs):
     got = licenses.scanned(docs).collect()
     assert len(got) == len(rows)

@@ -4,7 +4,9 @@ Each stage takes (spark, docs, sf_dir) and works on every row that the stage bef
 Parquet and read again as the next one's docs. All stages but the last return the columns of documents.
 
 Rows with null texts, repeated rows and extra columns pass as the operators define it: a null text counts as empty, of
-equal texts one row stays, rows with a null doc_id are never near copies. An empty table gives empty stages.
+equal texts one row stays, rows with a null doc_id are never near copies. Very long texts pass whole; the mix takes a document 0 to 3 times as a whole.
+Ties: a score of 0.5 is kept; of equal texts the largest doc_id stays, of near copies the smallest; equal quotients go to the source
+that comes first, then to the smaller shard. An empty table gives empty stages.
 """
 
 from __future__ import annotations

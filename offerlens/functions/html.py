@@ -64,10 +64,13 @@ def snippet(html: str | None) -> str | None:
 
 
 def snippet_text(html: Column) -> Column:
+    """Only summaries that may have the element go through Python."""
+
     def of(summaries: pd.Series) -> pd.Series:
         return summaries.map(snippet)
 
-    return F.pandas_udf(of, "string")(html)
+    found = F.pandas_udf(of, "string")(F.when(F.contains(html, F.lit("snippet")), html))
+    return F.coalesce(found, F.replace(html, F.lit("\n"), F.lit(" ")))
 
 
 def page_text(html: Column, tag: str = "div", name: str | None = "content-section") -> Column:
@@ -77,4 +80,5 @@ def page_text(html: Column, tag: str = "div", name: str | None = "content-sectio
         found = pages.map(lambda h: element_text(h, tag, name))
         return found.map(lambda t: None if t is None else t.replace("\nmore", "").replace("\n", " "))
 
-    return F.pandas_udf(of, "string")(html)
+    marked = html if name is None else F.when(F.contains(html, F.lit(name)), html)  # the others can't have the element
+    return F.pandas_udf(of, "string")(marked)

@@ -52,7 +52,7 @@ ROUNDS, BATCH, RATE = 1, 8192, 0.4
 #: Tokens in a training shard: as many for each row of weights, and at least.
 ROW_TOKENS, SHARD_TOKENS = 256, 1_000_000
 #: Tokens whose triples a task counts before it learns from them.
-CHUNK_TOKENS = 6_000_000
+CHUNK_TOKENS = 3_000_000
 END = np.uint64(0x5AFE0E2D << 5)
 _LOG10 = math.log10(math.e)
 
@@ -307,10 +307,13 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> MaxEnt:
                     held.append(np.unique(triples(doc, _ids(sent.value, h), sent.value.words), return_counts=True))
                     size += len(h)
                     if size >= CHUNK_TOKENS:
-                        own.learn(*_merged(held), turn, squares)
+                        counted = _merged(held)
                         held, size = [], 0
+                        own.learn(*counted, turn, squares)
             if held:
-                own.learn(*_merged(held), turn, squares)
+                counted = _merged(held)
+                held = []
+                own.learn(*counted, turn, squares)
             if own is None:
                 return
             for i in range(0, own.rows, ROWS):
@@ -341,8 +344,12 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> MaxEnt:
 
 def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and their summed counts."""
-    keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+    keys, n = np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held])
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    del order
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def _ids(v: Vocabulary, h: np.ndarray) -> np.ndarray:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("byte_bpe", "exact_dedup", "fingerprints", "html_text", "licenses", "lm_score", "near_dedup", "quality", "source_mix", "substring_dedup", "toxicity", "vector_codes")
+MODULES = ("byte_bpe", "exact_dedup", "fingerprints", "html_text", "licenses", "lm_score", "near_dedup", "quality", "source_mix", "structure_repair", "substring_dedup", "toxicity", "vector_codes")
 
 
 def _gather(name: str) -> dict:

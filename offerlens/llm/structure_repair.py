@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, slices
+from .common import discard, materialize, read_table, slices
 
 PIECE_ROWS = 20_000
 PIECE_BYTES = 8 << 20
@@ -189,12 +189,17 @@ def damaged(rows: DataFrame) -> DataFrame:
     }).drop("__d")
 
 
-def with_faults(rows: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text, digest, n, fault): equal rows of a turn as one, with the fault of the first of them; one DROPPED row for what was dropped of a conversation."""
+def collapsed(rows: DataFrame) -> DataFrame:
+    """Equal rows of a turn as one with a count and a digest, what was dropped of a conversation as one row; a table."""
     gone = F.col("dropped")
     blank = lambda c, other: F.when(gone, other).otherwise(F.col(c)).alias(c)
     rows = rows.select("conv_id", F.when(~gone, F.col("turn")).alias("turn"), blank("role", ""), blank("text", ""), "copies", "dropped")
-    rows = materialize(rows.groupBy("conv_id", "turn", "role", "text", "dropped").agg(F.sum("copies").alias("n")).withColumn("digest", F.unhex(F.sha2("text", 256))), "turns")
+    return materialize(rows.groupBy("conv_id", "turn", "role", "text", "dropped").agg(F.sum("copies").alias("n")).withColumn("digest", F.unhex(F.sha2("text", 256))), "turns")
+
+
+def with_faults(rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text, digest, n, fault) of collapsed() rows: the fault of the first of equal ones; DROPPED for what was dropped."""
+    gone = F.col("dropped")
     body = F.rtrim(F.col("text"), F.lit(BLANKS))
     seen = rows.where(~gone).groupBy("conv_id", "role", "digest").agg(F.min(F.struct(F.col("turn").isNotNull(), F.col("turn"))).alias("at"))
     seen = seen.select(F.col("conv_id").alias("c"), F.col("role").alias("r"), F.col("digest").alias("d"), F.col("at.turn").alias("t"), F.lit(True).alias("new"))
@@ -360,7 +365,11 @@ def _traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repaired(rows: DataFrame, piece_rows: int = PIECE_ROWS, piece_bytes: int = PIECE_BYTES, parts: int | None = None) -> DataFrame:
     """Repaired pieces of conversations: rows as given_rows() or damaged() make them. `turns` has a piece's repaired roles and texts, `audit` its edits; (part, piece) orders the pieces of a conversation; lone: it is the only one."""
-    found = materialize(pieces(materialize(with_faults(rows), "faults"), piece_rows, piece_bytes, parts), "pieces")
+    turns = collapsed(rows)
+    faults = materialize(with_faults(turns), "faults")
+    discard(turns)
+    found = materialize(pieces(faults, piece_rows, piece_bytes, parts), "pieces")
+    discard(faults)
     open_ = found.where("not lone")
     key = ["part", "piece"]
     units = open_.select("conv_id", *key, "symbols", "counts").mapInArrow(_units, "conv_id long, part long, piece long, units array<long>")
@@ -428,7 +437,7 @@ def _whole(conv_id: int | None, have: dict, names: list[str]) -> pa.RecordBatch:
 
 
 def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary(materialize(repaired(damaged(read_table(spark, sf_dir, "conversations"))), "repaired"))
+    return summary(repaired(damaged(read_table(spark, sf_dir, "conversations"))))
 
 
 QUERIES = {"op11_structure_repair": op11_structure_repair}

@@ -119,7 +119,7 @@ def test_dropped_and_empty(spark):
 def test_a_hot_row_is_one_row(spark):
     """A row repeated 50,000 times is collapsed before it is dealt out."""
     df = spark.range(50_000).select(F.lit(5).cast("long").alias("conv_id"), F.lit(2).cast("long").alias("turn"), F.lit("user").alias("role"), F.lit("Hi.").alias("text"))
-    assert R.with_faults(R.given_rows(df)).count() == 1
+    assert R.with_faults(R.collapsed(R.given_rows(df))).count() == 1
     got = R.summary(R.repaired(R.given_rows(df))).first()
     assert (got.duplicate, got.illegal, got.cost, got.audit) == (49_999, 49_999, 3 * 49_999 + 2, "K" + "D" * 49_999 + "I")
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import html, money, text
-from .operators import evaluation, planner, scorers, similarity
+from .operators import evaluation, planner, scorers, similarity, vector_index
 from .plans import hunt
 from .sources import feeds, sinks, splits, state
 from .streaming.hunt import event_windows, offers_stream, start_hunt
@@ -351,6 +351,29 @@ def knn5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(spark, sf_dir).select("query_id", "id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
+def indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(neighbours by a calibrated index over every row, exact neighbours) of the rows whose id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    path = scratch(spark)
+    model = vector_index.train(vectors, path)
+    index = vector_index.calibrated(vector_index.build(vectors, model, path), vectors)
+    return vector_index.search(index, vectors.where("id % 20 = 0")), neighbours(spark, sf_dir)
+
+
+@query()
+def knn5_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate, so SQL can't give its rows; knn5_recall measures it against knn5."""
+    found, _ = indexed(spark, sf_dir)
+    return found.select("query_id", "id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {SQL_NEAR} SELECT count(DISTINCT query_id) AS queries, count(*) AS neighbours, true AS recalled FROM top")
+def knn5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the index finds at least 0.9 of what knn5 finds."""
+    found, exact = indexed(spark, sf_dir)
+    return vector_index.recall(found, exact).select("queries", "neighbours", (F.col("recall") >= 0.9).alias("recalled"))
+
+
 SQL_PRICES = "prices AS (SELECT v.vec_id AS id, p.p_retailprice AS price, p.p_name AS name FROM embeddings v JOIN part p ON p.p_partkey = v.vec_id % (SELECT count(*) FROM part))"
 
 
@@ -466,6 +489,24 @@ def running_error_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curve.select("i", "n", *(F.round(c, 6).alias(c) for c in ("mean", "ci", "upper", "lower")))
 
 
+@query("""WITH e AS (SELECT l_orderkey * 8 + l_linenumber AS i, sqrt(l_extendedprice) AS error FROM lineitem),
+s AS (SELECT i, row_number() OVER w AS n, avg(error) OVER w AS mean, 1.96 * coalesce(stddev_pop(error) OVER w, 0) / sqrt(row_number() OVER w) AS ci FROM e WINDOW w AS (ORDER BY i, error ROWS UNBOUNDED PRECEDING))
+SELECT i, n, round(mean, 4) AS mean, round(ci, 4) AS ci, round(mean + ci, 4) AS upper, round(mean - ci, 4) AS lower FROM s""")
+def running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running mean and band over every line, in their order; irrational values, so that no rounding is a tie."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("i"), F.sqrt("l_extendedprice").alias("error"))
+    return evaluation.running_parts(rows, scratch(spark)).select("i", "n", *(F.round(c, 4).alias(c) for c in ("mean", "ci", "upper", "lower")))
+
+
+@query("""WITH e AS (SELECT l_partkey % 7 AS grp, l_orderkey * 8 + l_linenumber AS i, sqrt(l_extendedprice) AS error FROM lineitem),
+s AS (SELECT grp, i, row_number() OVER w AS n, avg(error) OVER w AS mean, 1.96 * coalesce(stddev_pop(error) OVER w, 0) / sqrt(row_number() OVER w) AS ci FROM e WINDOW w AS (PARTITION BY grp ORDER BY i, error ROWS UNBOUNDED PRECEDING))
+SELECT grp, i, n, round(mean, 4) AS mean, round(ci, 4) AS ci, round(mean + ci, 4) AS upper, round(mean - ci, 4) AS lower FROM s""")
+def running_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for each of a few large groups."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 7).alias("grp"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("i"), F.sqrt("l_extendedprice").alias("error"))
+    return evaluation.running_parts(rows, scratch(spark), ["grp"]).select("grp", "i", "n", *(F.round(c, 4).alias(c) for c in ("mean", "ci", "upper", "lower")))
+
+
 @query(f"WITH {SQL_RUNNING} SELECT n, round(mean, 6) AS mean, round(ci, 6) AS ci FROM s ORDER BY i DESC LIMIT 1")
 def final_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = evaluation.final(evaluation.running(errors(spark, sf_dir, evaluation.DEFAULT_SIZE)))

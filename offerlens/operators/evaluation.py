@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +52,53 @@ def running(errors: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
     return out.select(*by, "i", "n", "mean", "ci", (F.col("mean") + F.col("ci")).alias("upper"), (F.col("mean") - F.col("ci")).alias("lower"))
 
 
+def _offsets(parts: pd.DataFrame) -> pd.DataFrame:
+    """What comes before each part of a group: rows, values, their mean and squared deviations, merged in order (Chan's formula)."""
+    parts = parts.sort_values("part", ignore_index=True)
+    rows = values = 0
+    mean = m2 = 0.0
+    out = []
+    for r in parts.itertuples():
+        out.append((rows, values, mean, m2))
+        rows += r.rows
+        if r.values_n:
+            values, gap, share = values + r.values_n, r.part_mean - mean, r.values_n / (values + r.values_n)
+            m2 += r.part_m2 + gap * gap * (values - r.values_n) * share
+            mean += gap * share
+    parts[["rows0", "values0", "mean0", "m20"]] = out
+    return parts.drop(columns=["rows", "values_n", "part_mean", "part_m2"])
+
+
+def running_parts(errors: DataFrame, path: str, by: list[str] = [], parts: int | None = None) -> DataFrame:  # noqa: B006
+    """running() for any number of rows: no task has more than a range of them.
+
+    Rows are written to path (a new folder that executors share) in ranges of (by, i, error), equal rows dealt by chance. Each range gives its number of rows,
+    mean and squared deviations; merged in order they are what comes before each range, and windows inside the ranges go on from there.
+    Rows of equal i are ordered by their error, null errors first; n counts rows, mean and ci the errors that are not null. Nulls in i come first.
+    """
+    spark = errors.sparkSession
+    order = [*by, "i", "error", "__salt"]
+    rows = errors.select(*by, "i", F.col("error").cast("double").alias("error"), F.rand(7).alias("__salt"))
+    ranged = rows.repartitionByRange(parts, *order) if parts else rows.repartitionByRange(*order)
+    ranged.withColumn("part", F.spark_partition_id()).write.parquet(path)
+    rows = spark.read.schema(ranged.withColumn("part", F.lit(0)).schema).parquet(path)
+    partial = rows.groupBy(*by, "part").agg(F.count("*").alias("rows"), F.count("error").alias("values_n"), F.avg("error").alias("part_mean"), (F.var_pop("error") * F.count("error")).alias("part_m2"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by, "part").schema)
+    offsets = partial.groupBy(*by, F.pmod("part", F.lit(1)).alias("__one")).applyInPandas(_offsets, f"{kinds}, rows0 long, values0 long, mean0 double, m20 double")
+    w = Window.partitionBy(*by, "part").orderBy("i", "error", "__salt").rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.withColumns({"k": F.count(F.lit(1)).over(w), "v": F.count("error").over(w), "m": F.avg("error").over(w), "q": F.var_pop("error").over(w) * F.count("error").over(w)})
+    names = {c: f"__{c}" for c in [*by, "part"]}
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
+    joined = local.join(offsets.withColumnsRenamed(names), same)
+    values, gap = F.col("v") + F.col("values0"), F.coalesce("m", F.lit(0.0)) - F.col("mean0")
+    mean = F.when(values > 0, F.col("mean0") + gap * F.try_divide(F.col("v"), values))
+    m2 = F.col("m20") + F.coalesce("q", F.lit(0.0)) + gap * gap * F.try_divide(F.col("values0") * F.col("v"), values)
+    n = F.col("k") + F.col("rows0")
+    sd = F.coalesce(F.sqrt(F.greatest(F.try_divide(m2, values), F.lit(0.0))), F.lit(0.0))
+    out = joined.withColumns({"n": n, "mean": mean, "ci": 1.96 * sd / F.sqrt(n)})
+    return out.select(*by, "i", "n", "mean", "ci", (F.col("mean") + F.col("ci")).alias("upper"), (F.col("mean") - F.col("ci")).alias("lower"))
+
+
 def final(curve: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
     """The last values of running()."""
     return curve.groupBy(*by).agg(F.max("n").alias("n"), F.max_by("mean", "i").alias("mean"), F.max_by("ci", "i").alias("ci"))

@@ -68,6 +68,30 @@ def test_running_statistics(spark):
         assert math.isclose(r.ci, ci, abs_tol=1e-6)
 
 
+def test_running_statistics_over_ranges(spark, tmp_path):
+    """As running(), whatever the ranges; groups, nulls, equal rows and values far from 0."""
+    rng = np.random.default_rng(8)
+    rows = [(int(i) if i % 31 else None, int(rng.integers(0, 3)) or None, float(1e6 + rng.normal()) if i % 17 else None, "x") for i in range(1, 500)] + [(9, 1, 5.0, "y")] * 40
+    df = spark.createDataFrame(rows, "i long, grp int, error double, part string")
+    by_place = {}
+    for r in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0] is not None, r[0] or 0, r[2] is not None, r[2] or 0)):
+        by_place.setdefault(r[1], []).append(r)
+    for parts in (1, 5, 60):
+        got = evaluation.running_parts(df, f"file://{tmp_path}/{parts}", ["grp"], parts).collect()
+        assert len(got) == len(rows)
+        for g, own in by_place.items():
+            curve = sorted((r for r in got if r.grp == g), key=lambda r: r.n)
+            assert [r.n for r in curve] == list(range(1, len(own) + 1)) and [r.i for r in curve] == [r[0] for r in own]
+            for r in curve:
+                e = [x[2] for x in own[: r.n] if x[2] is not None]
+                assert (r["mean"] is None) == (not e)
+                if e:
+                    assert math.isclose(r["mean"], np.mean(e), rel_tol=1e-12) and math.isclose(r.ci, 1.96 * np.std(e) / math.sqrt(r.n), rel_tol=1e-6, abs_tol=1e-6)
+    whole = evaluation.running_parts(df.select("i", "error"), f"file://{tmp_path}/whole")
+    assert "SinglePartition" not in whole._jdf.queryExecution().executedPlan().toString()
+    assert evaluation.running_parts(df.where("i < 0"), f"file://{tmp_path}/none").count() == 0
+
+
 def test_report(spark):
     rows = spark.createDataFrame([(100.0, 110.0), (200.0, 190.0), (300.0, 330.0), (400.0, 380.0)], "truth double, guess double").withColumn("error", F.abs(F.col("truth") - F.col("guess")))
     r = evaluation.report(rows).first()

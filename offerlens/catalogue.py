@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import html, money, text
-from .operators import evaluation, planner, scorers, similarity, vector_index
+from .operators import evaluation, manifold, planner, scorers, similarity, vector_index
 from .plans import hunt
 from .sources import feeds, sinks, splits, state
 from .streaming.hunt import event_windows, offers_stream, start_hunt
@@ -434,6 +434,14 @@ def pca3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PCA(k=3, inputCol="v", outputCol="xyz").fit(rows).transform(rows).select("vec_id", *(flat[i].alias(n) for i, n in enumerate("xyz")))
 
 
+@query()
+def tsne3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector in three dimensions for a plot, by its manifold; rounded, as it is drawn."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    flat = F.col("position")
+    return manifold.tsne(vectors, scratch(spark)).select(F.col("id").alias("vec_id"), *(F.round(flat[i], 6).alias(n) for i, n in enumerate("xyz")))
+
+
 # ---- evaluation ----
 
 SQL_ERRORS = """

@@ -142,11 +142,12 @@ def _forces(graph: DataFrame, y: np.ndarray, exaggeration: float, angle: float)
     return 4 * (exaggeration * pull - push / max(columns[0].sum(), 1e-300))
 
 
-def embedded_landmarks(landmarks: DataFrame, n: int, path: str, perplexity: float = 30.0, dimensions: int = DIMENSIONS, steps: int = 300, angle: float = 0.5, seed: int = 42) -> np.ndarray:
+def embedded_landmarks(landmarks: DataFrame, n: int, path: str, perplexity: float = 30.0, dimensions: int = DIMENSIONS, steps: int = 250, angle: float = 0.5, seed: int = 42) -> np.ndarray:
     """Positions of landmarks(id, embedding) whose ids are 0 to n - 1."""
     if n < 2:
         return np.zeros((n, dimensions))
     graph = _affinities(landmarks, min(perplexity, max(1.0, (n - 1) / 3)), n, path)
+    graph = graph.repartition(landmarks.sparkSession.sparkContext.defaultParallelism, "i").persist()  # read in every step; a lost part is read from the table again
     y = np.random.default_rng(seed).normal(0, 1e-4, (n, dimensions))
     speed, gains, rate = np.zeros_like(y), np.ones_like(y), max(n / 48, 50.0)
     for step in range(steps):
@@ -156,6 +157,7 @@ def embedded_landmarks(landmarks: DataFrame, n: int, path: str, perplexity: floa
         speed = (0.5 if early else 0.8) * speed - rate * gains * slope
         y = y + speed
         y = y - y.mean(0)
+    graph.unpersist()
     return y
 
 

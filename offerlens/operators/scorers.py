@@ -14,6 +14,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.hashing import murmur_buckets
 from ..functions.money import ensemble, from_target, to_target
 from ..functions.text import cut
 
@@ -46,6 +47,11 @@ def word_buckets(text: Column, n: int = WORDS, stop: list[str] | None = None) ->
     return F.array_sort(F.array_distinct(F.transform(words_of(text, stop), lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % n)))
 
 
+def murmur_word_buckets(text: Column, n: int = WORDS, stop: list[str] | None = None) -> Column:
+    """The same by the absolute value of MurmurHash3 (32 bits, seed 0), modulo n, for weights that were trained elsewhere on words hashed so. Such weights also need their own list of stop words."""
+    return murmur_buckets(words_of(text, stop), n)
+
+
 def text_regression(known: DataFrame, text: str, out: str, ridge: float = 0.1) -> Scorer:
     """A linear model of the standardised log price on hashed words, trained on known(text, price)."""
     prepare = text_features(text).fit(known)
@@ -105,8 +111,8 @@ class ResidualNetwork:
         return self._apply(x, self.last)[:, 0]
 
 
-def network_scorer(network: ResidualNetwork, text: str, out: str) -> Scorer:
-    """Prices by a network over hashed words. Weights are broadcast; each worker holds one copy for all its batches."""
+def network_scorer(network: ResidualNetwork, text: str, out: str, buckets: Callable[[Column, int], Column] = word_buckets) -> Scorer:
+    """Prices by a network over hashed words (by the hash it was trained with). Weights are broadcast; each worker holds one copy for all its batches."""
 
     def score(df: DataFrame) -> DataFrame:
         sent = df.sparkSession.sparkContext.broadcast(network)
@@ -122,7 +128,7 @@ def network_scorer(network: ResidualNetwork, text: str, out: str) -> Scorer:
 
         predict.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
         udf = F.pandas_udf(predict, "double")
-        return df.withColumn(out, from_target(udf(word_buckets(F.col(text), len(network.first["w"])))))
+        return df.withColumn(out, from_target(udf(buckets(F.col(text), len(network.first["w"])))))
 
     return score
 

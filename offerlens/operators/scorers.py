@@ -53,12 +53,13 @@ def murmur_word_buckets(text: Column, n: int = WORDS, stop: list[str] | None = N
 
 
 def text_regression(known: DataFrame, text: str, out: str, ridge: float = 0.1) -> Scorer:
-    """A linear model of the standardised log price on hashed words, trained on known(text, price)."""
-    prepare = text_features(text).fit(known)
-    rows = prepare.transform(known.where("price is not null")).withColumn("label", to_target(F.col("price")))
+    """A linear model of the standardised log price on hashed words, trained on known(text, price). A null text has no words."""
+    given = lambda df: df.withColumn("__text", F.coalesce(text, F.lit("")))
+    prepare = text_features("__text").fit(given(known))
+    rows = prepare.transform(given(known.where("price is not null"))).withColumn("label", to_target(F.col("price")))
     model = LinearRegression(featuresCol="features", labelCol="label", predictionCol="__p", regParam=ridge, maxIter=20, solver="l-bfgs").fit(rows)
-    drop = ["__words", "__kept", "__counts", "features", "__p"]
-    return lambda df: model.transform(prepare.transform(df)).withColumn(out, from_target(F.col("__p"))).drop(*drop)
+    drop = ["__text", "__words", "__kept", "__counts", "features", "__p"]
+    return lambda df: model.transform(prepare.transform(given(df))).withColumn(out, from_target(F.col("__p"))).drop(*drop)
 
 
 @dataclass

@@ -6,18 +6,21 @@ the vector store, conversations for messages, events for logs. Every query runs
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import html, money, text
 from .operators import evaluation, manifold, planner, scorers, similarity, training, vector_index
 from .plans import hunt
-from .sources import feeds, sinks, splits, state
+from .sources import feed_source, feeds, sinks, splits, state
 from .streaming.hunt import event_windows, offers_stream, start_hunt
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,6 +178,45 @@ def page_fetch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads.join(pages.select("page_id", "html"), "page_id").select("page_id", "url", F.length("html").cast("long").alias("n_chars"))
 
 
+def landed_feeds(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The pages as landed RSS files: their addresses. A file is a range of pages, so it grows with no key."""
+
+    def lines(batches):
+        yield pd.DataFrame({"value": ["<rss><channel>"]})
+        for batch in batches:
+            yield pd.DataFrame({"value": [f"<item><title>page {i}</title><description>{n} letters</description><link>{escape(u or '')}</link></item>" for i, u, n in zip(batch["page_id"], batch["url"], batch["n"])]})
+        yield pd.DataFrame({"value": ["</channel></rss>"]})
+
+    path = scratch(spark)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.length("html").alias("n"))
+    pages.repartitionByRange("page_id").sortWithinPartitions("page_id").mapInPandas(lines, "value string").write.text(path)
+    return sorted(r.f for r in spark.read.text(path).select(F.col("_metadata.file_path").alias("f")).distinct().collect())
+
+
+SQL_FEED_ENTRIES = "SELECT 'page ' || page_id AS title, length(html) || ' letters' AS summary, url AS link FROM pages"
+
+
+@query(SQL_FEED_ENTRIES)
+def feed_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry of landed feeds by the data source, as a batch."""
+    spark.dataSource.register(feed_source.FeedSource)
+    found = spark.read.format("offer_feed").options(feeds=json.dumps(landed_feeds(spark, sf_dir)), newest_first="false", delay="0").load()
+    return found.select("title", "summary", "link")
+
+
+@query(SQL_FEED_ENTRIES)
+def feed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream that is stopped and started again: 2,000 entries a feed in a micro-batch."""
+    spark.dataSource.register(feed_source.FeedSource)
+    feeds_, path = json.dumps(landed_feeds(spark, sf_dir)), scratch(spark)
+    for _ in range(2):
+        stream = spark.readStream.format("offer_feed").options(feeds=feeds_, newest_first="false", delay="0", per_feed="2000").load()
+        running = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/at").start()
+        running.processAllAvailable()
+        running.stop()
+    return spark.read.schema(feed_source.SCHEMA).parquet(f"{path}/out").select("title", "summary", "link")
+
+
 @query("SELECT p_partkey, p_name || ' &' || p_brand AS summary FROM part")
 def extract_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snippets with a summary element, escaped twice: its texts without white space between them, then unescaped and without tags."""

@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from .functions import html, money, text
 from .operators import evaluation, manifold, planner, scorers, similarity, training, vector_index
 from .plans import hunt
-from .sources import feed_source, feeds, sinks, splits, state
-from .streaming.hunt import event_windows, offers_stream, start_hunt
+from .schemas import STATE
+from .sources import feed_source, feeds, sinks, splits, state, versions
+from .streaming.hunt import event_windows, offers_stream, start_hunt, start_hunt_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -755,6 +756,35 @@ def stream_hunt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.read_state(spark, f"{path}/state").select("deal.url", F.round("discount", 4).alias("discount"))
 
 
+@query("""WITH o AS (SELECT p_partkey AS seq, 'part/' || p_partkey AS url, p_name, p_retailprice AS price, p_retailprice + p_size * 4 AS estimate, p_size % 3 AS batch FROM part),
+    chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY length(p_name) DESC, seq) AS place FROM o WHERE price > 0) WHERE place <= 5)
+    SELECT url AS key, 1 AS alerts FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY estimate - price DESC, seq) AS won FROM chosen WHERE estimate - price > 50) WHERE won = 1""")
+def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hunts of stream_hunt, each batch run twice, over versioned state: the alerts that were sent, by their key."""
+    path, sent = scratch(spark), []
+    part = table(spark, sf_dir, "part")
+    rows = part.select(F.col("p_name").alias("product_description"), F.col("p_retailprice").alias("price"), F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("url"), F.col("p_partkey").alias("seq"), "p_size")
+    for batch in range(3):
+        rows.where(F.col("p_size") % 3 == batch).coalesce(1).write.mode("append").parquet(f"{path}/landed")
+    estimator = lambda df: df.withColumn("estimate", F.col("price") + F.col("p_size") * 4)
+    start_hunt_once(offers_stream(spark, f"{path}/landed", rows.schema), path, estimator, lambda key, text: sent.append(key), once=True, repeat=2).awaitTermination()
+    return spark.createDataFrame([(k,) for k in sent], "key string").groupBy("key").agg(F.count("*").cast("int").alias("alerts"))
+
+
+@query("""SELECT 'now' AS state, p_name AS product_description, p_retailprice AS price, 'part/' || p_partkey AS url FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 2)
+UNION ALL SELECT 'before', p_name, p_retailprice, 'part/' || p_partkey FROM part""")
+def state_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surfaced rows appended as 20 runs, one of them twice, compacted and reset to the first two; the version before the reset is read beside the newest."""
+    state_table = versions.VersionedTable(spark, scratch(spark), STATE)
+    rows = surfaced(spark, sf_dir)
+    for batch in [*range(20), 7]:
+        state_table.append(rows.where(F.col("seq") % 20 == batch), batch)
+    before = state_table.compact().version
+    state_table.reset(state.RESET_ROWS, "seq")
+    of = lambda name, v: state_table.read(v).select(F.lit(name).alias("state"), "deal.product_description", "deal.price", "deal.url")
+    return of("now", None).unionByName(of("before", before))
+
+
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extension: event-time windows."""

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..operators import planner
 from ..sources import sinks, state
+from ..sources.outbox import KeyedNotifier, Outbox, keyed_alerts
+from ..sources.versions import VersionedTable
 
 #: What an offer's estimate needs to be called with; remote models are swapped in here.
 Estimator = Callable[[DataFrame], DataFrame]
@@ -38,6 +40,16 @@ def run(spark, offers: DataFrame, path: str, batch_id: int, estimator: Estimator
     return surfaced
 
 
+def run_once(offers: DataFrame, surfaced: VersionedTable, box: Outbox, batch_id: int, estimator: Estimator, notify: KeyedNotifier) -> DataFrame:
+    """A hunt over versioned state whose alert is sent once, however often the batch is run: state and outbox hold a batch's rows by its number, and the alert is claimed before it is sent."""
+    found = plan(offers, surfaced.read().where(F.col("batch_id") != batch_id), estimator).withColumn("seq", F.lit(batch_id).cast("long"))
+    surfaced.append(found, batch_id)
+    box.put(keyed_alerts(surfaced.read().where(F.col("batch_id") == batch_id)), batch_id)
+    box.deliver(notify)
+    surfaced.compact()
+    return surfaced.read()
+
+
 def tool_schemas() -> list[dict]:
     """The tools' parameters as JSON schemas."""
     text, number = {"type": "string"}, {"type": "number"}

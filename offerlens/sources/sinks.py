@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import alert_text, dollars
@@ -27,9 +27,14 @@ def notify(alerts: DataFrame, notifier: Notifier) -> int:
     return len(rows)
 
 
-def alerts(opportunities: DataFrame) -> DataFrame:
+def alert_of() -> Column:
+    """The text of an opportunity's alert."""
     d = F.col("deal")
-    return opportunities.select(alert_text(d["product_description"], d["price"], F.col("estimate"), F.col("discount"), d["url"]).alias("text"))
+    return alert_text(d["product_description"], d["price"], F.col("estimate"), F.col("discount"), d["url"]).alias("text")
+
+
+def alerts(opportunities: DataFrame) -> DataFrame:
+    return opportunities.select(alert_of())
 
 
 def display_rows(opportunities: DataFrame, formatted: bool = True) -> DataFrame:

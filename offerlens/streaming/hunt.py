@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans import hunt
+from ..schemas import STATE
+from ..sources.outbox import KeyedNotifier, Outbox
 from ..sources.sinks import Notifier
+from ..sources.versions import VersionedTable
 
 INTERVAL = "300 seconds"
 
@@ -33,6 +36,19 @@ def start_hunt(offers: DataFrame, state_path: str, checkpoint: str, estimator: h
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=INTERVAL)).start()
 
 
+def start_hunt_once(offers: DataFrame, path: str, estimator: hunt.Estimator, notify: KeyedNotifier, once: bool = False, repeat: int = 1) -> StreamingQuery:
+    """start_hunt() with versioned state and an outbox below path: a batch that is run again, here or after a restart, alerts no second time. repeat: runs of each batch, to test that."""
+    spark = offers.sparkSession
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        surfaced, box = VersionedTable(spark, f"{path}/surfaced", STATE), Outbox(spark, f"{path}/outbox")
+        for _ in range(repeat):
+            hunt.run_once(batch, surfaced, box, batch_id, estimator, notify)
+
+    writer = offers.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint")
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=INTERVAL)).start()
+
+
 def output_or_initial(final: DataFrame, initial: DataFrame) -> DataFrame:
     """The rows of a finished run, or the initial ones while it has none."""
     empty = final.limit(1).count() == 0

@@ -124,10 +124,12 @@ def _summed(chunks: DataFrame, network: ResidualNetwork, groups: int, dropout: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                loss, found = gradient(sent.value, np.array(r["sizes"], np.int64), np.array(r["buckets"], np.int64), np.array(r["labels"]), np.array(r["weights"]), dropout, seed * 1_000_003 + r["chunk"])
+            for i in range(batch.num_rows):  # a chunk at a time
+                chunk = batch.column("chunk")[i].as_py()
+                weights, labels, sizes, buckets = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("weights", "labels", "sizes", "buckets"))
+                loss, found = gradient(sent.value, sizes.astype(np.int64), buckets.astype(np.int64), labels, weights, dropout, seed * 1_000_003 + chunk)
                 flat = np.concatenate([m.ravel() for m in found])
-                yield pa.RecordBatch.from_arrays([pa.array([r["chunk"] % groups]), pa.array([r["chunk"]]), pa.array([loss]), pa.array([sum(r["weights"])]), pa.array([flat.tobytes()], pa.binary())], names=["grp", "chunk", "loss", "weight", "flat"])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk % groups]), pa.array([chunk]), pa.array([loss]), pa.array([float(weights.sum())]), pa.array([flat.tobytes()], pa.binary())], names=["grp", "chunk", "loss", "weight", "flat"])
 
     def added(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("chunk").to_numpy())

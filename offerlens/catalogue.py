@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import html, money, text
-from .operators import evaluation, manifold, planner, scorers, similarity, training, vector_index
+from .operators import evaluation, extraction, manifold, planner, scorers, similarity, training, vector_index
 from .plans import hunt
 from .schemas import STATE
 from .sources import feed_source, feeds, sinks, splits, state, versions
@@ -157,6 +157,41 @@ def nested_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return opportunity_rows(spark, sf_dir).select(F.col("deal.url").alias("url"))
 
 
+# ---- offers in raw listings ----
+
+SQL_LISTINGS = """
+bodies AS (SELECT 'part' AS kind, p_partkey AS id, 0 AS turn, p_partkey AS number FROM part
+           UNION ALL SELECT 'document', doc_id, 0, doc_id FROM documents
+           UNION ALL SELECT 'message', conv_id, turn, conv_id * 31 + turn FROM conversations),
+listed AS (SELECT kind, id, turn, number, (3 * (100 + number * 7 % 397))::double AS price FROM bodies WHERE number % 12 NOT IN (5, 8, 10))
+"""
+
+
+def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part, document and message as the text of a listing, with a sentence that states its price or something like one."""
+    part = table(spark, sf_dir, "part").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), F.lit(0).alias("turn"), F.concat_ws(" ", F.lit("A"), "p_name", F.lit("by"), "p_brand", F.lit("of the type"), "p_type").alias("body"), F.col("p_partkey").alias("number"))
+    documents = table(spark, sf_dir, "documents").select(F.lit("document"), "doc_id", F.lit(0), "text", "doc_id")
+    messages = table(spark, sf_dir, "conversations").select(F.lit("message"), "conv_id", F.col("turn").cast("int"), "text", F.col("conv_id") * 31 + F.col("turn"))
+    return extraction.labelled(part.unionAll(documents).unionAll(messages), F.col("number"))
+
+
+def listing_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from two thirds of the listings, extracts from all."""
+    given = listings(spark, sf_dir)
+    return extraction.extracted(given.drop("price"), extraction.train_on(given.where("number div 12 % 3 != 1")))
+
+
+@query(f"WITH {SQL_LISTINGS} SELECT kind, id, turn::bigint AS turn, price FROM listed")
+def offers_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing_offers(spark, sf_dir).select("kind", "id", F.col("turn").cast("long").alias("turn"), "price")
+
+
+@query()
+def offers_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five offers with the most detailed product and a clear price. The confidence is trained, so SQL can't order by it."""
+    return extraction.selected(listing_offers(spark, sf_dir), 5, "kind", "id", "turn").select("kind", "id", F.col("turn").cast("long").alias("turn"), "price", "product", F.col("n_words").cast("long").alias("n_words"))
+
+
 # ---- feeds and pages ----
 
 SQL_FEED = "regexp_extract(url, '^https?://[^/]+/([^/?#]*)', 1)"

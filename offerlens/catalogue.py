@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import html, money, text
-from .operators import evaluation, extraction, manifold, planner, scorers, similarity, training, vector_index
+from .operators import evaluation, extraction, manifold, planner, scorers, similarity, text_vectors, training, vector_index
 from .plans import hunt
 from .schemas import STATE
 from .sources import feed_source, feeds, sinks, splits, state, versions
@@ -475,6 +475,38 @@ def knn5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_index.recall(found, exact).select("queries", "neighbours", (F.col("recall") >= 0.9).alias("recalled"))
 
 
+def edited_near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, the edited texts of the ids divisible by 20, the five documents whose trained vectors are nearest to each)."""
+    path = scratch(spark)
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    model = text_vectors.train(documents, path)
+    text_vectors.embedded(documents, model, "id").write.parquet(f"{path}/texts")
+    asked = documents.where("id % 20 = 0").select("id", text_vectors.edited(F.col("text")).alias("text")).where("text != ''")
+    text_vectors.embedded(asked, model, "id").write.parquet(f"{path}/asked")
+    return documents, asked, similarity.nearest(spark.read.parquet(f"{path}/texts"), spark.read.parquet(f"{path}/asked"))
+
+
+def found_again(documents: DataFrame, asked: DataFrame, near: DataFrame) -> DataFrame:
+    """(asked, recall): how many of the edited texts have a copy of their original among the nearest."""
+    digest = documents.select("id", F.sha2("text", 256).alias("digest"))
+    own = near.select("query_id", "id").join(digest, "id").join(digest.select(F.col("id").alias("query_id"), F.col("digest").alias("original")), "query_id").where("digest = original").select("query_id").distinct()
+    both = asked.select(F.lit(1).alias("asked"), F.lit(0).alias("found")).unionAll(own.select(F.lit(0), F.lit(1)))
+    return both.agg(F.sum("asked").alias("asked"), (F.sum("found") / F.sum("asked")).alias("recall"))
+
+
+@query()
+def text_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors are trained, so SQL can't give the rows; text_vectors_recall measures them."""
+    _, _, near = edited_near(spark, sf_dir)
+    return near.select("query_id", "id", F.round("distance", 4).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT count(*) AS asked, true AS recalled FROM documents WHERE doc_id % 20 = 0 AND regexp_matches(text, '[^\\x20\\x09-\\x0D]')")
+def text_vectors_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether trained vectors find at least 0.9 of the originals of edited texts."""
+    return found_again(*edited_near(spark, sf_dir)).select("asked", (F.col("recall") >= 0.9).alias("recalled"))
+
+
 SQL_PRICES = "prices AS (SELECT v.vec_id AS id, p.p_retailprice AS price, p.p_name AS name FROM embeddings v JOIN part p ON p.p_partkey = v.vec_id % (SELECT count(*) FROM part))"
 
 

@@ -23,10 +23,11 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -110,15 +111,15 @@ def increasing(places: list[int]) -> list[int]:
     return out[::-1]
 
 
-def best_chain(at: list[tuple[int, int]]) -> list[int]:
-    """Of (place in the text, place in the template) pairs, by place in the text, the indices of a chain that rises in both and is worth most.
+def chains(at: list[tuple[int, int]]) -> Iterator[list[int]]:
+    """Of (place in the text, place in the template) pairs, by place in the text, chains of indices that rise in both, the one worth most first.
 
     A pair is worth 1; words that stand between two pairs beyond what the template has there cost log2(1 + their number).
-    Of the chains that end at a place of the template, the one that is worth most by now is kept.
+    Of the chains that end at a place of the template, the one that is worth most by now is kept. Each pair has one best chain that ends
+    with it; from the best pair on, these are followed back to where another chain has taken them, so each pair is in one chain: time is in proportion to the pairs.
     """
     worth: dict[int, tuple[float, int]] = {}  # by place in the template: what its chain is worth, its last pair
-    before = [-1] * len(at)
-    best, last = 0.0, 0
+    before, values = [-1] * len(at), [1.0] * len(at)
     for x, (i, j) in enumerate(at):
         value, own = 1.0, -1
         for m, (w, y) in worth.items():
@@ -126,15 +127,18 @@ def best_chain(at: list[tuple[int, int]]) -> list[int]:
                 w += 1 - math.log2(1 + max(0, i - at[y][0] - (j - m)))
                 if w > value:
                     value, own = w, y
-        before[x] = own
+        before[x], values[x] = own, value
         if (old := worth.get(j)) is None or value >= old[0] - math.log2(1 + i - at[old[1]][0]):
             worth[j] = (value, x)
-        if value > best:
-            best, last = value, x
-    out = [last]
-    while before[out[-1]] >= 0:
-        out.append(before[out[-1]])
-    return out[::-1]
+    taken = bytearray(len(at))
+    for x in sorted(range(len(at)), key=lambda x: (-values[x], x)):
+        out = []
+        while x >= 0 and not taken[x]:
+            taken[x] = 1
+            out.append(x)
+            x = before[x]
+        if out:
+            yield out[::-1]
 
 
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -196,33 +200,40 @@ class Scanner:
         return self._best_apart(out)
 
     def _in_text(self, name: str, template: list[str], words: list[str], places: dict[str, int]) -> list[Match]:
-        """Matches of one template: around the best chain of its single words, then on both sides of it."""
+        """Matches of one template: around the chains of its single words, the best first, each in what no better one took."""
         out, n = [], len(template)
         least = max(1, len(places) - int((1 - self.least) * n + 1e-9))  # of the single words, so many are in any sufficient match
         at = [(i, places[w]) for i, w in enumerate(words) if w in places]
-        todo = [(0, len(at), 0, len(words))]
-        while todo:
-            lo, hi, first, behind = todo.pop()
-            if hi - lo < least:
+        done: list[tuple[int, int]] = []  # parts of the text that were looked at, by place
+        for chain in chains(at):
+            if len(chain) < least:
                 continue
-            chain = best_chain(at[lo:hi])
-            (i, j), (k, m) = at[lo + chain[0]], at[lo + chain[-1]]
-            if len(chain) >= least:
+            for piece in [list(own) for _, own in groupby(chain, key=lambda x: self._beside(done, at[x][0]))]:
+                if len(piece) < least:
+                    continue
+                (i, j), (k, m) = at[piece[0]], at[piece[-1]]
+                y, inside = self._beside(done, i)
+                if inside:
+                    continue
                 slack = n // 4
-                i, k = max(first, i - j - slack), min(behind, k + n - m + slack)
+                i = max(done[y - 1][1] if y else 0, i - j - slack)
+                k = min(done[y][0] if y < len(done) else len(words), k + n - m + slack)
                 part = words[i:k]
                 pairs = align(part, template)
                 if len(pairs) >= self.least * n and agrees(part, template, pairs):
-                    k, i = i + pairs[-1][0] + 1, i + pairs[0][0]
+                    i, k = i + pairs[0][0], i + pairs[-1][0] + 1
                     out.append(Match(name, len(pairs) / n, i, k, n))
                 else:
-                    i, k = at[lo + chain[0]][0], at[lo + chain[-1]][0] + 1
-            else:
-                k += 1
-            todo.append((lo, bisect_left(at, (i, -1), lo, hi), first, i))
-            todo.append((bisect_left(at, (k, -1), lo, hi), hi, k, behind))
+                    i, k = at[piece[0]][0], at[piece[-1]][0] + 1
+                insort(done, (i, k))
         return out
 
+    @staticmethod
+    def _beside(done: list[tuple[int, int]], i: int) -> tuple[int, bool]:
+        """How many of the parts begin at or before place i, and whether it is in one."""
+        y = bisect_right(done, (i, math.inf))
+        return y, y > 0 and i < done[y - 1][1]
+
     @staticmethod
     def _best_apart(found: list[Match]) -> list[Match]:
         """The best matches that don't overlap, best first."""

@@ -6,6 +6,7 @@ potential that depends on the child's kind. Sum-product messages pass upward and
 each node's marginal probability of content. Weights are trained by the gradient of the labelled pages' likelihood.
 The pages are made by labelled_pages(): templates whose parts are known, since no table labels pages.
 
+A page in which that finds nothing is read again by weights trained on plain pages: text directly in a container, or paragraphs without one.
 Text: the content nodes' blocks in page order. Character references are decoded, white space in a block becomes one blank.
 
 Defined cases: a null or empty html, or one without content, gives the empty text. Unclosed tags close where HTML has
@@ -277,8 +278,8 @@ def _say(rng: random.Random, least: int, most: int, stops: bool = True) -> str:
     return (" ".join(words).capitalize() + ("." if stops else "")) if words else ""
 
 
-def labelled_pages(n: int, seed: int = 5) -> list[str]:
-    """Pages of random templates whose block elements say in data-label whether they are content."""
+def labelled_pages(n: int, seed: int = 5, plain: bool = False) -> list[str]:
+    """Pages of random templates whose block elements say in data-label whether they are content. plain: of pages without an element made for the article."""
     rng = random.Random(seed)
 
     def el(tag: str, y: int, inner: str, names: str = "") -> str:
@@ -322,10 +323,30 @@ def labelled_pages(n: int, seed: int = 5) -> list[str]:
             parts.insert(rng.randint(1, len(parts)), j)
         return "".join(parts) + maybe(0.15, comments)
 
+    def bare() -> str:
+        """Content with text directly in a container, or in paragraphs without a container of their own."""
+        stops = rng.random() < 0.6
+        said = lambda: "<br>".join(" ".join(_say(rng, 6, 30, stops) for _ in range(rng.randint(2, 6))) for _ in range(rng.randint(1, 3)))
+        tag = rng.choice(("div", "div", "main", "article", "section"))
+        p = rng.random()
+        if p < 0.15:
+            return el(tag, 1, el("h1", 1, _say(rng, 2, 9, stops)) + "".join(el("p", 1, _say(rng, 1, 4, stops)) for _ in range(rng.randint(10, 60))), rng.choice(("", "content", "x7")))
+        if p < 0.35:
+            return "".join(el("p", 1, _say(rng, 50, 120, stops)) for _ in range(rng.randint(1, 4)))
+        if p < 0.4:
+            return el(tag, 1, maybe(0.5, lambda: el("h1", 1, _say(rng, 2, 9, False))) + "".join(el("p", 1, said()) for _ in range(rng.randint(1, 3))))
+        if p < 0.6:
+            return el(tag, 1, said())
+        if p < 0.7:
+            return el(tag, 1, el("div", 1, said()), rng.choice(("", "content", "x7")))
+        if p < 0.8:
+            return el("table", 1, el("tr", 1, el("td", 1, said())))
+        return maybe(0.5, lambda: el("h1", 1, _say(rng, 2, 9, False))) + el(tag, 1, said() + maybe(0.5, lambda: el("p", 1, _say(rng, 15, 60))), rng.choice(("", "text", "x7")))
+
     out = []
     for _ in range(n):
         tag, names = rng.choice((("article", ""), ("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "post-body"), ("section", "story"), ("div", "entry-content"), ("div", "article"), ("div", "x7")))
-        body = el(tag, 1, article(), names)
+        body = bare() if plain else el(tag, 1, article(), names)
         if rng.random() < 0.3:
             body = el(rng.choice(("div", "main")), 0, "".join(junk(0.4)) + body + maybe(0.3, comments), rng.choice(("", "wrap", "page", "row")))
         head = [*junk(0.6), maybe(0.8, lambda: el(rng.choice(("nav", "div")), 0, links(rng.randint(2, 8)), rng.choice(("menu", "nav", "navbar")))), maybe(0.4, lambda: el(rng.choice(("header", "div")), 0, maybe(0.7, lambda: el("h1", 0, _say(rng, 1, 4, False))) + maybe(0.4, lambda: el("p", 0, _say(rng, 2, 12))), rng.choice(("header", "masthead"))))]
@@ -374,22 +395,27 @@ def train_on(pages: DataFrame, most: int = 2000) -> Model:
     return train([r.html for r in rows])
 
 
-def extract(html: str | None, model: Model, least: float = 0.5) -> str:
+def extract(html: str | None, model: Model, least: float = 0.5, plain: Model | None = None) -> str:
+    """The main text by the model; of a page where it finds none, by the model of plain pages, if one is given."""
     if not html:
         return ""
     page = parse(html)
     if len(page.tag) == 1 and not page.attrs[0] and "<" not in html:
         return " ".join(unescape(html).split())
-    p, _ = model.marginals(page.parent, features(page))
-    blocks: list[list[str]] = []
-    last = None
-    for block, node, text in page.runs:
-        if p[node] >= least:
-            if block != last:
-                blocks.append([])
-                last = block
-            blocks[-1].append(text)
-    return "\n".join(t for b in blocks if (t := " ".join("".join(b).split())))
+    found = features(page)
+    for own in (model, plain):
+        p = own.marginals(page.parent, found)[0] if own else [0.0] * len(found)
+        blocks: list[list[str]] = []
+        last = None
+        for block, node, text in page.runs:
+            if p[node] >= least:
+                if block != last:
+                    blocks.append([])
+                    last = block
+                blocks[-1].append(text)
+        if out := "\n".join(t for b in blocks if (t := " ".join("".join(b).split()))):
+            return out
+    return ""
 
 
 @lru_cache(1)
@@ -397,23 +423,28 @@ def default_model() -> Model:
     return train(labelled_pages(250))
 
 
-def extracted(pages: DataFrame, model: Model) -> DataFrame:
+@lru_cache(1)
+def plain_model() -> Model:
+    return train(labelled_pages(200, plain=True))
+
+
+def extracted(pages: DataFrame, model: Model, plain: Model | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) of each row of pages(page_id, url, html)."""
-    sent = pages.sparkSession.sparkContext.broadcast(model)
+    sent = pages.sparkSession.sparkContext.broadcast((model, plain))
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        own, other = sent.value
         for batch in batches:
             for part in slices(batch):
-                texts = [extract(h, own) for h in part.column(2).to_pylist()]
+                texts = [extract(h, own, plain=other) for h in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=schema)
 
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extracted(read_table(spark, sf_dir, "pages"), default_model())
+    return extracted(read_table(spark, sf_dir, "pages"), default_model(), plain_model())
 
 
 QUERIES = {"op7_html_text": op7_html_text}

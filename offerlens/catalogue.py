@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import html, money, text
-from .operators import evaluation, extraction, manifold, planner, scorers, similarity, text_vectors, training, vector_index
+from .operators import evaluation, extraction, manifold, planner, scorers, screen, similarity, text_vectors, training, vector_index
 from .plans import hunt
 from .schemas import STATE
 from .sources import feed_source, feeds, sinks, splits, state, versions
@@ -141,6 +141,30 @@ def anti_join_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planner.unseen(pages, pages.where(F.contains("url", F.lit(".org/")))).select("page_id", "url")
 
 
+SQL_MEMORY = "memory AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_quantity > 45)"
+
+
+def screened(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, screen.Screen]:
+    """(every order, the keys of orders with a large line as the memory, the screen of that memory)."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("k"))
+    memory = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("k"))
+    return orders, memory, screen.build(memory, scratch(spark), "k")
+
+
+@query(f"WITH {SQL_MEMORY} SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT k FROM memory)")
+def screened_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screen.unseen(*screened(spark, sf_dir), on="k").select("o_orderkey")
+
+
+@query(f"WITH {SQL_MEMORY} SELECT count(*) AS offers, (SELECT count(*) FROM orders JOIN memory ON k = o_orderkey) AS seen, true AS bounded FROM orders")
+def screened_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bounded: whether at most 3 % of the offers that were never surfaced, and 50, are shuffled beside those that were."""
+    offers, memory, own = screened(spark, sf_dir)
+    known = memory.distinct().withColumn("known", F.lit(1))
+    rows = screen.marked(offers, own, "k").join(known, "k", "left").agg(F.count("*").alias("offers"), F.count("known").alias("seen"), F.sum(F.col("possible").cast("long")).alias("shuffled"))
+    return rows.select("offers", "seen", (F.expr("shuffled - seen BETWEEN 0 AND 0.03 * (offers - seen) + 50")).alias("bounded"))
+
+
 @query("SELECT {'product_description': p_name, 'price': p_retailprice, 'url': 'part/' || p_partkey} AS deal, p_retailprice * 1.2 AS estimate, round(p_retailprice * 1.2 - p_retailprice, 6) AS discount FROM part")
 def opportunity_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return opportunity_rows(spark, sf_dir).withColumn("discount", F.round("discount", 6))

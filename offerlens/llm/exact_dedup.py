@@ -3,7 +3,7 @@
 A snapshot's distinct digests are cut into shards by their hash; each shard gets a binary-fuse filter (3 segments, 16-bit
 fingerprints: about 18 bits a key, 1 in 65,536 false positives). take_snapshot() stores both; they are never changed, and later batches
 are screened by them (open_snapshot(), known_texts()). Digests of the incoming batch are first grouped among themselves; each distinct
-one is screened by its shard's filter. A negative is surely new. A positive joins the exact bucket of its digest in
+one is screened by its shard's filter, of which every part of a large batch gets a copy. A negative is surely new. A positive joins the exact bucket of its digest in
 the snapshot. Groups of more than one row are then checked byte for byte against the row that stays; rows whose bytes
 differ from it (a digest collision) are grouped again by their text.
 
@@ -28,6 +28,8 @@ from .common import join_checked, join_hot, materialize, mix64, read_table
 
 #: Distinct digests in a shard of the snapshot, about: 8 MB of keys, 1.2 MB of filter.
 SHARD_KEYS = 500_000
+#: Digests of a batch that meet one copy of a filter, about: as many bytes as the filter.
+SCREEN_KEYS = 16_384
 #: Rows of one group that are checked against one copy of the text that stays.
 CHECK_ROWS = 2048
 
@@ -153,8 +155,13 @@ def _shard(shards: int) -> Column:
     return F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int").alias("shard")
 
 
-def screen(incoming: DataFrame, snapshot: Snapshot) -> DataFrame:
-    """incoming(digest, n, keep_id; one row a digest) with `maybe`: false only if the snapshot surely lacks the digest."""
+def screen(incoming: DataFrame, snapshot: Snapshot, part_keys: int = SCREEN_KEYS) -> DataFrame:
+    """incoming(digest, n, keep_id; one row a digest; materialised) with `maybe`: false only if the snapshot surely lacks the digest.
+
+    The digests that meet one filter are dealt into parts of about part_keys, each with a copy of the filter, so a
+    task's rows don't grow with the batch.
+    """
+    parts = max(1, -(-incoming.count() // (snapshot.shards * part_keys)))
 
     def test(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(right):
@@ -165,9 +172,11 @@ def screen(incoming: DataFrame, snapshot: Snapshot) -> DataFrame:
             left["maybe"] = False
         return left[["digest", "n", "keep_id", "maybe"]]
 
-    keyed = incoming.select("digest", "n", "keep_id", _shard(snapshot.shards), _key().alias("key"))
+    part = F.pmod(F.xxhash64(F.lit("part"), "digest"), F.lit(parts)).cast("int").alias("part")
+    keyed = incoming.select("digest", "n", "keep_id", _shard(snapshot.shards), part, _key().alias("key"))
+    filters = snapshot.filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     fields = "digest binary, n long, keep_id long, maybe boolean"
-    known = keyed.where("keep_id is not null").groupBy("shard").cogroup(snapshot.filters.groupBy("shard")).applyInPandas(test, fields)
+    known = keyed.where("keep_id is not null").groupBy("shard", "part").cogroup(filters.groupBy("shard", "part")).applyInPandas(test, fields)
     unnamed = keyed.where("keep_id is null").select("digest", "n", "keep_id", F.lit(True).alias("maybe"))  # pandas has no whole null numbers; these few join anyway
     return known.unionByName(unnamed)
 
@@ -175,7 +184,7 @@ def screen(incoming: DataFrame, snapshot: Snapshot) -> DataFrame:
 def known_texts(docs: DataFrame, snapshot: Snapshot, snapshot_docs: DataFrame) -> DataFrame:
     """(doc_id, digest, known_id) of each row of a batch docs(doc_id, text): the row of the snapshot with the same bytes, null if it has none."""
     rows = materialize(digests(docs), "batch")
-    positives = materialize(screen(_grouped(rows), snapshot).where("maybe").select("digest", "n"), "positives")
+    positives = materialize(screen(materialize(_grouped(rows), "incoming"), snapshot).where("maybe").select("digest", "n"), "positives")
     met = materialize(join_checked(snapshot.groups.select("digest", "keep_id"), positives, ["digest"], "inner"), "met")
     plain = lambda d: d.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     stays = join_checked(plain(snapshot_docs).withColumn("digest", sha256(F.col("text"))), met.select("digest", F.col("keep_id").alias("doc_id")), ["digest", "doc_id"], "left_semi")
@@ -191,7 +200,7 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, sh
     rows = materialize(digests(docs, digest).withColumn("old", F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0), "digests")
     total = rows.count()
     snapshot = take_snapshot(rows.where("old"), shard_keys)
-    screened = materialize(screen(_grouped(rows.where("not old")), snapshot), "screened")
+    screened = materialize(screen(materialize(_grouped(rows.where("not old")), "incoming"), snapshot), "screened")
     positives = materialize(screened.where("maybe").select("digest", F.col("n").alias("m"), F.col("keep_id").alias("new_id")), "positives")
     met = join_checked(snapshot.groups, positives, ["digest"], "left")
     met = met.select("digest", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), F.greatest("keep_id", "new_id").alias("keep_id"))
@@ -214,14 +223,20 @@ def _collisions(docs: DataFrame, rows: DataFrame, many: DataFrame, total: int, d
     keys and the text that stays is copied for each, so no task gets a whole large group.
     """
     pick = many.select("digest", "keep_id", "n", (F.floor((F.col("n") - 1) / CHECK_ROWS) + 1).cast("int").alias("parts"))
-    ids = join_hot(rows.select("doc_id", "digest"), pick, "digest", "n", total).where("parts is not null").select("doc_id", "digest", "keep_id", "parts")
+    ids = join_hot(rows.select("doc_id", "digest"), pick, "digest", "n", total).where("parts is not null").select("doc_id", "digest", "keep_id", "n", "parts")
     ids = materialize(ids, "members")
     salt = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.col("parts")).cast("int").alias("salt")  # any salt will do
     wanted = ids.select("doc_id").where("doc_id is not null").distinct()
     plain = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     found = join_checked(plain.where("doc_id is not null"), wanted, ["doc_id"], "left_semi").unionByName(plain.where("doc_id is null"))
     texts = found.withColumn("digest", digest(F.col("text")))
-    members = materialize(join_checked(texts, ids.distinct(), ["doc_id", "digest"], "inner") if ids.where("doc_id is null").isEmpty() else texts.join(ids.distinct(), [texts.doc_id.eqNullSafe(ids.doc_id), texts.digest == ids.digest]).select(texts.doc_id, "text", texts.digest, "keep_id", "parts"), "texts")
+    fields = ["doc_id", "text", "digest", "keep_id", "parts"]
+    members = join_checked(texts.where("doc_id is not null"), ids.where("doc_id is not null").distinct(), ["doc_id", "digest"], "inner").select(*fields)
+    unnamed = ids.where("doc_id is null").select("digest", "keep_id", "n", "parts").distinct()
+    if not unnamed.isEmpty():  # one digest may have most of these rows
+        plain_rows = materialize(texts.where("doc_id is null"), "unnamed")
+        members = members.unionByName(join_hot(plain_rows, materialize(unnamed, "unnamed-groups"), "digest", "n", total).where("parts is not null").select(*fields))
+    members = materialize(members, "texts")
     stays = members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("text").alias("stays"), F.max("parts").alias("parts"))
     stays = stays.select("digest", "stays", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
     differ = members.select("digest", "text", salt).join(stays, ["digest", "salt"]).where("text != stays").select("digest").distinct()

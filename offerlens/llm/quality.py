@@ -10,7 +10,7 @@ their texts together exceed SAMPLE_BYTES, each text above a bound that makes the
 spread evenly over it; no text is left out for the length of another. Every document is scored, from its whole text alone.
 
 Defined cases: a null text counts as empty; an empty text has no evidence (0), so it gets the curve's value there.
-Labels that are null or neither 0 nor 1, or without a document, are not used. Without labels of both classes the score is the share of
+Labels that are null or neither 0 nor 1, or without a document, are not used; a label that repeats counts once. Without labels of both classes the score is the share of
 label 1, or 0.5 without any. Rows that repeat a doc_id are scored each; very long texts are
 scored whole; ties of the sample's order go to the smaller doc_id, then to the smaller hash of the text. An empty table gives an empty result. Extra
 columns are never read.
@@ -129,10 +129,10 @@ def spread(text: bytes, bound: int) -> bytes:
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Fits on labels(doc_id, quality) of docs(doc_id, text). At most 2 * max(sample_bytes, PIECE * sample_docs) bytes of text come to the driver."""
     place = F.xxhash64(F.lit(SEED), "doc_id")
-    labels = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
+    labels = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").distinct()  # a label that repeats counts once
     totals = {r.quality: r["n"] for r in labels.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     picked = [labels.where(F.col("quality") == q).withColumn("place", place).orderBy("place", "doc_id").limit(sample_docs) for q in (0, 1)]
-    picks = materialize(picked[0].unionByName(picked[1]), "picked")  # 2 * sample_docs rows, unless labels repeat
+    picks = materialize(picked[0].unionByName(picked[1]), "picked")  # at most 2 * sample_docs rows
     rows = docs.select("doc_id", F.xxhash64("text").alias("rid"), "text").where("text is not null")
     # rows that repeat a doc_id count as documents of their own; of a class, the first sample_docs rows are taken, each distinct text once with how often
     keys = rows.select("doc_id", "rid", F.octet_length("text").alias("size")).join(F.broadcast(picks), "doc_id").groupBy("quality", "place", "doc_id", "rid").agg(F.count("*").alias("n"), F.first("size").alias("size"))

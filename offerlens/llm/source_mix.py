@@ -7,7 +7,8 @@ same rule, down a tree of at most FAN children a node, so every shard has an int
 blocks from there: whole passes first, then a run of blocks. So no window ever holds more than one shard.
 
 Defined cases: a null text has size 0 and is never taken; a very long one may be taken in part. Null sources are one source, last in order. Sources of size
-0 get target 0. Rows that repeat a doc_id count as documents of their own. An empty table gives an empty result. The
+0 get target 0. Rows that repeat a doc_id count as documents of their own; those
+with other texts are dealt apart. Equal quotients go to the source that comes first, then to the smaller shard. An empty table gives an empty result. The
 seed and hashes make reruns agree. Extra columns are never read.
 """
 
@@ -140,7 +141,7 @@ def shard_quotas(sized: DataFrame, block: int, fan: int) -> DataFrame:
 def mix(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """(doc_id, skey, size, source_size, target, taken) of each row of docs(doc_id, source, text)."""
     skey = F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit("")))
-    rows = docs.select("doc_id", skey.alias("skey"), size_of(F.col("text")).alias("size"))
+    rows = docs.select("doc_id", skey.alias("skey"), size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("print"))
     rows = materialize(rows.withColumn("place", F.xxhash64(F.lit(seed), "doc_id", "size")), "sizes")
     sources = ranked(rows.groupBy("skey").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), "skey")
     sources = materialize(sources.withColumn("weight", F.col("rank") % 3 + 1), "sources")
@@ -149,7 +150,7 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFram
     sources = sources.withColumn("parts", (F.floor((F.col("n_docs") - 1) / SHARD_DOCS) + 1).cast("long"))
     sources = materialize(apportion_sources(sources, block).drop("rank", "weight"), "quotas")
     dealt = join_hot(rows, sources, "skey", "n_docs", rows.count())
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "doc_id"), F.col("parts")))
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "doc_id", "print"), F.col("parts")))
     sized = dealt.groupBy("skey", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_size").alias("source_size"), F.first("blocks").alias("blocks"))
     quotas = shard_quotas(materialize(sized, "shard-sizes"), block, FAN)
     laid = Window.partitionBy("skey", "shard").orderBy("place", "doc_id", "size")

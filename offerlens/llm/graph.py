@@ -5,18 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import BROADCAST_ROWS, discard, join_hot, materialize
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of edges(a, b): the smallest node reachable. Labels stay distributed; each turn is cut into a table."""
+def components(edges: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """(node, component) of edges(a, b): the smallest node reachable. Labels stay distributed; each turn is cut into a table.
+
+    A node with most of the edges and a label that most nodes have are looked up by join_hot(), so no task gets them
+    whole; up to `most` labels are broadcast instead. A turn's tables are deleted once the next one is written.
+    """
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label"), F.count("*").alias("degree")).withColumnRenamed("a", "node"), "labels")
+    links, nodes = both.count(), labels.count()
+
+    def looked_up(left: DataFrame, lookup: DataFrame, on: str, weight: str, total: int) -> DataFrame:
+        return left.join(F.broadcast(lookup.drop(weight)), on, "left") if nodes <= most else join_hot(left, lookup, on, weight, total)
+
     while True:
-        heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("heard"))
-        near = labels.join(heard.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        after = materialize(near.join(jump, "label", "left").select("node", "was", F.least("label", "further").alias("label")), "labels")
-        labels = after.select("node", "label")
+        heard = looked_up(both, labels.withColumnRenamed("node", "b"), "b", "degree", links).groupBy("a").agg(F.min("label").alias("heard"))
+        near = labels.join(heard.withColumnRenamed("a", "node"), "node").select("node", "degree", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
+        near = materialize(near, "near-labels")
+        jump = near.groupBy("label").agg(F.count("*").alias("users")).join(labels.select(F.col("node").alias("label"), F.col("label").alias("further")), "label")
+        jump = jump if nodes <= most else materialize(jump, "jumps")
+        after = looked_up(near, jump, "label", "users", nodes).select("node", "degree", "was", F.least("label", "further").alias("label"))
+        after = materialize(after, "labels")
+        discard(labels, near, *([] if nodes <= most else [jump]))
+        labels = after
         if after.where("label != was").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+            discard(both)
+            return after.select("node", F.col("label").alias("component"))

@@ -41,6 +41,22 @@ def test_exact_survives_digest_collisions(docs, rows):
     assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got.collect()) == want
 
 
+def test_exact_of_many_rows_without_ids(spark):
+    """A third of all rows has no doc_id and one text; the weak digest makes it meet others."""
+    rows = [(None, "same")] * 40 + [(None, f"t{i % 7}") for i in range(20)] + [(i, f"t{i % 11}") for i in range(60)]
+    weak = lambda t: F.encode(F.lpad(F.pmod(F.crc32(t.cast("binary")), F.lit(3)).cast("string"), 9, "0"), "UTF-8")
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), digest=weak)
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got.collect()) == Counter(k[:4] for k in brute_exact(rows).elements())
+
+
+def test_a_large_batch_meets_copies_of_one_filter(spark):
+    """Parts of a batch change nothing in what the filter says."""
+    old = exact_dedup.take_snapshot(exact_dedup.digests(spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))))
+    batch = exact_dedup._grouped(exact_dedup.digests(spark.range(200, 900).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))))
+    one, many = ({bytes(r.digest): r.maybe for r in exact_dedup.screen(batch, old, n).collect()} for n in (10_000, 16))
+    assert len(one) == 700 and one == many and sum(one.values()) in range(100, 110)
+
+
 def test_a_stored_snapshot_screens_a_batch(spark, docs, rows, tmp_path):
     old, new = docs.where("doc_id % 2 = 0"), docs.where("doc_id is null or doc_id % 2 = 1")
     path = f"file://{tmp_path}/snapshot"
@@ -186,12 +202,22 @@ def test_near_rows(docs, rows):
     assert Counter((r.doc_id, r.text or "") for r in kept.collect()) == near_rows(rows)
 
 
-def test_components_of_a_chain(spark):
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_components_of_a_chain(spark, most):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(101, 100)], "a long, b long")
-    got = {r.node: r.component for r in components(edges).collect()}
+    got = {r.node: r.component for r in components(edges, most).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_components_of_a_star_with_a_tail(spark, most):
+    """A node with nearly all edges, whose label nearly all nodes get; ties, repeated edges and edges both ways."""
+    edges = [(500, i) for i in range(501, 900)] + [(501, 500), (501, 500), (899, 1000), (1000, 1001), (1001, 7), (2001, 2000)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), most).collect()}
+    assert got == {**{i: 7 for i in (7, *range(500, 900), 1000, 1001)}, 2000: 2000, 2001: 2000}
+    assert components(spark.createDataFrame([], "a long, b long"), most).count() == 0
+
+
 def brute_substring(rows, window=13):
     first = {}
     words = [(r[0], (r[1] or "").encode().split()) for r in rows]

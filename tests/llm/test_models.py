@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from offerlens.llm import fingerprints, html_text, lm_score, quality
@@ -187,6 +188,42 @@ def test_quality_learns_labels_and_scores_all(spark, docs, rows, no_docs):
     assert quality.scored(no_docs, model).count() == 0
 
 
+def test_quality_labels_that_repeat_count_once(spark):
+    """300 more labels of one document push no other out of the sample and don't move the curve."""
+    docs = spark.createDataFrame([(i, f"{'good' if i < 20 else 'bad'} words {i * i * 7919} of document {i}") for i in range(40)], "doc_id long, text string")
+    plain = [(i, int(i < 20)) for i in range(40)]
+    models = [quality.train(docs, spark.createDataFrame(rows, "doc_id long, quality int"), sample_docs=50) for rows in (plain, plain + [(3, 1)] * 300)]
+    assert models[0] == models[1]
+
+
+def test_quality_evidence_and_curve_by_hand():
+    """Sizes from zstandard's own calls with each dictionary; the curve has no better neighbour by its penalised likelihood."""
+    rng = np.random.default_rng(4)
+    good, bad = ([(" ".join(rng.choice(words, 40))).encode() for _ in range(90)] for words in (["alpha", "beta", "gamma"], ["delta!!", "beta", "omega$$"]))
+    model = quality.fit(good, bad)
+    held = [zstandard.ZstdCompressionDict(d) for d in (model.good, model.bad)]
+    text = b" ".join(good[:5] + bad[:40])
+    assert len(text) > 2 * quality.PIECE
+
+    def size(d, x):
+        return len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=d, write_dict_id=False).compress(x))
+
+    for t in (text, good[0], bad[1], b"x"):
+        parts = [t[i : i + quality.PIECE] for i in range(0, len(t), quality.PIECE)]
+        want = sum(size(held[1], p) - size(held[0], p) for p in parts) / len(t)
+        assert abs(quality.Scorer(model).evidence(t) - want) <= 4 * len(parts) / len(t)  # a prepared dictionary may find a match more or less
+    x = np.array([0.5, 0.2, -0.1, 0.3, -0.4, -0.2, 0.1, -0.3])
+    y, w = np.array([1, 1, 1, 1, 0, 0, 0, 0.0]), np.array([1, 2, 1, 1, 3, 1, 1, 1.0])
+
+    def loss(slope, base):
+        scale = np.sqrt(np.average(x * x, weights=w))
+        z = slope * x + base
+        return float((w * (np.log1p(np.exp(z)) - y * z)).sum() + 5e-4 * ((slope * scale) ** 2 + base**2))
+
+    slope, base = quality.logistic(x, y, w)
+    assert all(loss(slope, base) <= loss(slope + a, base + b) for a in (-0.01, 0, 0.01) for b in (-0.01, 0, 0.01))
+
+
 def test_quality_of_a_long_text_is_that_of_its_parts():
     rng = random.Random(6)
     stems = ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(4000)]

@@ -123,6 +123,18 @@ def test_mix(docs, rows, no_docs, monkeypatch, shard_docs):
     assert source_mix.mix(no_docs).count() == 0
 
 
+def test_mix_of_rows_without_ids(spark, monkeypatch):
+    """Rows that share a doc_id, or have none, are dealt over the shards by their texts."""
+    monkeypatch.setattr(source_mix, "SHARD_DOCS", 10)
+    rows = [(None if i % 2 else 5, "a", f"w{i} x y z") for i in range(200)] + [(1000, "b", "q " * 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = source_mix.mix(docs).collect()
+    assert len(got) == 201 and all(0 <= r.taken <= 3 * r["size"] for r in got)
+    for key in ("0a", "0b"):
+        assert abs(sum(r.taken for r in got if r.skey == key) - next(r.target for r in got if r.skey == key)) <= 4
+    assert Counter(map(tuple, got)) == Counter(map(tuple, source_mix.mix(docs.repartition(7)).collect()))
+
+
 def test_mix_of_many_sources_and_of_none(spark):
     rng = random.Random(4)
     rows = [(i, f"s{i % 37:02d}", " ".join("w" * rng.randint(0, 30))) for i in range(900)]

@@ -28,6 +28,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 
+# Categories and their colours, by position.
 CATEGORIES = ["Appliances", "Automotive", "Cell_Phones_and_Accessories", "Electronics", "Musical_Instruments", "Office_Products", "Tools_and_Home_Improvement", "Toys_and_Games"]
 COLORS = ["red", "blue", "brown", "orange", "yellow", "green", "purple", "cyan"]
 
@@ -77,17 +78,20 @@ fresh AS (SELECT * FROM priced WHERE p_brand <> 'Brand#11')
 """
 
 
+def priced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * (1 - F.col("l_discount")) * 10000) / F.lit(10000.0)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", price.alias("price"))
+
+
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
-    price = (F.floor(F.col("l_extendedprice") / F.col("l_quantity") * (1 - F.col("l_discount")) * 10000) / F.lit(10000.0)).alias("price")
-    return items.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", price, "p_name", "p_brand")
+    return priced_lines(spark, sf_dir).join(parts, F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey")
 
 
 def fresh_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Offers of parts that were not surfaced (Brand#11 stands for the surfaced ones), estimated by their part's mean price, whole to the fourth digit."""
+    """Offers of parts that were not surfaced (Brand#11 stands for the surfaced ones), estimated by their part's mean price, whole to the fourth digit. The means need no join with the parts: all lines of a part are offers, or none."""
     every = offers(spark, sf_dir)
-    means = every.groupBy("l_partkey").agg((F.expr("sum(cast(round(price * 10000) as bigint)) div count(*)") / F.lit(10000.0)).alias("mean"))
+    means = priced_lines(spark, sf_dir).groupBy("l_partkey").agg((F.expr("sum(cast(round(price * 10000) as bigint)) div count(*)") / F.lit(10000.0)).alias("mean"))
     memory = table(spark, sf_dir, "part").where("p_brand = 'Brand#11'").select(F.col("p_partkey").alias("l_partkey"))
     found = planner.opportunities(planner.unseen(every, memory, "l_partkey").join(means, "l_partkey"), F.col("mean"))
     return found.withColumn("discount", F.round("discount", 4))
@@ -608,16 +612,16 @@ c AS (SELECT *, CASE WHEN error < 40 OR error / truth < 0.2 THEN 'green' WHEN er
 """
 
 
-def errors(spark: SparkSession, sf_dir: str, size: int | None = None) -> DataFrame:
-    """A model that errs with the part's size, so that all colours occur."""
+def errors(spark: SparkSession, sf_dir: str, size: int | None = None, placed: bool = False) -> DataFrame:
+    """A model that errs with the part's size, so that all colours occur. i: the place among the first `size` parts, or if placed among all; else the id, which is enough for sums."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_retailprice").alias("price"), "p_size")
-    rows = evaluation.first_rows(part, size) if size else part.withColumn("i", F.col("id") + 1)
+    rows = evaluation.first_rows(part, size) if size else evaluation.numbered(part, scratch(spark), "id") if placed else part.withColumn("i", F.col("id"))
     return evaluation.error_rows(rows, F.col("price") + (F.col("p_size") - 25) * 20.0)
 
 
 @query(f"WITH {SQL_ERRORS} SELECT i, title, round(guess, 6) AS guess, truth, round(error, 6) AS error, color FROM c")
 def error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return errors(spark, sf_dir).withColumns({"guess": F.round("guess", 6), "error": F.round("error", 6)})
+    return errors(spark, sf_dir, placed=True).withColumns({"guess": F.round("guess", 6), "error": F.round("error", 6)})
 
 
 @query(f"WITH {SQL_ERRORS} SELECT color, count(*) AS n, round(avg(error), 6) AS mean_error FROM c GROUP BY color")
@@ -654,6 +658,13 @@ def running_error_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curve.select("i", "n", *(F.round(c, 6).alias(c) for c in ("mean", "ci", "upper", "lower")))
 
 
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS i FROM orders")
+def numbered_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every order by date, then key."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    return evaluation.numbered(rows, scratch(spark), "o_orderdate", "o_orderkey").select("o_orderkey", "i")
+
+
 @query("""WITH e AS (SELECT l_orderkey * 8 + l_linenumber AS i, sqrt(l_extendedprice) AS error FROM lineitem),
 s AS (SELECT i, row_number() OVER w AS n, avg(error) OVER w AS mean, 1.96 * coalesce(stddev_pop(error) OVER w, 0) / sqrt(row_number() OVER w) AS ci FROM e WINDOW w AS (ORDER BY i, error ROWS UNBOUNDED PRECEDING))
 SELECT i, n, round(mean, 4) AS mean, round(ci, 4) AS ci, round(mean + ci, 4) AS upper, round(mean - ci, 4) AS lower FROM s""")
@@ -686,7 +697,7 @@ def confidence_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SQL_ERRORS} SELECT i, color, title || chr(10) || 'Guess=$' || format('{{:,.2f}}', guess) || ' Actual=$' || format('{{:,.2f}}', truth) AS hover FROM c WHERE color = 'orange'")
 def color_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of one colour with their hover texts, as one trace of a plot."""
-    return evaluation.hover_text(errors(spark, sf_dir).where("color = 'orange'")).select("i", "color", "hover")
+    return evaluation.hover_text(errors(spark, sf_dir, placed=True).where("color = 'orange'")).select("i", "color", "hover")
 
 
 # ---- messages, logs, tools ----

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -110,12 +109,10 @@ def agent_log(name: Column, message: Column, color: str = "\033[37m", ground: st
 
 
 def display_title(name: Column) -> Column:
-    """Function names as titles. Python, since every letter behind a non-letter becomes upper case."""
-
-    def of(names: pd.Series) -> pd.Series:
-        return names.str.replace("__", ".", regex=False).str.replace("_", " ", regex=False).str.title().str.replace("Gpt", "GPT", regex=False)
-
-    return F.pandas_udf(of, "string")(name)
+    """Function names as titles: every run of cased letters, whatever stands before it, begins in upper case."""
+    plain = F.replace(F.replace(name, F.lit("__"), F.lit(".")), F.lit("_"), F.lit(" "))
+    runs = F.regexp_extract_all(plain, F.lit(r"[\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+"), F.lit(0))
+    return F.replace(F.array_join(F.transform(runs, F.initcap), ""), F.lit("Gpt"), F.lit("GPT"))
 
 
 def log_html(lines: Column) -> Column:

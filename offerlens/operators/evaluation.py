@@ -19,6 +19,23 @@ def first_rows(rows: DataFrame, size: int = DEFAULT_SIZE, key: str = "id") -> Da
     return rows.orderBy(key).limit(size).withColumn("i", F.row_number().over(Window.orderBy(key)).cast("long"))
 
 
+def numbered(rows: DataFrame, path: str, *order: str, parts: int | None = None) -> DataFrame:
+    """rows with their place in an order, from 1, in `i`; ids may have gaps or repeat. No task has more than a range of the rows.
+
+    Rows are written to path (a new folder that executors share) in ranges, rows of equal order dealt by chance, which also decides their places. The
+    ranges' counts, one row a range, give what comes before each. Nulls come first. An empty table gives an empty result.
+    """
+    keys = [*order, "__salt"]
+    dealt = rows.withColumn("__salt", F.rand(7))
+    ranged = (dealt.repartitionByRange(parts, *keys) if parts else dealt.repartitionByRange(*keys)).withColumn("__part", F.spark_partition_id())
+    ranged.write.parquet(path)
+    held = rows.sparkSession.read.schema(ranged.schema).parquet(path)
+    before = F.coalesce(F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = held.groupBy("__part").agg(F.count("*").alias("__rows")).select("__part", before.alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*keys))
+    return held.join(F.broadcast(offsets), "__part").withColumn("i", place + F.col("__before")).drop("__part", "__salt", "__before")
+
+
 def error_rows(rows: DataFrame, predictor: Column | Callable[[DataFrame], DataFrame]) -> DataFrame:
     """rows(i, title, price) with guess, truth, error, color; titles of at most 40 characters. Guesses may be numbers or texts."""
     guessed = rows.withColumn("guess", predictor) if isinstance(predictor, Column) else predictor(rows)

@@ -13,9 +13,9 @@ MOST_PRICED = 5
 
 def unseen(offers: DataFrame, memory: DataFrame, on: str = "url", most: int = 500_000) -> DataFrame:
     """Offers whose key was never surfaced. Offers of one batch that share a key all stay. The memory is broadcast if it is small."""
-    keys = memory.select(on).where(F.col(on).isNotNull()).distinct()
+    keys = memory.select(on).where(F.col(on).isNotNull())  # keys that repeat do no harm in an anti-join; counting them distinct would shuffle the memory twice
     small = keys.limit(most + 1).count() <= most
-    return offers.join(F.broadcast(keys) if small else keys, on, "left_anti")
+    return offers.join(F.broadcast(keys) if small else keys.distinct(), on, "left_anti")
 
 
 def with_price(offers: DataFrame) -> DataFrame:

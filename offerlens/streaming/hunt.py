@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..plans import hunt
 from ..schemas import STATE
@@ -22,7 +22,7 @@ def offers_stream(spark: SparkSession, path: str, schema: str, files: int = 1) -
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def start_hunt(offers: DataFrame, state_path: str, checkpoint: str, estimator: hunt.Estimator, notifier: Notifier | None = None, once: bool = False) -> StreamingQuery:
+def start_hunt(offers: DataFrame, state_path: str, checkpoint: str, estimator: hunt.Estimator, notifier: Notifier | None = None, once: bool = False, name: str | None = None) -> StreamingQuery:
     """Runs a hunt on each batch, every five minutes; once: on all that is there, batch by batch, then ends.
 
     Rejected offers may come again and are estimated again; only surfaced ones are remembered. A replayed batch
@@ -33,6 +33,7 @@ def start_hunt(offers: DataFrame, state_path: str, checkpoint: str, estimator: h
         hunt.run(batch.sparkSession, batch, state_path, batch_id, estimator, notifier)
 
     writer = offers.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    writer = writer.queryName(name) if name else writer
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=INTERVAL)).start()
 
 
@@ -49,6 +50,30 @@ def start_hunt_once(offers: DataFrame, path: str, estimator: hunt.Estimator, not
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=INTERVAL)).start()
 
 
+class HuntLines(StreamingQueryListener):
+    """Log lines of the hunt of one name from Spark's own reports of its start, batches and end. Register before the start: spark.streams.addListener(HuntLines(name, lines.append))."""
+
+    def __init__(self, name: str, line: Callable[[str], None]):
+        self.name, self.line, self.runs = name, line, set()
+
+    def onQueryStarted(self, event) -> None:
+        if event.name == self.name:
+            self.runs.add(str(event.runId))
+            self.line(f"{self.name} has begun")
+
+    def onQueryProgress(self, event) -> None:
+        if str(event.progress.runId) in self.runs and event.progress.numInputRows:
+            self.line(f"{self.name} has read batch {event.progress.batchId} with {event.progress.numInputRows} offers")
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if str(event.runId) in self.runs:
+            self.runs.discard(str(event.runId))
+            self.line(f"{self.name} has failed: {event.exception}" if event.exception else f"{self.name} has ended")
+
+
 def output_or_initial(final: DataFrame, initial: DataFrame) -> DataFrame:
     """The rows of a finished run, or the initial ones while it has none."""
     empty = final.limit(1).count() == 0

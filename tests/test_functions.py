@@ -66,7 +66,7 @@ def test_f07_to_f10_prompts(spark):
 
 
 def test_f15_titles(spark):
-    names = ["gpt_4__1_nano", "linear_regression", "it's_a_model"]
+    names = ["gpt_4__1_nano", "linear_regression", "it's_a_model", "", "a1b2__c", "éTÉ_ñandú", "漢a_字B", "GPTS__gpt"]
     assert column(spark, names, "string", text.display_title) == [n.replace("__", ".").replace("_", " ").title().replace("Gpt", "GPT") for n in names]
 
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import threading
+import time
 
 import numpy as np
 import pytest
@@ -14,7 +15,7 @@ from offerlens.operators import evaluation, planner, scorers, similarity
 from offerlens.plans import hunt
 from offerlens.sources import feeds, sinks, splits, state
 from offerlens.settings import Settings
-from offerlens.streaming.hunt import output_or_initial, start_hunt, updates
+from offerlens.streaming.hunt import HuntLines, output_or_initial, start_hunt, updates
 
 OFFERS = "product_description string, price double, url string, seq long, estimate double"
 
@@ -228,6 +229,37 @@ def test_updates_end_with_the_output(spark, tmp_path):
     assert len(seen[-1][0]) == 2 and seen[-1][1].first().deal.url == "a"
 
 
+def test_a_listener_tells_of_batches_and_the_end(spark, tmp_path):
+    schema = "product_description string, price double, url string, seq long, estimate double"
+    for k in range(2):
+        spark.createDataFrame([(f"x{k}", 10.0, f"a{k}", k, 100.0)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    lines = []
+    listener = HuntLines("hunt-a", lines.append)
+    spark.streams.addListener(listener)
+    try:
+        stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        for name in ("hunt-a", "hunt-b"):
+            start_hunt(stream(), f"file://{tmp_path}/state-{name}", str(tmp_path / f"cp-{name}"), estimator, once=True, name=name).awaitTermination()
+        for _ in range(100):
+            if lines and lines[-1].endswith("ended"):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert lines == ["hunt-a has begun", "hunt-a has read batch 0 with 1 offers", "hunt-a has read batch 1 with 1 offers", "hunt-a has ended"]
+
+
+@pytest.mark.parametrize("parts", [None, 1, 7])
+def test_numbered_rows(spark, tmp_path, parts):
+    """Gaps, nulls, an id that a third of all rows have, extra columns; an empty table."""
+    ids = [None, None, *([50] * 40), *range(0, 240, 3)]
+    rows = spark.createDataFrame([(k, f"t{n}", 9) for n, k in enumerate(ids)], "id long, i string, part int").repartition(5)
+    got = evaluation.numbered(rows, f"file://{tmp_path}/n", "id", parts=parts).orderBy("i").collect()
+    assert [r.i for r in got] == list(range(1, len(ids) + 1)) and got[0].part == 9
+    assert [r.id for r in got] == [None, None] + sorted(k for k in ids if k is not None)
+    assert evaluation.numbered(rows.limit(0), f"file://{tmp_path}/e", "id", parts=parts).count() == 0
+
+
 def test_settings(spark, monkeypatch):
     monkeypatch.setenv("OFFERLENS_FEED_HEAD", "7")
     spark.conf.set("spark.offerlens.threshold", "12.5")

@@ -16,6 +16,7 @@ from ..sources.versions import VersionedTable
 
 #: What an offer's estimate needs to be called with; remote models are swapped in here.
 Estimator = Callable[[DataFrame], DataFrame]
+# The tools' names.
 TOOLS = ("scan_the_internet_for_bargains", "estimate_true_value", "notify_user_of_deal")
 #: Rows of tool results that may be broadcast.
 MOST_RESULTS = 500_000

@@ -56,6 +56,7 @@ class ListHandler(logging.Handler):
     def __init__(self) -> None:
         super().__init__()
         self.lines: list[str] = []
+        # The format of a line and of its date.
         self.setFormatter(logging.Formatter("[%(asctime)s] %(message)s", datefmt="%Y-%m-%d %H:%M:%S %z"))
 
     def emit(self, record: logging.LogRecord) -> None:

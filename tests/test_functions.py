@@ -98,3 +98,13 @@ def test_f02_page(spark):
 
 def test_python_agrees_on_the_price_pattern():
     assert re.search(money.PRICE_PATTERN, "-5").group() == "5"
+
+
+def test_references_without_a_semicolon():
+    """Titles that were cut inside a reference keep it where only closed references are decoded."""
+    from offerlens.functions.html import element_text
+
+    page = "<article><h1>les&amp</h1> a &amp; b &copy; &#65; &#x42; &ampx; &no; A&B &</article>"
+    assert element_text(page, "article", closed=True) == "les&amp a & b \u00a9 A B &ampx; &no; A&B &"
+    assert element_text(page, "article").startswith("les& a & b")
+    assert element_text("<p>none</p>", "article", closed=True) is None

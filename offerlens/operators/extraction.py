@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -25,10 +26,14 @@ from pyspark.sql.functions import udtf
 WIDTH = 1 << 13
 #: A discount and the price that it is taken off stand at most so many amounts apart.
 APART = 2
-_TOKEN = re.compile(r"(?P<money>[$€£]\s?\d[\d,]*(?:\.\d{1,2})?(?!\d))|(?P<rate>\d{1,2}(?:\.\d+)?\s?%)|(?P<word>[^\W\d_]+)|(?P<stop>[.;!?:]|\n)")
+#: An amount is no part of a longer number, an address of the net or a row of signs: "$$$ 170.116.163.254" and "555-0569%%%" have none.
+_MONEY, _RATE = r"(?<![$€£])[$€£]\s?\d[\d,]*(?:\.\d{1,2})?(?!\d|\.\d)", r"(?<![\d.,])\d{1,2}(?:\.\d+)?\s?%(?!%)"
+_AMOUNT = re.compile(rf"(?P<money>{_MONEY})|(?P<rate>{_RATE})")
+_TOKEN = re.compile(r"(?P<word>[^\W\d_]+)|(?P<stop>[.;!?:]|\n)")
+#: Words that a context reaches, and the letters before an amount in which they are looked for first.
+REACH, _NEAR = 3, 64
 _BLANK = re.compile(r"\n\s*\n")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
-_AMOUNT = re.compile(r"[$€£]\s?\d|\d\s?%")
 OFFER = "offer int, product string, price double, confidence double, n_words int"
 
 
@@ -36,13 +41,13 @@ def _context(tokens: list[tuple[str, str]], i: int, mark: str) -> list[str]:
     """The words before and behind token i within its sentence, with their distance."""
     out, near = [], {}
     for step, side in ((-1, "b"), (1, "a")):
-        for d in range(1, 4):
+        for d in range(1, REACH + 1):
             k = i + step * d
             kind, word = tokens[k] if 0 <= k < len(tokens) else ("stop", "")
             word = "|" if kind == "stop" else f"<{kind}>" if kind != "word" else word
             near[side, d] = word
             out.append(f"{mark}{side}{d}:{word}")
-            if d < 3:
+            if d < REACH:
                 out.append(f"{mark}{side}:{word}")
             if kind == "stop":
                 break
@@ -50,11 +55,32 @@ def _context(tokens: list[tuple[str, str]], i: int, mark: str) -> list[str]:
     return out
 
 
+def _between(paragraph: str, start: int, end: int) -> list[tuple[str, str]]:
+    """The tokens between two amounts, but of many only the first and the last REACH: no context sees the others."""
+    found = lambda at: ((m.lastgroup or "", m[0].lower()) for m in _TOKEN.finditer(paragraph, at, end))
+    first = list(islice(found(start), 2 * REACH + 1))
+    if len(first) <= 2 * REACH:
+        return first
+    size = _NEAR
+    while True:  # the first of the last tokens may be cut
+        last = list(found(max(start, end - size)))
+        if len(last) > REACH or end - size <= start:
+            return first[:REACH] + last[-REACH:]
+        size *= 2
+
+
+def _tokens(paragraph: str) -> list[tuple[str, str]]:
+    """(kind, text) of the amounts and of what their contexts reach, by place."""
+    out, at = [], 0
+    for m in _AMOUNT.finditer(paragraph):
+        out += [*_between(paragraph, at, m.start()), (m.lastgroup or "", m[0].lower())]
+        at = m.end()
+    return out + _between(paragraph, at, len(paragraph)) if out else []
+
+
 def candidates(paragraph: str) -> list[tuple[float, list[str]]]:
     """(value, features) of each possible price, by place."""
-    if not _AMOUNT.search(paragraph):
-        return []
-    tokens = [(m.lastgroup or "", m[0].lower()) for m in _TOKEN.finditer(paragraph)]
+    tokens = _tokens(paragraph)
     found = []  # (token, kind, value, context)
     for i, (kind, t) in enumerate(tokens):
         if kind in ("money", "rate"):

@@ -68,3 +68,23 @@ def test_time_is_in_proportion(weights):
 def test_most_detailed_first(spark, weights):
     rows = spark.createDataFrame([(1, "A lamp. Now only $5."), (2, "A lamp of oak and brass. Now only $5."), (3, "A lamp of oak and brass. Now only $7.")], "id int, text string")
     assert [r.id for r in extraction.selected(extraction.extracted(rows, weights), 2, "id").collect()] == [2, 3]
+
+
+def test_amounts_are_no_parts_of_other_numbers(weights):
+    """Telephone numbers, addresses and rows of signs in a text beside its price."""
+    prices = lambda t: [round(o[2], 2) for o in extraction.offers(t, weights)]
+    noise = "thor$$$ 170.116.163.254### a%%% call +1 (064) 555-0569%%% or 126.57.31.34%%%"
+    assert extraction.candidates(noise) == []
+    assert prices(f"{noise}\nNow only $513.00.") == [513.0]
+    assert prices(f"{noise}\nTake $40.00 off the usual $300.00 price.") == [260.0]
+    assert prices(f"{noise}\nSave $40.00 today.") == []
+
+
+def test_long_texts_between_amounts_have_the_same_contexts():
+    """Only words that a context reaches are read; the features are those of a text that has no others."""
+    far = " ".join(f"word{'x' * (i % 90)}" for i in range(5000))
+    given = extraction.candidates(f"a b c {far} now only $40, was {far} it is $50 {far}")
+    tokens = extraction._tokens(f"a b c {far} now only $40, was {far} it is $50 {far}")
+    assert len(tokens) < 30 and [v for v, _ in given if v in (40, 50)] == [40.0, 50.0]
+    features = next(f for v, f in given if v == 40 and f[0] == "bias")
+    assert "own b1:only" in features and "own b2:now" in features and "own a1:was" in features

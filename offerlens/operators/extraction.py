@@ -18,6 +18,7 @@ from itertools import islice
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -35,6 +36,7 @@ REACH, _NEAR = 3, 64
 _BLANK = re.compile(r"\n\s*\n")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 OFFER = "offer int, product string, price double, confidence double, n_words int"
+_FIELDS = tuple(f.split()[0] for f in OFFER.split(", "))
 
 
 def _context(tokens: list[tuple[str, str]], i: int, mark: str) -> list[str]:
@@ -137,8 +139,16 @@ def offers(text: str | None, weights: np.ndarray, least: float = 0.5) -> Iterato
 
 
 def train_on(listings: DataFrame, most: int = 4000) -> np.ndarray:
-    """Weights from listings(text, price), price null where none is clear. A bounded sample: the `most` rows with the smallest hash of their text."""
-    rows = listings.where("text is not null").select("text", F.col("price").cast("double").alias("price")).orderBy(F.xxhash64("text"), "text").limit(most).collect()
+    """Weights from listings(text, price), price null where none is clear. A bounded sample: the `most` rows with the smallest hash of their text. The hashes that
+    can be among them are counted first, so that few rows are sorted."""
+    given = listings.where("text is not null").select("text", F.col("price").cast("double").alias("price"), F.xxhash64("text").alias("h"))
+    # the first 2^16-th parts of the range of hashes that hold enough rows: at most one row a part comes here
+    parts = given.groupBy(F.shiftright("h", 48).alias("part")).count().orderBy("part").collect()
+    ends = np.cumsum([r["count"] for r in parts])
+    if not len(ends):
+        return fit([])
+    last = parts[min(len(parts) - 1, int(np.searchsorted(ends, most)))]["part"]
+    rows = given.where(F.shiftright("h", 48) <= last).orderBy("h", "text").limit(most).collect()
     return fit([(r.text, r.price) for r in rows])
 
 
@@ -155,10 +165,14 @@ def register(spark: SparkSession, weights: np.ndarray, name: str = "offers", lea
 
 
 def extracted(listings: DataFrame, weights: np.ndarray, least: float = 0.5) -> DataFrame:
-    """The offers of listings(text, ...) beside their other columns."""
-    spark = listings.sparkSession
-    name = register(spark, weights, "offers_of_text", least)
-    return spark.sql(f"SELECT l.*, o.* FROM {{l}} l, LATERAL {name}(l.text) o", l=listings)
+    """The offers of listings(text, ...) beside their other columns. Texts go through Python by batches; the table function, which SQL calls, goes row by row."""
+    sent = listings.sparkSession.sparkContext.broadcast(weights.astype(np.float64))
+
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [dict(zip(_FIELDS, o)) for o in offers(t, sent.value, least)])
+
+    found = F.pandas_udf(of, f"array<struct<{', '.join(f.replace(' ', ': ') for f in OFFER.split(', '))}>>")
+    return listings.select("*", F.inline(found(F.col("text"))))
 
 
 def selected(found: DataFrame, n: int, *key: str) -> DataFrame:

@@ -29,3 +29,29 @@ def test_the_sample_is_that_of_the_smallest_hashes(spark):
     rows = spark.range(3000).select(F.concat(F.lit("A lamp "), F.col("id").cast("string"), F.lit(". Now only $5.")).alias("text"), F.lit(5.0).alias("price"))
     first = rows.orderBy(F.xxhash64("text"), "text").limit(100).collect()
     assert (extraction.train_on(rows, most=100) == extraction.fit([(r.text, r.price) for r in first])).all()
+
+
+def test_distances_are_taken_by_tiles():
+    """The matrix of distances of a batch is never whole: its memory would grow with the queries."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from offerlens.operators import similarity
+
+    rng = np.random.default_rng(0)
+
+    def batch(n, at):
+        v = rng.integers(-3, 4, (n, 8)).astype(np.float32)
+        return v, pa.RecordBatch.from_arrays([pa.array(np.arange(n) + at), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 8), pa.array(v.ravel()))], names=["id", "embedding"])
+
+    (q, asked), (x, given) = batch(700, 0), batch(9000, 100)
+    tracemalloc.start()
+    found = [r for b in similarity._best(asked, given, 5, 9) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20  # the whole matrix has 50 MB, its copies 150
+    distance = np.round(np.sqrt(((q[:, None].astype(float) - x[None]) ** 2).sum(2)), 9)
+    wanted = {(i, int(j) + 100) for i in range(700) for j in np.lexsort((np.arange(9000), distance[i]))[:5]}
+    assert {(r["query_id"], r["id"]) for r in found} == wanted and len(found) == 3500

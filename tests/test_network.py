@@ -91,3 +91,24 @@ def test_blocks_dropout_and_no_rows(spark, listings, tmp_path):
     assert none == [] and same is begun
     with pytest.raises(ValueError):
         training.trained(listings, buckets, scorers.ResidualNetwork.random(inputs=5000, hidden=900, layers=2), f"file://{tmp_path}/f")
+
+
+def test_a_network_scores_a_bounded_number_of_texts_at_once():
+    import numpy as np
+    import pandas as pd
+
+    from offerlens.operators import scorers
+
+    network, sizes = scorers.ResidualNetwork.random(inputs=64, hidden=4, layers=3), []
+
+    class Watched(scorers.ResidualNetwork):
+        def __call__(self, x):
+            sizes.append(len(x))
+            return super().__call__(x)
+
+    ids = pd.Series([None, [], *([i % 64, (i * 7 + 1) % 64] for i in range(2998))])
+    found = scorers.scored(Watched(network.first, network.blocks, network.last), ids)
+    dense = np.zeros((3000, 64))
+    for i, at in enumerate(ids):
+        dense[i, at or []] = 1 / np.sqrt(len(at or [1]))
+    assert max(sizes) <= 256 and np.allclose(found, network(dense)) and len(scorers.scored(network, ids[:0])) == 0

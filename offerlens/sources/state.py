@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..schemas import OPPORTUNITY, STATE
 
+#: Rows of one file of a JSON array, about; one task writes it, and one reads it.
+FILE_ROWS = 50_000
 #: Rows that a reset keeps.
 RESET_ROWS = 2
 
@@ -30,8 +32,9 @@ def read_json_state(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(OPPORTUNITY).option("multiLine", array).option("mode", "FAILFAST").json(path)
 
 
-def write_json_state(state: DataFrame, path: str, array: bool = False) -> None:
-    """Overwrites a JSON state: a row a line, by all tasks; or one indented array for exchange, which one task writes row by row."""
+def write_json_state(state: DataFrame, path: str, array: bool = False, file_rows: int = FILE_ROWS) -> None:
+    """Overwrites a JSON state: a row a line, by all tasks; or indented arrays for exchange: one file up to file_rows rows, beyond it several, each an array of its
+    own, as a reader takes an array whole."""
     rows = state.select(*OPPORTUNITY.fieldNames())
     if not array:
         rows.write.mode("overwrite").json(path)
@@ -48,8 +51,10 @@ def write_json_state(state: DataFrame, path: str, array: bool = False) -> None:
             yield pd.DataFrame({"value": out})
         yield pd.DataFrame({"value": ["]" if sep == "," else "[]"]})
 
-    text = rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1)
-    text.mapInPandas(lines, "value string").coalesce(1).write.mode("overwrite").text(path)
+    text = rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    files = -(-text.count() // file_rows)
+    text = text.repartition(files) if files > 1 else text.coalesce(1)  # evenly, however often a row repeats
+    text.mapInPandas(lines, "value string").write.mode("overwrite").text(path)
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:

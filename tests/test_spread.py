@@ -55,3 +55,20 @@ def test_distances_are_taken_by_tiles():
     distance = np.round(np.sqrt(((q[:, None].astype(float) - x[None]) ** 2).sum(2)), 9)
     wanted = {(i, int(j) + 100) for i in range(700) for j in np.lexsort((np.arange(9000), distance[i]))[:5]}
     assert {(r["query_id"], r["id"]) for r in found} == wanted and len(found) == 3500
+
+
+def test_a_large_array_of_states_is_several_files(spark, tmp_path):
+    """A JSON array is read whole by one task, so a file has a bounded number of rows; a small state stays one array."""
+    import glob
+    import json
+
+    from offerlens.sources import state
+
+    rows = catalogue.opportunity_rows(spark, BASE).cache()
+    for file_rows, least in ((1000, 1), (20, 5)):
+        path = f"{tmp_path}/{file_rows}"
+        state.write_json_state(rows, f"file://{path}", array=True, file_rows=file_rows)
+        files = glob.glob(f"{path}/part-*")
+        sizes = [len(json.load(open(f))) for f in files]
+        assert (len(files) == 1 if least == 1 else len(files) >= least) and sum(sizes) == 200 and max(sizes) <= 2 * file_rows
+        assert sorted(map(str, state.read_json_state(spark, f"file://{path}").collect())) == sorted(map(str, rows.collect()))

@@ -85,3 +85,12 @@ def test_empty_and_tiny(spark, tmp_path):
     assert [(r.query_id, r.id, r.distance) for r in vector_index.search(index, one).collect()] == [(1, 1, 0.0)]
     assert vector_index.search(index, none).count() == 0
     assert vector_index.recall(none.select(F.col("id").alias("query_id"), F.lit(0.0).alias("distance")), none.select(F.col("id").alias("query_id"), F.lit(0.0).alias("distance"))).first().queries == 0
+
+
+def test_the_sample_is_fitted_by_many_tasks(spark, made):
+    """A limit leaves one part: k-means went through one task. A rerun gives the same centres."""
+    corpus, index, path = made
+    files = spark.read.parquet(f"{path}/sample").select(F.input_file_name().alias("f")).distinct().count()
+    assert files > 1
+    again = vector_index.train(corpus.repartition(3, "id"), f"{path}/again", parts=4)
+    assert np.array_equal(again.centres, index.model.centres) and np.array_equal(again.books, index.model.books)

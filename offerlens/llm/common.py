@@ -18,11 +18,25 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 500_000
 #: A key with at least this share of all rows is dealt with by broadcast, so there are at most 1/HOT_SHARE such keys.
 HOT_SHARE = 1 / 5000
+#: Bytes of an Arrow batch that Spark sends to a Python task, and the row that ends it. Less than a part of slices(), so a batch is one part.
+BATCH_BYTES = 2 << 20
 
 _made: list[tuple[SparkSession, str]] = []
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have BATCH_BYTES at most, besides 10,000 rows: those of long texts would fill the executors' memory.
+
+    Spark reads this when a plan is executed, so it stays set; a lower value of the user's stays too.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([a-z]?)[a-z]*\s*", spark.conf.get(name).lower()).groups()
+    if int(number) << 10 * "bkmgtp".index(unit or "b") > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,6 +54,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cuts the lineage: writes a table in the shared folder and reads it again. Survives lost executors."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/offerlens/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append((spark, path))

@@ -148,7 +148,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
     for q, *_, n, size in chosen:
         sizes[q][size] = sizes[q].get(size, 0) + n
     bounds = [text_bound(sizes[q], sample_bytes) for q in (0, 1)]
-    table = docs.sparkSession.createDataFrame([c[:4] for c in chosen], "quality int, place long, doc_id long, rid long")
+    # as an Arrow table, for which executors start no Python workers of another kind
+    fields = pa.schema([("quality", pa.int32()), ("place", pa.int64()), ("doc_id", pa.int64()), ("rid", pa.int64())])
+    table = docs.sparkSession.createDataFrame(pa.Table.from_pylist([dict(zip(fields.names, c)) for c in chosen], schema=fields))
     sample = rows.join(F.broadcast(table), ["doc_id", "rid"])
     schema = pa.schema([("quality", pa.int32()), ("doc_id", pa.int64()), ("rid", pa.int64()), ("part", pa.binary())])
 

@@ -4,10 +4,12 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from offerlens.llm import exact_dedup, near_dedup, substring_dedup
+from offerlens.llm.common import BATCH_BYTES, materialize, read_table
 from offerlens.llm.graph import components
 
 
@@ -280,3 +282,36 @@ def test_empty_tables(no_docs):
     assert near_dedup.near_dedup(no_docs).count() == 0
     assert near_dedup.near_dedup_rows(no_docs).count() == 0
     assert substring_dedup.substring_dedup(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("given, left", [("64m", "2097152"), ("1g", "2097152"), ("2097153b", "2097152"), ("2mb", "2mb"), ("65536", "65536")])
+def test_python_gets_long_texts_by_bytes(spark, tmp_path, given, left):
+    """A batch of 10,000 long texts would be as large as they are, in the JVM's and in Python's memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 500).alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, given)
+        docs = read_table(spark, str(tmp_path), "documents")
+        assert spark.conf.get(name) == left
+        sizes = [r.n for r in docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()]
+        assert sum(sizes) > 2000 * 5500 and max(sizes) < BATCH_BYTES + 6000
+        spark.conf.set(name, given)
+        materialize(docs.limit(1), "few")
+        assert spark.conf.get(name) == left
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_near_equals_itself_in_small_batches(spark, docs):
+    """Where batches end changes nothing."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    found = []
+    try:
+        for most in ("2m", "3000"):
+            spark.conf.set(name, most)
+            found.append(Counter(map(tuple, near_dedup.near_dedup(docs, words=2).collect())))
+    finally:
+        spark.conf.set(name, before)
+    assert found[0] == found[1]

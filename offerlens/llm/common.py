@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a lookup side that may be broadcast, by what a row may hold.
 BROADCAST_ROWS = 500_000
+#: Rows of a table in one file, where the most it can have is known.
+FILE_ROWS = 20_000
 #: A key with at least this share of all rows is dealt with by broadcast, so there are at most 1/HOT_SHARE such keys.
 HOT_SHARE = 1 / 5000
 #: Bytes of an Arrow batch that Spark sends to a Python task, and the row that ends it. Less than a part of slices(), so a batch is one part.
@@ -51,9 +53,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage: writes a table in the shared folder and reads it again. Survives lost executors."""
+def materialize(df: DataFrame, tag: str, rows: int | None = None, each: int = FILE_ROWS) -> DataFrame:
+    """Cuts the lineage: writes a table in the shared folder and reads it again. Survives lost executors.
+
+    rows: the most that it can have, if its last step follows a shuffle; then tasks for `each` rows write it, and not one for each partition of the shuffle.
+    """
     spark = df.sparkSession
+    df = df if rows is None else df.coalesce(max(1, -(-rows // each)))
     bound_batches(spark)
     path = f"{shared_dir(spark)}/offerlens/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -44,6 +44,8 @@ GROUPS, HALF = 8, 2
 HASHES = 2 * GROUPS * HALF
 #: Pairs with one pivot that one task's group confirms.
 PIVOT_PAIRS = 256
+#: Classes in one file, rows of few numbers in one file, and pairs or rows with lists of differences that one task gets, where many are needed.
+CLASS_ROWS, NARROW_ROWS, LIST_ROWS = 8_000, 200_000, 500
 #: Numbers that a broadcast lookup of groups may hold.
 GROUP_NUMBERS = 2_000_000
 _ODD = mix64(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
@@ -142,14 +144,14 @@ def table_rows(classes: DataFrame) -> DataFrame:
     return classes.select("node", "signature").mapInArrow(run, "key long, node long")
 
 
-def met_pivots(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, pivot, shared: buckets), and (node, weight) of the classes in buckets with others. A bucket's pivot is its class with most weight: classes met in all its buckets."""
+def met_pivots(classes: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(node, pivot, shared: buckets), and (node, weight) of the n classes in buckets with others. A bucket's pivot is its class with most weight: classes met in all its buckets."""
     busy = table_rows(classes).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(table_rows(classes).join(busy.hint("merge"), "key"), "buckets")
-    weights = materialize(members.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
+    members = materialize(table_rows(classes).join(busy.hint("merge"), "key"), "buckets", n * GROUPS * GROUPS, NARROW_ROWS)
+    weights = materialize(members.groupBy("node").agg(F.sum("n").alias("weight")), "weights", n)
     tops = members.join(weights.hint("merge"), "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
     met = members.join(tops.hint("merge"), "key").where("node != pivot").groupBy("node", "pivot").agg(F.count("*").alias("shared"))
-    met = materialize(met, "met")
+    met = materialize(met, "met", n * GROUPS * GROUPS, NARROW_ROWS)
     discard(members)
     return met, weights
 
@@ -159,17 +161,20 @@ def compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int,
 
     A pivot's text meets at most PIVOT_PAIRS or so others in a group; a task holds one pivot's set at a time.
     """
+    total = pairs.count()
     many = pairs.groupBy("pivot").agg((F.floor((F.count("*") - 1) / PIVOT_PAIRS) + 1).alias("parts")).where("parts > 1")
-    dealt = join_checked(pairs.select("node", "pivot"), materialize(many, "large-pivots"), ["pivot"])
+    dealt = join_checked(pairs.select("node", "pivot"), materialize(many, "large-pivots", total // PIVOT_PAIRS), ["pivot"])
     dealt = materialize(dealt.select("node", "pivot", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")), "dealt")
     wanted = dealt.select("node").unionByName(dealt.select(F.col("pivot").alias("node"))).distinct()
-    rows = materialize(classes.join(wanted, "node").select("node", F.col("rep").alias("doc_id"), "rid"), "wanted")
+    rows = materialize(classes.join(wanted, "node").select("node", F.col("rep").alias("doc_id"), "rid"), "wanted", 2 * total)
     count = rows.count()
     found_texts = materialize(join_checked(with_rid(docs), rows, ["doc_id", "rid"], "inner", count).select("node", "text"), "texts")
     texts = found_texts if found_texts.count() == count else found_texts.dropDuplicates(["node"])  # rows that repeat
-    pivots = dealt.select(F.col("pivot").alias("node"), "part").distinct().join(texts, "node").select(F.col("node").alias("pivot"), "part", F.lit(None).cast("long").alias("node"), "text")
-    both = pivots.unionByName(dealt.join(texts, "node").select("pivot", "part", "node", "text"))
+    pivots = dealt.select("pivot", "part").distinct().select("pivot", "part", F.lit(None).cast("long").alias("node"), F.col("pivot").alias("who"))
+    both = pivots.unionByName(dealt.select("pivot", "part", "node", F.col("node").alias("who")))
+    both = both.join(texts.withColumnRenamed("node", "who"), "who").select("pivot", "part", "node", "text")
     both = both.repartition("pivot", "part").sortWithinPartitions("pivot", "part", F.col("node").asc_nulls_first())
+    both = both.coalesce(max(1, -(-total // LIST_ROWS)))  # groups stay whole and in order
     fields = [("node", pa.int64()), ("pivot", pa.int64()), ("linked", pa.bool_())] + [("size", pa.int64()), ("added", pa.list_(pa.int64())), ("removed", pa.list_(pa.int64()))] * differences
     schema = pa.schema(fields)
 
@@ -202,21 +207,23 @@ def links(found: DataFrame) -> DataFrame:
 
 def apart(pairs: DataFrame, parts: DataFrame, a: str, b: str) -> DataFrame:
     """pairs whose ends are in different components, with these as ca and cb."""
-    of = lambda who, name: parts.select(F.col("node").alias(who), F.col("component").alias(name))
-    placed = pairs.join(of(a, "ca"), a, "left").join(of(b, "cb"), b, "left")
+    rows = parts.count()
+    of = lambda t, who, name: join_checked(t, parts.select(F.col("node").alias(who), F.col("component").alias(name)), [who], "left", rows)
+    placed = of(of(pairs, a, "ca"), b, "cb")
     return placed.withColumns({"ca": F.coalesce("ca", a), "cb": F.coalesce("cb", b)}).where("ca != cb")
 
 
 def groups(pairs: DataFrame, parts: DataFrame, weights: DataFrame) -> DataFrame:
     """(node, pivot: the centre) of the groups to be searched; pairs(node, pivot): those that are not linked."""
-    outside = materialize(apart(pairs, parts, "node", "pivot").select("node", "ca", F.col("cb").alias("g")).distinct(), "outside")
-    heads = materialize(outside.groupBy("g").agg(F.min("ca").alias("lo"), F.max("ca").alias("hi")), "heads")
-    named = join_checked(weights.join(parts, "node", "left").select("node", "weight", F.coalesce("component", "node").alias("g")), heads, ["g"], "inner")
+    outside = materialize(apart(pairs, parts, "node", "pivot").select("node", "ca", F.col("cb").alias("g")).distinct(), "outside", pairs.count(), NARROW_ROWS)
+    total, classes = outside.count(), weights.count()
+    heads = materialize(outside.groupBy("g").agg(F.min("ca").alias("lo"), F.max("ca").alias("hi")), "heads", total)
+    named = join_checked(join_checked(weights, parts, ["node"]).select("node", "weight", F.coalesce("component", "node").alias("g")), heads, ["g"], "inner")
     sized = named.groupBy("g").agg(F.count("*").alias("members"), F.max(F.struct("weight", "node")).alias("top"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
-    sized = materialize(sized.where("members > 1 or lo != hi").select("g", F.col("top.node").alias("pivot")), "centres")  # else all pairs of the group were compared
+    sized = materialize(sized.where("members > 1 or lo != hi").select("g", F.col("top.node").alias("pivot")), "centres", min(total, classes))  # else all pairs of the group were compared
     rows = sized.count()
     of = lambda t: join_checked(t, sized, ["g"], "inner", rows).select("node", "pivot")
-    return materialize(of(named.select("g", "node")).unionByName(of(outside.select("g", "node"))).where("node != pivot").distinct(), "groups")
+    return materialize(of(named.select("g", "node")).unionByName(of(outside.select("g", "node"))).where("node != pivot").distinct(), "groups", total + classes)
 
 
 def _size_sum(x: str, y: str) -> Column:
@@ -235,12 +242,13 @@ def around_consensus(found: DataFrame, percent: int) -> DataFrame:
     centre = found.groupBy("pivot").agg(F.first("size").alias("size"))
     none = F.array().cast("array<long>")
     rows = found.select(F.col("pivot").alias("g"), "node", "size", "added", "removed").unionByName(centre.select(F.col("pivot").alias("g"), F.col("pivot").alias("node"), "size", none.alias("added"), none.alias("removed")))
-    sizes = materialize(rows.groupBy("g").agg(F.count("*").alias("n")), "group-sizes")
+    total = found.count()
+    sizes = materialize(rows.groupBy("g").agg(F.count("*").alias("n")), "group-sizes", total)
     each = rows.select("g", F.explode(F.concat(F.transform("added", lambda x: F.struct(x.alias("x"), F.lit(True).alias("new"))), F.transform("removed", lambda x: F.struct(x.alias("x"), F.lit(False).alias("new"))))).alias("d"))
     often = each.groupBy("g", "d.x", "d.new").agg(F.count("*").alias("k")).where("k > 1")
     often = _by_group(often, sizes).where("2 * k > n")
     flips = often.groupBy("g").agg(F.collect_list(F.when(F.col("new"), F.col("x"))).alias("fa"), F.collect_list(F.when(~F.col("new"), F.col("x"))).alias("fr"))  # at most twice a set's size
-    flips = materialize(sizes.select("g").join(flips, "g", "left").select("g", F.coalesce("fa", none).alias("fa"), F.coalesce("fr", none).alias("fr")), "flips")
+    flips = materialize(sizes.select("g").join(flips, "g", "left").select("g", F.coalesce("fa", none).alias("fa"), F.coalesce("fr", none).alias("fr")), "flips", total, LIST_ROWS)
     with_flips = _by_group(rows, flips)
     a = F.concat(F.array_except("added", "fa"), F.array_except("fr", "removed"))
     r = F.concat(F.array_except("removed", "fr"), F.array_except("fa", "added"))
@@ -269,16 +277,17 @@ def middle_links(around: DataFrame, percent: int) -> DataFrame:
 
 def far_links(around: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """(a, b): links within a group between classes of different components, of which at least one isn't in the component of the class nearest to the consensus."""
-    rows = around.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    rows = join_checked(around, parts, ["node"]).withColumn("part", F.coalesce("component", "node")).drop("component")
     heads = rows.groupBy("g").agg(F.min(F.struct("w", "node", "part")).alias("y"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi")
-    heads = materialize(heads.select("g", F.col("y.part").alias("main"), F.col("y.w").alias("w_near")), "heads")
+    heads = materialize(heads.select("g", F.col("y.part").alias("main"), F.col("y.w").alias("w_near")), "heads", around.count())
     rows = materialize(_by_group(rows, heads).withColumn("out", F.col("part") != F.col("main")), "rows")
     least = rows.groupBy("g").agg(F.min(F.when(F.col("out"), F.col("w"))).alias("w_out"))
     rows = materialize(_by_group(rows.drop("main"), least), "rows-bounds")
     tokens = rows.select("g", "node", "part", "out", F.explode(F.concat(F.transform("a", lambda x: F.struct(x.alias("x"), F.lit(0).alias("kind"))), F.transform("r", lambda x: F.struct(x.alias("x"), F.lit(1).alias("kind"))))).alias("d"))
     tokens = tokens.select("g", "node", "part", "out", "d.x", "d.kind")
     shared = tokens.groupBy("g", "x").agg(F.count("*").alias("n"), F.max("out").alias("o"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("n > 1 and o and lo != hi").select("g", "x", "n")
-    shared = materialize(shared, "shared")
+    total = rows.agg(F.coalesce(F.sum("na") + F.sum("nr"), F.lit(0))).first()[0]
+    shared = materialize(shared, "shared", total // 2, NARROW_ROWS)
     met = tokens.join(shared.hint("merge"), ["g", "x"]).select("g", "node", "x", "kind", "n")
     kept = F.count("*").over(Window.partitionBy("g", "node", "kind"))
     place = F.row_number().over(Window.partitionBy("g", "node", "kind").orderBy("n", "x"))
@@ -289,7 +298,7 @@ def far_links(around: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     at = F.col("place") + F.when(F.col("kind") == 0, F.col("na") - F.col("kept")).otherwise(F.col("na") + F.col("nr") - F.col("kept"))
     prefix = lambda other: F.col("na") + F.col("nr") - F.greatest(F.lit(1), F.ceil(F.col("w") + F.col(other) - F.col("free") - 1e-6)) + 1
     met = met.withColumns({"with_out": at <= prefix("w_out"), "with_near": F.col("out") & (at <= prefix("w_near"))}).where("with_out or with_near")
-    met = materialize(met.drop("place", "kept", "n", "w_out", "w_near"), "prefixes")
+    met = materialize(met.drop("place", "kept", "n", "w_out", "w_near"), "prefixes", total, NARROW_ROWS)
     p, q = met.where("out").alias("p"), met.alias("q")
     need = F.col("p.w") + F.col("q.w") - F.col("p.free") - 1e-6
     fits = F.least("p.nr", "q.nr") + F.when(F.col("p.kind") == 0, F.least("p.na", "q.na")).otherwise(0) >= need
@@ -311,12 +320,13 @@ def flagged(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """near_dedup() with the text's hash (rid) and the component (part) of each row."""
     docs = docs.select("doc_id", "text")
     rows = materialize(sketches(docs, words), "sketches")
+    total = rows.count()
     full = rows.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("node").agg(F.min(F.struct("doc_id", "rid", "signature")).alias("m"), F.count("*").alias("n"))
-    classes = materialize(classes.select("node", F.col("m.doc_id").alias("rep"), F.col("m.rid").alias("rid"), F.col("m.signature").alias("signature"), "n"), "classes")
-    met, weights = met_pivots(classes)
+    classes = materialize(classes.select("node", F.col("m.doc_id").alias("rep"), F.col("m.rid").alias("rid"), F.col("m.signature").alias("signature"), "n"), "classes", total, CLASS_ROWS)
+    met, weights = met_pivots(classes, classes.count())
     best = met.groupBy("node").agg(F.max(F.struct("shared", "pivot")).alias("b")).select("node", F.col("b.pivot").alias("pivot"))
-    first = compared(docs, classes, materialize(best, "best"), words, percent)
+    first = compared(docs, classes, materialize(best, "best", weights.count()), words, percent)
     found = links(first)
     parts = components(found)
     again = apart(met.join(first, ["node", "pivot"], "left_anti"), parts, "node", "pivot").select("node", "pivot")
@@ -332,11 +342,11 @@ def flagged(docs: DataFrame, words: int, percent: int) -> DataFrame:
         far = far_links(around, parts, percent)
         if not far.isEmpty():
             parts = components(found.unionByName(far))
-    named = classes.join(parts, "node", "left").select("node", "n", "rep", F.coalesce("component", "node").alias("part"))
+    named = join_checked(classes, parts, ["node"]).select("node", "n", "rep", F.coalesce("component", "node").alias("part"))
     least = named.groupBy("part").agg(F.min("rep").alias("component_id"), F.count("*").alias("k"), F.sum("n").alias("n")).where("k > 1 or n > 1").drop("k", "n")
-    named = join_checked(named, materialize(least, "components"), ["part"], "inner").select("node", "n", "component_id", "part")
+    named = join_checked(named, materialize(least, "components", total), ["part"], "inner").select("node", "n", "component_id", "part")
     named = materialize(named, "named")
-    out = join_hot(rows.select("doc_id", "rid", "n_shingles", "node"), named, "node", "n", rows.count())
+    out = join_hot(rows.select("doc_id", "rid", "n_shingles", "node"), named, "node", "n", total)
     linked = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", linked.alias("component_id"), F.col("doc_id").eqNullSafe(linked).alias("kept"), "rid", F.coalesce("part", "node").alias("part"))
 

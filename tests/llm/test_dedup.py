@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from offerlens.llm import exact_dedup, near_dedup, substring_dedup
+from offerlens.llm import exact_dedup, graph, near_dedup, substring_dedup
 from offerlens.llm.common import BATCH_BYTES, materialize, read_table
 from offerlens.llm.graph import components
 
@@ -220,6 +220,25 @@ def test_components_of_a_star_with_a_tail(spark, most):
     assert components(spark.createDataFrame([], "a long, b long"), most).count() == 0
 
 
+def test_small_tables_of_components_are_not_a_file_for_each_partition(spark, monkeypatch):
+    """As they were with a fixed number of shuffle partitions: each turn then started that many tasks for a few rows."""
+    made = []
+    monkeypatch.setattr(graph, "materialize", lambda df, tag, *a: made.append((tag, materialize(df, tag, *a))) or made[-1][1])
+    files = []
+    monkeypatch.setattr(graph, "discard", lambda *tables: files.extend(len(t.inputFiles()) for t in tables))
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, x in held.items():
+            spark.conf.set(k, x)
+        pairs = spark.range(300).selectExpr("id as a", "id - id % 3 as b").where("a != b").coalesce(1)
+        assert {(r.node, r.component) for r in components(pairs).collect()} == {(i, i - i % 3) for i in range(300)}
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+    assert max(files) <= 2 and all(tag in ("edges", "labels") for tag, _ in made)
+
+
 def brute_substring(rows, window=13):
     first = {}
     words = [(r[0], (r[1] or "").encode().split()) for r in rows]

@@ -159,14 +159,18 @@ class MaxEnt:
         return [_hashed(x | by, k, self.rows) for k, x in enumerate((context & ((1 << self.bits) - 1), context >> self.bits, context), 1)]
 
     def class_log(self, rows: list[np.ndarray]) -> np.ndarray:
-        x = self.class_w[rows[0]] + self.class_w[rows[1]] + self.class_w[rows[2]] + self.class_bias
+        """In scratch memory, until the next call."""
+        x = _row_sums(self.class_w, rows)
+        x += self.class_bias
         return _log_softmax(x)
 
     def word_log(self, rows: list[np.ndarray], group: np.ndarray) -> np.ndarray:
-        x = self.word_w[rows[0]] + self.word_w[rows[1]] + self.word_w[rows[2]] + self.word_bias[group]
+        """In scratch memory, until the next call."""
+        x = _row_sums(self.word_w, rows)
+        x += _taken("other", self.word_bias, group)
         return _log_softmax(x)
 
-    def log10(self, triple: np.ndarray, block: int = 1 << 15) -> np.ndarray:
+    def log10(self, triple: np.ndarray, block: int = 1 << 13) -> np.ndarray:
         """log10 P(class) and, for head words, of the word in it, of sorted distinct triples."""
         out = np.zeros(len(triple))
         for i in range(0, len(triple), block):
@@ -211,23 +215,74 @@ class MaxEnt:
         """One step; event i of context at[i] is target[i], with weight[i]."""
         g = np.exp(log, out=log)
         g *= -np.bincount(at, weight, len(g)).astype(np.float32)[:, None]
-        flat = at * np.int64(g.shape[1]) + target
-        g += np.bincount(flat, weight, g.size).astype(np.float32).reshape(g.shape)
+        flat, place = np.unique(at * np.int64(g.shape[1]) + target, return_inverse=True)
+        g.reshape(-1)[flat] += np.bincount(place, weight).astype(np.float32)
         for r in rows:
+            r = r.astype(np.uint16) if len(w) <= 1 << 16 else r  # sorted by radix
             order = np.argsort(r, kind="stable")
-            own, first = np.unique(r[order], return_index=True)
-            d = np.add.reduceat(g[order], first, axis=0)
-            s = squares[own]
-            s += d * d
+            r = r[order]
+            first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+            own = r[first].astype(np.int64)
+            d = _segment_sums(g, order, first)
+            s = _taken("squares", squares, own)
+            s += np.multiply(d, d, out=_scratch("ordered", *d.shape))
             squares[own] = s
             d *= RATE
             d /= np.sqrt(s, out=s)
-            w[own] += d
+            d += _taken("squares", w, own)
+            w[own] = d
+
+
+_memory: dict[str, np.ndarray] = {}
+
+
+def _scratch(name: str, n: int, width: int) -> np.ndarray:
+    """An array [n, width] of float32 in memory that is used again: fresh memory for each step's arrays costs more time than their sums."""
+    have = _memory.get(name)
+    if have is None or len(have) < n * width:
+        have = _memory[name] = np.empty(n * width, np.float32)
+    return have[: n * width].reshape(n, width)
+
+
+def _taken(name: str, x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """x[rows] in scratch memory."""
+    return np.take(x, rows, axis=0, out=_scratch(name, len(rows), x.shape[1]), mode="clip")
+
+
+def _segment_sums(x: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows x[order] from each place of first to the next, in scratch memory: by pairs, then pairs of pairs."""
+    many = np.diff(np.append(first, len(order)))
+    out = _taken("sums", x, order[first])
+    long = np.flatnonzero(many > 1)  # most have one row
+    if not len(long):
+        return out
+    many = many[long]
+    begin = np.cumsum(many) - many
+    place = np.arange(many.sum()) - np.repeat(begin, many)
+    rows = _taken("ordered", x, order[np.repeat(first[long], many) + place])
+    at = np.arange(len(rows))
+    while len(at) > len(long):
+        right = np.flatnonzero(place & 1)
+        left = at[right - 1]
+        pair = _taken("other", rows, left)
+        pair += _taken("squares", rows, at[right])
+        rows[left] = pair
+        stay = place & 1 == 0
+        at, place = at[stay], place[stay] >> 1
+    out[long] = _taken("other", rows, at)
+    return out
+
+
+def _row_sums(w: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    x = _taken("log", w, rows[0])
+    for r in rows[1:]:
+        x += _taken("other", w, r)
+    return x
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
     x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+    x -= np.log(np.exp(x, out=_scratch("other", *x.shape)).sum(axis=1, keepdims=True))
     return x
 
 

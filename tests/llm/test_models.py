@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -79,6 +80,31 @@ def test_lm_steps_follow_the_gradient():
     assert np.allclose(w, lm_score.RATE * want, atol=1e-3)
 
 
+def test_lm_steps_use_their_memory_again():
+    """A step's arrays were fresh ones, which took most of its time. Sums of rows by pairs equal plain ones."""
+    rng = np.random.default_rng(3)
+    w, squares = np.zeros((2000, 64), np.float32), np.full((2000, 64), 1e-8, np.float32)
+    rows = [np.minimum(rng.zipf(1.3, 6000), 1999), rng.integers(0, 2000, 6000)]
+    at, target, weight = np.sort(rng.integers(0, 6000, 8192)), rng.integers(0, 64, 8192), rng.random(8192).astype(np.float32)
+    log = np.full((6000, 64), -math.log(64), np.float32)
+    g = -np.bincount(at, weight, 6000)[:, None] * np.exp(log.astype(float))
+    np.add.at(g, (at, target), weight)
+    sums = np.zeros((2000, 64))
+    np.add.at(sums, rows[0], g)
+    order = np.argsort(rows[0], kind="stable")
+    own, first = np.unique(rows[0][order], return_index=True)
+    assert np.allclose(lm_score._segment_sums(g.astype(np.float32), order, first), sums[own], atol=1e-3)
+    step = lambda: lm_score.MaxEnt._step(w, squares, rows, log.copy(), at, target, weight)
+    step()
+    tracemalloc.start()
+    copy = log.copy()
+    held, _ = tracemalloc.get_traced_memory()
+    lm_score.MaxEnt._step(w, squares, rows, copy, at, target, weight)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most - held < log.nbytes
+
+
 @pytest.mark.parametrize("warm", [400_000, 3])
 def test_lm_scores_equal_brute_force(docs, rows, monkeypatch, warm):
     """Scores word by word from the trained weights: class, word in it, or a tail class and the count in it."""

@@ -13,18 +13,23 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
-from itertools import islice
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import chain, islice
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 #: Hashed features of the score.
 WIDTH = 1 << 13
+#: Different candidates that a task, and the driver, hold at a time (about 50 MB); errors are whole parts of 1 / _FINE, so 2^33 candidates have an exact sum.
+HELD, _FINE = 100_000, 2.0**30
 #: A discount and the price that it is taken off stand at most so many amounts apart.
 APART = 2
 #: An amount is no part of a longer number, an address of the net or a row of signs: "$$$ 170.116.163.254" and "555-0569%%%" have none.
@@ -101,28 +106,53 @@ def _hashed(features: list[str]) -> list[int]:
     return [crc32(f.encode()) % WIDTH for f in features]
 
 
-def fit(listings: list[tuple[str, float | None]], epochs: int = 60, rate: float = 0.3, ridge: float = 1e-4) -> np.ndarray:
-    """Weights by full gradient steps (Adagrad) on the candidates of (text, price or None) pairs; a candidate is right if it equals the price."""
-    at, who, right = [], [], []
+Example = tuple[tuple[int, ...], bool]
+
+
+def _counted(listings: Iterable[tuple[str, float | None]], most: int | None = None) -> Iterator[Counter[Example]]:
+    """How often each (hashed features, right) occurs among the candidates of (text, price or None) pairs; a candidate is right if it equals the price. Handed on whenever `most` are held."""
+    held: Counter[Example] = Counter()
     for text, price in listings:
         for paragraph in _BLANK.split(text):
             for value, features in candidates(paragraph):
-                hashed = _hashed(features)
-                at += hashed
-                who += [len(right)] * len(hashed)
-                right.append(float(price is not None and abs(value - price) < 0.005))
+                held[tuple(_hashed(features)), price is not None and abs(value - price) < 0.005] += 1
+            if most and len(held) >= most:
+                yield held
+                held = Counter()
+    yield held
+
+
+def _flat(examples: list[tuple[Sequence[int], bool, int]]) -> tuple[np.ndarray, ...]:
+    """(features, the example of each, whether it is right, how often it occurs)."""
+    sizes = [len(e[0]) for e in examples]
+    return np.fromiter(chain.from_iterable(e[0] for e in examples), np.int64, sum(sizes)), np.repeat(np.arange(len(sizes)), sizes), np.array([float(e[1]) for e in examples]), np.array([e[2] for e in examples], np.int64)
+
+
+def _gradient(weights: np.ndarray, at: np.ndarray, who: np.ndarray, right: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums by feature in whole parts of _FINE, so that they don't depend on the order of the examples nor on who adds them."""
+    p = 1 / (1 + np.exp(-np.clip(np.bincount(who, weights[at], len(right)), -50, 50)))
+    sums = np.zeros(WIDTH, np.int64)
+    np.add.at(sums, at, (np.rint((right - p) * _FINE).astype(np.int64) * n)[who])
+    return sums
+
+
+def _learned(gradient: Callable[[np.ndarray], np.ndarray], total: int, epochs: int = 60, rate: float = 0.3, ridge: float = 1e-4) -> np.ndarray:
+    """Weights by full gradient steps (Adagrad) over `total` candidates."""
     weights, squares = np.zeros(WIDTH), np.full(WIDTH, 1e-2)
-    if not right:
-        return weights
-    at_, who_, y = np.array(at), np.array(who), np.array(right)
-    for _ in range(epochs):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(who_, weights[at_], len(y)), -50, 50)))
-        g = np.bincount(at_, (y - p)[who_], WIDTH) - ridge * len(y) * weights
+    for _ in range(epochs if total else 0):
+        g = gradient(weights) / _FINE - ridge * total * weights
         squares += g * g
         weights += rate * g / np.sqrt(squares)
     return weights
 
 
+def fit(listings: list[tuple[str, float | None]], epochs: int = 60, rate: float = 0.3, ridge: float = 1e-4) -> np.ndarray:
+    """Weights from (text, price or None) pairs in one process."""
+    examples = [(*e, n) for held in _counted(listings) for e, n in held.items()]
+    flat = _flat(examples)
+    return _learned(lambda w: _gradient(w, *flat), int(flat[3].sum()), epochs, rate, ridge)
+
+
 def offers(text: str | None, weights: np.ndarray, least: float = 0.5) -> Iterator[tuple[int, str, float, float, int]]:
     """(number, product, price, confidence, distinct words of the product) of each paragraph with a clear price. product: its sentences without amounts."""
     number = 0
@@ -138,18 +168,58 @@ def offers(text: str | None, weights: np.ndarray, least: float = 0.5) -> Iterato
             number += 1
 
 
-def train_on(listings: DataFrame, most: int = 4000) -> np.ndarray:
-    """Weights from listings(text, price), price null where none is clear. A bounded sample: the `most` rows with the smallest hash of their text. The hashes that
-    can be among them are counted first, so that few rows are sorted."""
-    given = listings.where("text is not null").select("text", F.col("price").cast("double").alias("price"), F.xxhash64("text").alias("h"))
+def train_on(listings: DataFrame, most: int | None = None, held: int = HELD) -> np.ndarray:
+    """Weights from all listings(text, price), price null where none is clear; the same as fit gives for their rows. Tasks count equal candidates, of which
+    there are few, as their features are the words close to amounts. Up to `held` different ones are learned from here, more by tasks.
+
+    most: learn from a sample only, the `most` rows with the smallest hash of their text. The hashes that can be among them are counted first, so that few rows are sorted."""
+    given = listings.where("text is not null").select("text", F.col("price").cast("double").alias("price"))
+    if most is not None:
+        return fit([(r.text, r.price) for r in _smallest(given, most)])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((t, p) for b in batches for t, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        for some in _counted(rows, HELD):
+            at, right = zip(*some) if some else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(right, pa.bool_()), pa.array(some.values(), pa.int64())], names=["at", "right", "n"])
+
+    examples = given.mapInArrow(count, "at array<int>, right boolean, n long").groupBy("at", "right").agg(F.sum("n").alias("n")).persist(StorageLevel.DISK_ONLY)
+    try:
+        different, total = examples.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if different <= held:
+            flat = _flat(examples.collect())
+            return _learned(lambda w: _gradient(w, *flat), total)
+        return _learned(lambda w: _gradient_by_tasks(examples, w), total)
+    finally:
+        examples.unpersist()
+
+
+def _gradient_by_tasks(examples: DataFrame, weights: np.ndarray) -> np.ndarray:
+    sent = examples.sparkSession.sparkContext.broadcast(weights)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(WIDTH, np.int64)
+        for b in batches:
+            sums += _gradient(sent.value, *_flat(list(zip(*(c.to_pylist() for c in b.columns)))))
+        used = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(sums[used])], names=["feature", "part"])
+
+    rows = examples.mapInArrow(add, "feature int, part long").groupBy("feature").agg(F.sum("part").alias("part")).toArrow()  # at most one row a feature
+    out = np.zeros(WIDTH, np.int64)
+    out[rows.column("feature").to_numpy()] = rows.column("part").to_numpy()
+    sent.destroy()
+    return out
+
+
+def _smallest(given: DataFrame, most: int) -> list[Row]:
+    given = given.withColumn("h", F.xxhash64("text"))
     # the first 2^16-th parts of the range of hashes that hold enough rows: at most one row a part comes here
     parts = given.groupBy(F.shiftright("h", 48).alias("part")).count().orderBy("part").collect()
     ends = np.cumsum([r["count"] for r in parts])
     if not len(ends):
-        return fit([])
+        return []
     last = parts[min(len(parts) - 1, int(np.searchsorted(ends, most)))]["part"]
-    rows = given.where(F.shiftright("h", 48) <= last).orderBy("h", "text").limit(most).collect()
-    return fit([(r.text, r.price) for r in rows])
+    return given.where(F.shiftright("h", 48) <= last).orderBy("h", "text").limit(most).collect()
 
 
 def register(spark: SparkSession, weights: np.ndarray, name: str = "offers", least: float = 0.5) -> str:

@@ -88,3 +88,27 @@ def test_long_texts_between_amounts_have_the_same_contexts():
     assert len(tokens) < 30 and [v for v, _ in given if v in (40, 50)] == [40.0, 50.0]
     features = next(f for v, f in given if v == 40 and f[0] == "bias")
     assert "own b1:only" in features and "own b2:now" in features and "own a1:was" in features
+
+
+def test_learns_from_every_listing(spark):
+    """One listing in ten thousand has wording of its own; a sample would not know it. Tasks give what one process gives."""
+    rows = spark.range(10_000).select(F.when(F.col("id") == 7, "A drill. Surrender $40.00 heartily.").otherwise(F.concat(F.lit("A lamp "), F.col("id").cast("string"), F.lit(". Now only $5.00."))).alias("text"), F.when(F.col("id") == 7, 40.0).otherwise(5.0).alias("price"))
+    whole = extraction.fit([(r.text, r.price) for r in rows.collect()])
+    known = extraction._hashed(["own b1:surrender", "own a1:heartily"])
+    for held in (extraction.HELD, 1):
+        weights = extraction.train_on(rows, held=held)
+        assert (weights == whole).all() and (weights[known] > 0).all()
+
+
+def test_the_query_learns_from_all_its_listings(spark, monkeypatch):
+    import os
+
+    from offerlens import catalogue
+
+    base = "/root/testdata/sf0.001"
+    if not os.path.isdir(base):
+        pytest.skip("no test tables")
+    seen, own = [], extraction.train_on
+    monkeypatch.setattr(extraction, "train_on", lambda listings, *a, **b: (seen.append((listings.count(), a, b)), own(listings, *a, **b))[1])
+    catalogue.listing_offers(spark, base)
+    assert seen == [(catalogue.listings(spark, base).count(), (), {})]
